@@ -38,4 +38,4 @@ def window_starts(n: Column, size: int = 400, overlap: int = 50) -> Column:
 
 
 def sentences(x: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[.!?;\n]+"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[.!?;\n]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)

@@ -60,10 +60,13 @@ MEASUREMENT_RULES = [
 
 def measurements(text: Column) -> Column:
     """array of (property, value, unit, confidence) by all rules."""
-    found = []
-    for name, pattern, confidence in MEASUREMENT_RULES:
+
+    def by_rule(name: str, pattern: str, confidence: float) -> Column:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("v"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("u"))
-        found.append(F.transform(pairs, lambda p, n=name, c=confidence: F.struct(F.lit(n).alias("property"), F.replace(p["v"], F.lit(","), F.lit(".")).cast("double").alias("value"), U.unit_label(p["u"]).alias("unit"), F.lit(c).alias("confidence"))))
+        fact = lambda p: F.struct(F.lit(name).alias("property"), F.replace(p["v"], F.lit(","), F.lit(".")).cast("double").alias("value"), U.unit_label(p["u"]).alias("unit"), F.lit(confidence).alias("confidence"))
+        return F.transform(pairs, fact)
+
+    found = [by_rule(*rule) for rule in MEASUREMENT_RULES]
     return F.flatten(F.array(*found))
 
 

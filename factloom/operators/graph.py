@@ -123,13 +123,13 @@ def f20_relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {FACTS_SQL} SELECT document_id, array_to_string(list_sort(list(DISTINCT material)), ',') AS materials, array_to_string(list_sort(list(DISTINCT regime)), ',') AS regimes,
-    max_by(property, seq) AS last_property, bool_or(effect = 'increase') AS has_change FROM facts GROUP BY document_id"""
+    max_by(property, (seq, property)) AS last_property, bool_or(effect = 'increase') AS has_change FROM facts GROUP BY document_id"""
 )
 def f21_experiment_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples gathered to one row for each experiment; of single-valued predicates the last wins."""
     gathered = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
     return fact_rows(spark, sf_dir).groupBy("document_id").agg(
-        gathered("material").alias("materials"), gathered("regime").alias("regimes"), F.max_by("property", "seq").alias("last_property"), F.bool_or(F.col("effect") == "increase").alias("has_change")
+        gathered("material").alias("materials"), gathered("regime").alias("regimes"), F.max_by("property", F.struct("seq", "property")).alias("last_property"), F.bool_or(F.col("effect") == "increase").alias("has_change")
     )
 
 
