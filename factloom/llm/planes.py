@@ -22,6 +22,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ PLANES = {"byte": 4, "bit": 32}
 BLOCK_IDS = 1 << 16
 STRIPE_IDS = 1 << 20
 #: Pieces of text whose ids a worker keeps.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 
 
 #: Where a text can't simply be cut at every space and line feed: other white space, and white space beside white space or an end.
@@ -141,6 +142,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process: the pieces that a task has met serve the next."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of a block, empty where all bits are zero."""
     octets = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -222,7 +229,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         held: list[int | None] = []
         parts: list[np.ndarray] = []
         size = 0
