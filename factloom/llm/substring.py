@@ -68,6 +68,14 @@ def _by_document(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary()), pa.array(docs[first], pa.int64()), blobs], ["bucket", "entries", "doc_id", "starts"])
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted entries without repeated ones: a row that stands twice is one document."""
+    if not len(columns[0]):
+        return columns
+    keep = np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))
+    return tuple(c[keep] for c in columns)
+
+
 class _Sender:
     """Collects (hash, second hash, document, position) of a chunk; gives rows for the buckets and of what the chunk itself decides."""
 
@@ -88,7 +96,7 @@ class _Sender:
         h, g, doc, pos = (np.concatenate(c) for c in zip(*self.held, strict=True))
         self.held, self.bytes = [], 0
         order = np.lexsort([pos, doc, g, h])
-        h, g, doc, pos = h[order], g[order], doc[order], pos[order]
+        h, g, doc, pos = _distinct(h[order], g[order], doc[order], pos[order])
         new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.empty(0, bool)
         if not new.all():
             repeat = ~new
@@ -114,10 +122,8 @@ def _receive(second: bool, all_repeats: bool):
         h, *g, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
         doc = doc.view(np.int64)
         order = np.lexsort([pos, doc, *g, h])
-        h, doc, pos = h[order], doc[order], pos[order]
-        same = h[1:] == h[:-1]
-        if g:
-            same &= g[0][order][1:] == g[0][order][:-1]
+        h, g, doc, pos = _distinct(h[order], g[0][order] if g else np.zeros(len(h), np.uint32), doc[order], pos[order])
+        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
         repeat = np.append(False, same)
         if all_repeats:
             repeat |= np.append(same, False)
