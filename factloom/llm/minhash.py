@@ -7,9 +7,10 @@ no bucket with probability (1 - 0.75**4)**32, about 5 in a million.
 
 Candidates are stars: in each bucket a pivot, drawn anew per bucket, is paired with every other member, so
 pairs grow with the rows and not with the square of a group.  Pairs are confirmed on the full sets of both
-texts.  Links that stars miss (two members similar to each other but not to the pivot) can only join groups
-that are still apart; so the buckets whose members are not yet one component are searched whole, in blocks
-of BLOCK x BLOCK members, by signature and set size, and what passes is confirmed on the full sets too.
+texts.  Two members may be linked with each other and not with the pivot.  So pairs of at least NEAR percent
+join documents to families, and a family whose links don't make it one component is searched whole: its texts are
+dealt to blocks of BLOCK x BLOCK, each block counts all intersections at once by an index of its shingles, and gives
+a spanning forest of the links between components, never the pairs.
 
 Documents with equal sets form one class, represented by its smallest doc_id; only representatives enter
 buckets.
@@ -31,10 +32,10 @@ from factloom.llm.components import connected_components
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Members of a bucket that are compared with as many others at a time.
-BLOCK = 128
-#: Standard deviations below the threshold at which a signature still counts as similar.
-DEVIATIONS = 5.0
+#: Members of a family that are compared with as many others at a time.
+BLOCK = 256
+#: Similarity in per cent from which a star's pair belongs to one family.
+NEAR = 25
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
 #: The bin that an empty bin tries at each attempt.  With one full bin, 4096 attempts fail once in 10**14 times.
@@ -101,12 +102,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= threshold * union."""
+    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= NEAR * union; linked: >= threshold * union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}  # sets of texts met just before: the pairs of one document come together
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            near, linked = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, bool)
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 sides = []
@@ -116,72 +117,87 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                     for i, j, words in hashing.chunks(pa.array(new, pa.large_string()), lower=True):
                         kept.update(zip(new[i:j], shingle_sets(words), strict=True))
                     sides.append([kept[x] for x in raw])
-                for k, (x, y) in enumerate(zip(*sides, strict=True)):
-                    small, large = sorted((len(x), len(y)))
-                    if small and 100 * small >= threshold * large:
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        keep[lo + k] = 100 * both >= threshold * (small + large - both)
+                for k, (x, y) in enumerate(zip(*sides, strict=True), lo):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    either = len(x) + len(y) - both
+                    near[k], linked[k] = 0 < 100 * both >= NEAR * either, 0 < 100 * both >= threshold * either
                 if len(kept) > 256:
                     kept.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            mask = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask), pa.array(linked).filter(mask)], ["a", "b", "linked"])
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, linked boolean")
 
 
-def cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """members (band, id, n, component, bins) -> distinct pairs (a, b) of different components in one bucket that their sizes and signatures allow."""
-    s = threshold / 100
-    least = int(np.floor(BINS * (s - DEVIATIONS * np.sqrt(s * (1 - s) / BINS))))
-    blocks = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set on the left, the sizes of its intersections with all on the right, by an index of the right's hashes."""
+    owner = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    hashes = np.concatenate(right) if right else np.empty(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    for s in left:
+        lo, hi = np.searchsorted(hashes, s), np.searchsorted(hashes, s, "right")
+        n = hi - lo
+        yield np.bincount(owner[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)], minlength=len(right))
+
+
+def family_links(members: DataFrame, threshold: int) -> DataFrame:
+    """members (family, id, component, text) -> (src, dst): pairs of components that a link joins, a few for each block."""
+    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", "family"), F.col("blocks")).cast("int")
     dealt = (
-        members.join(blocks, "band")
+        members.join(blocks, "family")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "n", "component", "bins")
+        .select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "text")
     )
 
+    def within(group: pa.Table) -> list[tuple[int, int]]:
+        x, y, own, component = (group.column(c).to_numpy() for c in ("x", "y", "own", "component"))
+        sets: list[np.ndarray] = []
+        for _, _, words in hashing.chunks(group.column("text").combine_chunks(), lower=True):
+            sets += shingle_sets(words)
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        sizes = np.array([len(s) for s in sets])
+        root = {c: c for c in component.tolist()}
+        out = []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        for i, both in zip(left.tolist(), intersections([sets[i] for i in left], [sets[j] for j in right]), strict=True):
+            hit = (100 * both >= threshold * (sizes[i] + sizes[right] - both)) & (component[right] != component[i])
+            for c in np.unique(component[right[hit]]).tolist():
+                a, b = find(component[i].item()), find(c)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((a, b))
+        return out
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def within(group: pa.Table) -> pa.RecordBatch | None:
-            x, y, own = (group.column(c).to_numpy() for c in ("x", "y", "own"))
-            ids, n, component = (group.column(c).to_numpy() for c in ("id", "n", "component"))
-            bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), "<u4").reshape(-1, BINS)
-            left = np.flatnonzero(own == x)
-            right = np.flatnonzero(own == y)
-            found = []
-            for i in left.tolist():
-                ok = (component[right] != component[i]) & (100 * np.minimum(n[right], n[i]) >= threshold * np.maximum(n[right], n[i]))
-                js = right[ok]
-                if len(js):
-                    js = js[(bins[js] == bins[i]).sum(axis=1) >= least]
-                    found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js.tolist() if x[i] != y[i] or ids[i] < ids[j]]
-            if not found:
-                return None
-            a, b = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        def groups(table: pa.Table) -> list[pa.Table]:
-            keys = np.stack([table.column(c).to_numpy() for c in ("band", "x", "y")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            cuts = [0, *edges.tolist(), table.num_rows]
-            return [table.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            *whole, rest = groups(pa.Table.from_batches([*held, batch]))
-            for group in whole:
-                if out := within(group):
-                    yield out
-            held = rest.to_batches()
-        if held and (out := within(pa.Table.from_batches(held))):
-            yield out
+            rows = pa.Table.from_batches([*held, batch])
+            keys = np.stack([rows.column(c).to_numpy() for c in ("family", "x", "y")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), rows.num_rows]
+            found = [p for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) for p in within(rows.slice(a, b - a))]
+            held = rows.slice(cuts[-2]).to_batches()
+            yield _edges(found)
+        if held:
+            yield _edges(within(pa.Table.from_batches(held)))
+
+    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(search, "src bigint, dst bigint")
+
 
-    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(search, "a bigint, b bigint").distinct()
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
@@ -208,18 +224,19 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     rows = reps.select("id", "n", F.explode(band_keys).alias("band"))
     # The pivot is the smallest id after a bijection that differs from bucket to bucket.
     buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("id").bitwiseXOR(F.col("band"))).bitwiseXOR(F.col("band")).alias("pivot")).where("size > 1")
-    shared = stage(rows.join(buckets, "band").select("band", "id", "n", "pivot"), "shared")
-    stars = stage(shared.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
+    pivots = rows.join(buckets, "band").where("id <> pivot")
+    stars = stage(pivots.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
-    links = stage(confirm(stars, texts, threshold), "links")
-    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    labelled = stage(shared.join(found, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component")), "labelled")
-    apart = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    open_rows = labelled.join(apart, "band", "left_semi").join(reps.select("id", "bins"), "id")
-    more = cross_pairs(open_rows, threshold).join(stars, ["a", "b"], "left_anti")
-    links = links.unionAll(confirm(more, texts, threshold))
-    found = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    near = stage(confirm(stars, texts, threshold), "near")
+    ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
+    linked = connected_components(near.where("linked").select(*ends))
+    families = connected_components(near.select(*ends)).withColumnRenamed("component", "family")
+    placed = stage(families.join(linked, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "placed")
+    apart = placed.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
+    open_rows = placed.join(apart, "family", "left_semi").join(texts.withColumnRenamed("doc_id", "id"), "id")
+    merged = connected_components(family_links(open_rows, threshold)).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    found = placed.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     final = members.join(found, members["rep"] == found["id"], "left")
     component = F.coalesce("component", "rep")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -1,7 +1,6 @@
 """Toxicity by subword bags.
 
-A word is the set of its character n-grams (over UTF-8 bytes, with edge marks) and itself, hashed into BUCKETS
-embeddings; a window of WINDOW words is the mean of its words' vectors, each the mean of its features; a
+A word is the set of its character n-grams (over UTF-8 bytes, with edge marks), hashed into BUCKETS embeddings; a window of WINDOW words is the mean of its words' vectors, each the mean of its features; a
 linear softmax over that mean tells the two classes apart.  Embeddings and softmax are trained jointly.
 Misspellings share most of a word's n-grams, so unseen ones get nearly its vector.
 
@@ -59,8 +58,9 @@ def features(words: hashing.Words, which: np.ndarray) -> tuple[np.ndarray, np.nd
             at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
             found.append(hashing.mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
             owners.append(owner[at])
-    found.append(hashing.mix(words.hashes[which] + np.uint64(99)))
-    owners.append(np.arange(len(which)))
+    short = np.flatnonzero(sizes < min(GRAMS) - 1)  # a word too short for an n-gram is a feature itself
+    found.append(hashing.mix(words.hashes[which[short]] + np.uint64(99)))
+    owners.append(short)
     hashes, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return (hashes[order] >> np.uint64(64 - 18)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(which)))])
@@ -106,8 +106,12 @@ def best_starts(effect: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begin
 
 
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60, bag_rounds: int = 15, rate: float = 0.05, seed: int = 5) -> Model:
-    """Fit embeddings and softmax on the texts; labels are 0 or 1.  Without both classes the bias alone is fitted."""
+def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, bag_rounds: int = 5, rate: float = 0.1, dropout: float = 0.4, seed: int = 5) -> Model:
+    """Fit embeddings and softmax on the texts; labels are 0 or 1.  Without both classes the bias alone is fitted.
+
+    In the window rounds each feature of a word is left out with probability `dropout`: no single n-gram may
+    carry a word, so a misspelling that keeps most of them is still recognised.
+    """
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
@@ -116,37 +120,47 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 60, bag_rounds: int
     words = hashing.words_of(data, offsets, SEPARATOR, False)
     _, first_at, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
     buckets, cuts = features(words, first_at)
-    counts = np.diff(cuts)
     used, buckets = np.unique(buckets, return_inverse=True)
-    table = rng.normal(0, 0.1, (len(used), DIMENSIONS))
-    head = rng.normal(0, 0.5, (DIMENSIONS, 2))
-    bias = np.zeros(2)
-    table_g, head_g, bias_g = (np.full(x.shape, 1e-8) for x in (table, head, bias))
+    table = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
+    head = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    squares = [np.full(x.shape, 1e-8, np.float32) for x in (table, head, bias)]
     n_words = words.counts()
-    weight = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum()))
+    weight = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum())) / len(labels)
     onehot = np.stack([1 - labels, labels], 1)
-    owners = np.repeat(np.arange(len(counts)), counts)
-    for turn in range(rounds):
-        vectors = np.stack([np.bincount(owners, table[buckets, d], len(counts)) for d in range(DIMENSIONS)], 1) / counts[:, None]
-        if turn < bag_rounds:
-            begin, size = words.first[:-1], n_words
-        else:
-            begin = best_starts((vectors @ (head[:, 1] - head[:, 0]))[inverse], words.first)
-            size = np.minimum(n_words, WINDOW)
+
+    def step(begin: np.ndarray, size: np.ndarray, keep: float) -> None:
+        """One gradient step on one stretch of words of each text."""
         doc = np.repeat(np.arange(len(size)), size)
         at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-        share = 1 / np.maximum(size, 1)[doc]
-        own = inverse[at]
+        share = (1 / np.maximum(size, 1))[doc]
+        which, own = np.unique(inverse[at], return_inverse=True)
+        n = cuts[which + 1] - cuts[which]
+        owner = np.repeat(np.arange(len(which)), n)
+        feature = buckets[np.arange(n.sum()) + np.repeat(cuts[which] - (np.cumsum(n) - n), n)]
+        if keep < 1:
+            chosen = rng.random(len(feature)) < keep
+            owner, feature = owner[chosen], feature[chosen]
+        count = np.maximum(np.bincount(owner, minlength=len(which)), 1)
+        vectors = np.stack([np.bincount(owner, table[feature, d], len(which)) for d in range(DIMENSIONS)], 1) / count[:, None]
         bag = np.stack([np.bincount(doc, vectors[own, d] * share, len(size)) for d in range(DIMENSIONS)], 1)
         logits = bag @ head + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
-        error = (odds / odds.sum(1, keepdims=True) - onehot) * weight[:, None] / len(labels)
-        of_head, of_bias, of_bag = bag.T @ error, error.sum(0), error @ head.T
-        of_word = np.stack([np.bincount(own, of_bag[doc, d] * share, len(counts)) for d in range(DIMENSIONS)], 1) / counts[:, None]
-        of_table = np.stack([np.bincount(buckets, of_word[owners, d], len(used)) for d in range(DIMENSIONS)], 1)
-        for value, grad, kept, scale in ((table, of_table, table_g, 4.0), (head, of_head, head_g, 1.0), (bias, of_bias, bias_g, 1.0)):
+        error = (odds / odds.sum(1, keepdims=True) - onehot) * weight[:, None]
+        of_bag = error @ head.T
+        of_word = np.stack([np.bincount(own, of_bag[doc, d] * share, len(which)) for d in range(DIMENSIONS)], 1) / count[:, None]
+        of_table = np.stack([np.bincount(feature, of_word[owner, d], len(used)) for d in range(DIMENSIONS)], 1)
+        for value, grad, kept in zip((table, head, bias), (of_table, bag.T @ error, error.sum(0)), squares, strict=True):
             kept += grad * grad
-            value -= scale * rate * grad / np.sqrt(kept)
+            value -= (rate * grad / np.sqrt(kept)).astype(np.float32)
+
+    for turn in range(rounds):
+        if turn < bag_rounds:
+            step(words.first[:-1], n_words, 1.0)
+        else:
+            effect = (table @ (head[:, 1] - head[:, 0]))[buckets]
+            means = np.add.reduceat(effect, cuts[:-1]) / np.diff(cuts)
+            step(best_starts(means[inverse], words.first), np.minimum(n_words, WINDOW), 1 - dropout)
     effects = np.zeros(BUCKETS, np.float32)
     effects[used] = table @ (head[:, 1] - head[:, 0])
     return Model(effects, float(bias[1] - bias[0]))
