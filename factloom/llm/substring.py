@@ -34,11 +34,13 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Text whose entries a bucket gets, on average.
 BUCKET_BYTES = 12 << 20
+#: Binary digits of doc_id that are left out in a slot: results travel by slots of neighbouring documents.
+SLOT = 8
 #: Text that is sorted together before it is sent.
 CHUNK = 16 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_ENTRY = "bucket int, entries binary, doc_id bigint, starts binary"
+_ENTRY = "bucket int, entries binary, slot bigint, starts binary"
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -57,15 +59,15 @@ def _unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
-def _by_document(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc_id, its starts) of the wanted positions."""
-    order = np.lexsort([starts, docs])
-    docs, starts = docs[order], starts[order].astype("<u4")
-    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.empty(0, np.int64)
-    offsets = np.append(first, len(docs)).astype(np.int32) * 4
-    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(starts)])
-    nothing = len(first)
-    return pa.RecordBatch.from_arrays([pa.nulls(nothing, pa.int32()), pa.nulls(nothing, pa.binary()), pa.array(docs[first], pa.int64()), blobs], ["bucket", "entries", "doc_id", "starts"])
+def _by_slot(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    """Rows (slot, packed positions): those of 1 << SLOT neighbouring doc_ids together."""
+    slots = docs >> SLOT
+    order = np.argsort(slots, kind="stable")
+    slots, docs, starts = slots[order], docs[order], starts[order]
+    first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.empty(0, np.int64)
+    blobs = [_pack(d.astype("<i8"), p.astype("<u4")) for d, p in zip(np.split(docs, first[1:]), np.split(starts, first[1:]), strict=True)] if len(slots) else []
+    n = len(first)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(slots[first], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "entries", "slot", "starts"])
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -102,7 +104,7 @@ class _Sender:
             repeat = ~new
             if self.all_repeats:  # the first of them is wanted too
                 repeat |= np.append(~new[1:], False)
-            yield _by_document(doc[repeat], pos[repeat])
+            yield _by_slot(doc[repeat], pos[repeat])
         h, g, doc, pos = h[new], g[new], doc[new], pos[new]
         bucket = ((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
         cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
@@ -111,7 +113,7 @@ class _Sender:
             if i < j:
                 ids.append(b)
                 blobs.append(_pack(h[i:j], *((g[i:j].astype("<u4"),) if self.second else ()), doc[i:j].astype("<i8"), pos[i:j].astype("<u4")))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], ["bucket", "entries", "doc_id", "starts"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], ["bucket", "entries", "slot", "starts"])
 
 
 def _receive(second: bool, all_repeats: bool):
@@ -127,34 +129,46 @@ def _receive(second: bool, all_repeats: bool):
         repeat = np.append(False, same)
         if all_repeats:
             repeat |= np.append(same, False)
-        return _by_document(doc[repeat], pos[repeat])
+        return _by_slot(doc[repeat], pos[repeat])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             decided = batch.column(1).is_null()
-            yield batch.filter(decided).select(["doc_id", "starts"])
+            yield batch.filter(decided).select(["slot", "starts"])
             batch = batch.filter(pc.invert(decided))
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if bucket != at and held:
-                    yield decide(held).select(["doc_id", "starts"])
+                    yield decide(held).select(["slot", "starts"])
                     held = []
                 at = bucket
                 held.append(blob)
         if held:
-            yield decide(held).select(["doc_id", "starts"])
+            yield decide(held).select(["slot", "starts"])
 
     return run
 
 
 def _repeated(sent: DataFrame, second: bool, all_repeats: bool) -> DataFrame:
-    """(doc_id, starts) of what repeats, several rows for a document: decided within chunks, and by bucket."""
-    rows = sent.withColumn("bucket", F.coalesce("bucket", F.pmod(F.hash("doc_id"), F.lit(1 << 20))))
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(second, all_repeats), "doc_id bigint, starts binary")
+    """(slot, packed positions) of what repeats: decided within chunks, and by bucket."""
+    rows = sent.withColumn("bucket", F.coalesce("bucket", F.pmod(F.hash("slot"), F.lit(1 << 20))))
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(second, all_repeats), "slot bigint, starts binary")
 
 
 def _collected(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("starts")), "").alias("starts")).select("doc_id", F.unhex("starts").alias("starts"))
+    """One row for each document: (doc_id, its positions as 32-bit integers)."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parts in batch.column(0):
+                docs, starts = (np.concatenate(c) for c in zip(*(_unpack(b, (8, 4)) for b in parts.as_py()), strict=True))
+                docs = docs.view(np.int64)
+                order = np.lexsort([starts, docs])
+                docs, starts = docs[order], starts[order]
+                first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(docs[first]), pa.array([x.tobytes() for x in np.split(starts, first[1:])], pa.binary())], ["doc_id", "starts"])
+
+    return rows.groupBy("slot").agg(F.collect_list("starts").alias("parts")).select("parts").mapInArrow(expand, "doc_id bigint, starts binary")
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
