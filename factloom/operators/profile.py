@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions import text as T
 from factloom.registry import query
+from factloom.sources.files import page_blocks
 from factloom.sources.tables import load
 
 W_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')"
@@ -301,3 +302,9 @@ def c20_public_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     for pattern in ("^https?://", "^doc_", r"\.[a-z0-9]{2,5}$"):
         c = F.regexp_replace(c, pattern, "")
     return load(spark, sf_dir, "pages").select("page_id", c.alias("public_name"))
+
+
+@query()
+def a6_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every page, without scripts, styles, navigation and footers."""
+    return page_blocks(load(spark, sf_dir, "pages"))

@@ -13,14 +13,19 @@ def read_events(spark: SparkSession, folder: str, schema: str, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Watermarks need instants."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """The first event of each dedupe key; keys are forgotten after the delay, so state is bounded."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
+    return _timed(events).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
 def windowed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events and their value by hour and type; a window is final once the watermark passes it."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return _timed(events).withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def run_outbox(events: DataFrame, path: str, checkpoint: str) -> None:
