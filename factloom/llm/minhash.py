@@ -128,7 +128,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, linked boolean")
+    # Both sides grow with the corpus: the plan is the same at every size.
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, linked boolean")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -227,7 +228,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     pivots = rows.join(buckets, "band").where("id <> pivot")
     stars = stage(pivots.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
+    texts = stage(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     near = stage(confirm(stars, texts, threshold), "near")
     ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
     linked = connected_components(near.where("linked").select(*ends))
