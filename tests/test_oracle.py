@@ -4,6 +4,7 @@ import pytest
 
 from tests.oracle import DATA, connect, differences
 
+import factloom.operators.answers
 import factloom.operators.catalog
 import factloom.operators.extract
 import factloom.operators.facts
