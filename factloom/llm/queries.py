@@ -39,7 +39,7 @@ def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,7 @@ def op10_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_plane_files, op2_bounded_ring, op3_minhash, op4_systematic_mix, op5_warc_segments, op6_ngram_decontamination, op7_product_quantisation, op8_license_scan, op9_subword_toxicity, op10_cover_anchors)}
 
 _BENCH_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORDS = r"[^\x20\x09-\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +84,39 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(items, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN c USING (uid) LEFT JOIN e USING (uid)
     """,
+    "op3_minhash": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORDS}') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS t(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, far) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.far = e.a)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(far) AS c FROM r GROUP BY id) ON id = d.doc_id
+    """,
+    "op5_warc_segments": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS newest FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN newest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN newest <> page_id THEN newest END AS refers_to
+        FROM p LEFT JOIN m USING (d)
+    """,
+    "op7_product_quantisation": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+              WHERE list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.93),
+        r(id, far) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.far = l.a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+        FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON a = vec_id JOIN (SELECT id, min(far) AS c FROM r GROUP BY id) ON id = vec_id
+    """,
+    "op10_cover_anchors": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+        x AS (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS g FROM d, unnest(range(1, len(w) - 18)) AS t(s)),
+        f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS k FROM x),
+        r AS (SELECT DISTINCT doc_id, p FROM f, unnest(range(s, s + 20)) AS t(p) WHERE k > 1),
+        u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN r USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
 }
