@@ -205,8 +205,13 @@ def parse(path: str, data: bytes) -> list[Block]:
         return [("failed", "", f"{type(e).__name__}: {e}")]
 
 
-def read_blocks(spark: SparkSession, folder: str, max_bytes: int = 25 << 20) -> DataFrame:
-    """The blocks of every file below a folder of at most max_bytes; dot files are passed over."""
+def accepted(found: DataFrame, max_bytes: int = 25 << 20) -> DataFrame:
+    """Files of at most max_bytes; dot files are passed over."""
+    return found.where((F.col("length") <= max_bytes) & ~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def blocks_of(found: DataFrame) -> DataFrame:
+    """The blocks of files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,9 +221,12 @@ def read_blocks(spark: SparkSession, folder: str, max_bytes: int = 25 << 20) ->
                     kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "ordinal", "kind", "section", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    kept = files.where((F.col("length") <= max_bytes) & ~F.element_at(F.split("path", "/"), -1).startswith("."))
-    return kept.select("path", "content").mapInArrow(run, BLOCKS)
+    return found.select("path", "content").mapInArrow(run, BLOCKS)
+
+
+def read_blocks(spark: SparkSession, folder: str, max_bytes: int = 25 << 20) -> DataFrame:
+    """The blocks of every accepted file below a folder."""
+    return blocks_of(accepted(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder), max_bytes))
 
 
 def chunks(blocks: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:

@@ -2,7 +2,7 @@ import io
 import zipfile
 
 from factloom.plans.planner import NumericConstraint, numeric_constraints, plan_question, search_facts
-from factloom.sources import files
+from factloom.sources import files, jobs
 from factloom.sources.tables import fact_rows, load
 from factloom.streaming import outbox
 from factloom.operators.catalog import enqueue
@@ -74,3 +74,19 @@ def test_cascade(spark):
     assert search_facts(rows, "Brand#11", "R", None)[0] == "exact"
     assert search_facts(rows, "Nothing", "R", None)[0] == "relaxed"
     assert search_facts(rows, "Nothing", None, None)[0] == "none"
+
+
+def test_ingestion_goes_on_where_it_stopped(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("# Head\none two")
+    (tmp_path / "in/b.xyz").write_text("?")
+    jobs.ingest_new(spark, folder, out, checkpoint)
+    (tmp_path / "in/c.csv").write_text("a,b\n1,2\n")
+    jobs.ingest_new(spark, folder, out, checkpoint)
+    read = lambda t: spark.read.parquet(f"{out}/{t}")
+    assert sorted((r["path"].rpartition("/")[2], r["batch"]) for r in read("documents").collect()) == [("a.txt", 0), ("b.xyz", 0), ("c.csv", 1)]
+    assert {r["text"] for r in read("chunks").collect()} == {"one two", "a: 1 | b: 2"}
+    assert {(r["path"].rpartition("/")[2], r["status"]) for r in spark.read.json(f"{out}/audit").collect()} == {("a.txt", "parsed"), ("b.xyz", "unsupported"), ("c.csv", "parsed")}
+    jobs.ingest(spark, folder, out + "2")
+    assert spark.read.parquet(out + "2/documents").count() == 3
