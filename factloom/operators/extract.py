@@ -211,3 +211,59 @@ def i11_grounding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = F.abs(number - F.col("allowed")) <= F.greatest(F.lit(1.0), 0.005 * F.col("allowed"))
     good = claims.join(F.broadcast(allowed), near, "left_semi").select("id", "v").withColumn("supported", F.lit(True))
     return claims.join(good.distinct(), ["id", "v"], "left").select("id", "v", F.coalesce("supported", F.lit(False)).alias("supported"))
+
+
+# Assay rows: headers name the analyte and its unit.
+ASSAYS = [(1, "sample: A1 | Au, g/t: 1.5 | Cu, %: 0.2-0.4 | note: x"), (2, "sample: A2 | Ag, g/t: 12 | S, mg/l: 3,5–4,5"), (3, "capacity 2020, t: 100 | capacity 2021, t: 120")]
+A_SQL = _values(ASSAYS, "a")
+_CELL = r"^([A-Z][a-z]?), (g/t|mg/l|%): (.+)$"
+_WIDE = r"^(capacity) ([0-9]{4}), (t): ([0-9]+)$"
+
+
+@query(
+    rf"""WITH {A_SQL}, c AS (SELECT id, unnest(string_split(text, ' | ')) AS c FROM a),
+    m AS (SELECT id, regexp_extract(c, '{_CELL}', 1) AS analyte, regexp_extract(c, '{_CELL}', 2) AS unit, list_transform(regexp_extract_all(regexp_extract(c, '{_CELL}', 3), '[0-9]+(?:[.,][0-9]+)?'), lambda x: replace(x, ',', '.')::DOUBLE) AS n FROM c WHERE regexp_matches(c, '{_CELL}'))
+    SELECT id, 'assay' AS fact_type, analyte AS subject, CASE unit WHEN 'mg/l' THEN 'mg/L' ELSE unit END AS unit, n[1] AS value, list_min(n) AS value_min, list_max(n) AS value_max FROM m
+    UNION ALL SELECT id, 'capacity', regexp_extract(c, '{_WIDE}', 2), 't', regexp_extract(c, '{_WIDE}', 4)::DOUBLE, regexp_extract(c, '{_WIDE}', 4)::DOUBLE, regexp_extract(c, '{_WIDE}', 4)::DOUBLE FROM c WHERE regexp_matches(c, '{_WIDE}')"""
+)
+def e13_typed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assay and wide capacity cells as candidates; of a range the lower bound is the value."""
+    cells = spark.createDataFrame(ASSAYS, "id int, text string").select("id", F.explode(F.split("text", r" \| ")).alias("c"))
+    number = F.transform(F.regexp_extract_all(F.regexp_extract("c", _CELL, 3), F.lit(r"[0-9]+(?:[.,][0-9]+)?"), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    assay = cells.where(F.col("c").rlike(_CELL)).select("id", F.lit("assay").alias("fact_type"), F.regexp_extract("c", _CELL, 1).alias("subject"), U.unit_label(F.regexp_extract("c", _CELL, 2)).alias("unit"), number.alias("n"))
+    assay = assay.select("id", "fact_type", "subject", "unit", F.element_at("n", 1).alias("value"), F.array_min("n").alias("value_min"), F.array_max("n").alias("value_max"))
+    amount = F.regexp_extract("c", _WIDE, 4).cast("double")
+    wide = cells.where(F.col("c").rlike(_WIDE)).select("id", F.lit("capacity").alias("fact_type"), F.regexp_extract("c", _WIDE, 2).alias("subject"), F.lit("t").alias("unit"), amount.alias("value"), amount.alias("value_min"), amount.alias("value_max"))
+    return assay.unionByName(wide)
+
+
+# Sentence adapters: fact type, pattern, confidence.
+ADAPTERS = [("technology", "anneal|aging|quench|отжиг|старение", 0.81), ("equipment", "pump|valve|furnace", 0.79), ("claim", "showed|reached|decreased|increased", 0.78), ("economic", "cost|capacity|price", 0.80)]
+
+
+@query(f"WITH {S_SQL}, c AS (SELECT id, unnest([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN struct_pack(t := '{t}', c := {c}::DOUBLE) END" for t, p, c in ADAPTERS) + "]) AS f FROM s) SELECT id, f.t AS fact_type, f.c AS confidence FROM c WHERE f IS NOT NULL")
+def e7_sentence_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate facts of each kind whose marker a sentence holds."""
+    found = F.array_compact(F.array(*(F.when(F.lower("text").rlike(p), F.struct(F.lit(t).alias("fact_type"), F.lit(c).alias("confidence"))) for t, p, c in ADAPTERS)))
+    return sentences(spark).select("id", F.explode(found).alias("f")).select("id", "f.*")
+
+
+@query(
+    f"WITH {S_SQL} SELECT id, "
+    + ", ".join(f"array_to_string(regexp_extract_all(text, '{p}'), ',') AS {n}" for n, p in (("equipment", "[Pp]ump|[Vv]alve|[Ff]urnace"), ("articles", "DN[0-9]+"), ("grades", "[A-Z]{2}[0-9]|[0-9]{4}")))
+    + " FROM s"
+)
+def e2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of several families in each sentence, in order."""
+    family = lambda p: F.array_join(F.regexp_extract_all("text", F.lit(p), F.lit(0)), ",")
+    return sentences(spark).select("id", family("[Pp]ump|[Vv]alve|[Ff]urnace").alias("equipment"), family("DN[0-9]+").alias("articles"), family("[A-Z]{2}[0-9]|[0-9]{4}").alias("grades"))
+
+
+@query(
+    f"""WITH {S_SQL}, f AS (SELECT id, regexp_matches(text, '[0-9]') AS n, regexp_matches(lower(text), 'no numerical data') AS g, text FROM s)
+    SELECT CASE WHEN text = '' THEN 'empty' WHEN g THEN 'gap' WHEN n THEN 'measured' ELSE 'text' END AS branch, count(*) AS n FROM f GROUP BY 1"""
+)
+def e1_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sentences are sent on, with their number."""
+    branch = F.when(F.col("text") == "", "empty").when(F.lower("text").rlike("no numerical data"), "gap").when(F.col("text").rlike("[0-9]"), "measured").otherwise("text")
+    return sentences(spark).groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("n"))
