@@ -19,7 +19,7 @@ import pyarrow as pa
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text hashed at a time; a longer text is hashed alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 WHITESPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 
