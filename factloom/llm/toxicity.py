@@ -4,8 +4,8 @@ A word is the set of its character n-grams (over UTF-8 bytes, with edge marks),
 linear softmax over that mean tells the two classes apart.  Embeddings and softmax are trained jointly.
 Misspellings share most of a word's n-grams, so unseen ones get nearly its vector.
 
-A document is as toxic as its most toxic window.  In training, the first rounds take the whole document as
-one bag, the later ones the window that scores highest at that time, so in clean documents the most
+A document is as toxic as its most toxic window.  In training, the first rounds take a random stretch of the
+document as one bag, the later ones the window that scores highest at that time, so in clean documents the most
 misleading windows are learnt from.
 
 After training each bucket's effect on the log-odds is a number, and a word's effect a mean of numbers; scoring
@@ -28,8 +28,10 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 WINDOW = 4
 GRAMS = (3, 4, 5, 6)
+#: Words of a bag in the first rounds, drawn anew each round.
+BAG = 64
 #: Labelled documents of each class that are learnt from, chosen by hash: the bound of what reaches the driver.
-SAMPLE = {1: 2500, 0: 2500}
+SAMPLE = {1: 1500, 0: 1500}
 THRESHOLD = 0.7
 
 SEPARATOR = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -139,8 +141,10 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, bag_rounds: in
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
     first, inverse, buckets, cuts = vocabulary(texts)
-    used, buckets = np.unique(buckets, return_inverse=True)
-    buckets = buckets.astype(np.int32)
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    buckets = number[buckets]
     table = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
     head = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -176,7 +180,8 @@ def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, bag_rounds: in
 
     for turn in range(rounds):
         if turn < bag_rounds:
-            step(first[:-1], n_words, 1.0)
+            size = np.minimum(n_words, BAG)
+            step(first[:-1] + rng.integers(0, n_words - size + 1), size, 1.0)
         else:
             effect = (table @ (head[:, 1] - head[:, 0]))[buckets]
             means = np.add.reduceat(effect, cuts[:-1]) / np.diff(cuts)
