@@ -321,6 +321,29 @@ def test_vectors(spark, lists):
     assert near.sum() > 100 and got == want  # recall 1 against brute force
 
 
+@pytest.mark.parametrize("rank", [1, 2, 8])
+def test_vectors_that_differ_in_few_dimensions(spark, rank, monkeypatch):
+    """Several lists share a group of near copies, so that links cross borders along just the dimensions in which copies differ."""
+    monkeypatch.setattr(pq, "COMPONENTS", 1, raising=False)  # blocks of 256
+    rng = np.random.default_rng(rank)
+    groups = []
+    for _ in range(2):
+        center = rng.normal(size=64)
+        noise = rng.uniform(-1, 1, (900, rank)) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+        groups.append(center / np.linalg.norm(center) + noise * 0.35 / np.sqrt(rank))
+    x = np.concatenate([*groups, rng.normal(size=(400, 64))])
+    x = x[rng.permutation(len(x))]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>, label int")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = roots(range(len(x)), zip(*(a.tolist() for a in np.nonzero(near)), strict=True))
+    got = {r[0]: r[1:] for r in rows_of(pq.near_vectors(frame, lists=24), "vec_id", "n_links", "component_id", "kept")}
+    assert near.sum() > 10_000
+    assert sum(r[0] for r in got.values()) == near.sum()
+    assert got == {i: (int(n), root[i], root[i] == i) for i, n in enumerate(near.sum(1))}
+
+
 def test_licenses():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
     mit = licenses.TEMPLATES["MIT"]
