@@ -2,7 +2,9 @@
 
 A text and a licence template are aligned on the words that stand once in both: the longest increasing
 subsequence of their places gives anchors, and the gaps between neighbouring anchors are aligned in the same way,
-as are the ends.  Coverage is the share of the template's words that are aligned.
+as are the ends.  Where a text repeats a template's words, few or none stand once in it; then the longest common
+subsequence of the template and any stretch of STRETCH times its length is found exactly, and taken if it is longer.
+Coverage is the share of the template's words that are aligned.
 
 A template is tried only where it can reach the coverage asked for: an alignment can't hold a word more often than
 both sides do, so the sum of these smaller counts bounds it from above, and nothing is lost by the check.  Each
@@ -11,6 +13,7 @@ text is scanned whole, on its own; there is no shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 COVERAGE = 0.8
+#: Length of the stretches of a text that are aligned on their own, in lengths of the template.
+STRETCH = 2.5
 
 # The wording of public licence texts and of the notices that refer to them.
 TEMPLATES = {
@@ -116,6 +121,74 @@ def align(text: Sequence[str], template: Sequence[str]) -> list[tuple[int, int]]
     return sorted(matched)
 
 
+def common(words: Sequence[str], at: Mapping[str, int], full: int) -> list[int]:
+    """Bits after each word: a longest common subsequence of the words so far and the template's first j words has as many words as zeros are in the low j bits.
+
+    at: the template's places of each word as bits; full: all its bits.
+    """
+    out, bits = [], full
+    for w in words:
+        both = bits & at[w]
+        bits = ((bits + both) | (bits - both)) & full
+        out.append(bits)
+    return out
+
+
+def bits_of(template: Sequence[str]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for j, w in enumerate(template):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def densest(words: Sequence[str], template: Sequence[str], least: int) -> list[tuple[int, int]]:
+    """The longest alignment of at least `least` words (1 or more) with a stretch of the text, in as few words as end it first; empty if there is none.
+
+    Stretches begin at any word of the template.  The sum over words of the smaller count bounds a stretch's alignment.
+    """
+    counts, at, full = Counter(template), bits_of(template), (1 << len(template)) - 1
+    places = [i for i, w in enumerate(words) if w in counts]
+    seen = [words[i] for i in places]
+    reach = int(STRETCH * len(template))
+    have: Counter[str] = Counter()
+    bound = b = 0
+    tries = []
+    for a, i in enumerate(places):
+        while b < len(places) and places[b] < i + reach:
+            have[seen[b]] += 1
+            bound += have[seen[b]] <= counts[seen[b]]
+            b += 1
+        if bound >= least:
+            tries.append((-bound, a, b))
+        bound -= have[seen[a]] <= counts[seen[a]]
+        have[seen[a]] -= 1
+    best, where = least - 1, None
+    for bound, a, b in sorted(tries):
+        if -bound <= best:
+            break
+        n = len(template) - common(seen[a:b], at, full)[-1].bit_count()
+        if n > best:
+            best, where = n, (a, b)
+    if where is None:
+        return []
+    a, b = where
+    size = lambda bits: len(template) - bits.bit_count()
+    b = a + 1 + next(k for k, bits in enumerate(common(seen[a:b], at, full)) if size(bits) == best)
+    a = b - 1 - next(k for k, bits in enumerate(common(seen[a:b][::-1], bits_of(template[::-1]), full)) if size(bits) == best)
+    steps = [full, *common(seen[a:b], at, full)]
+    length = lambda k, j: j - (steps[k] & ((1 << j) - 1)).bit_count()
+    pairs, k, j = [], b - a, len(template)
+    while k and j:
+        if seen[a + k - 1] == template[j - 1]:
+            k, j = k - 1, j - 1
+            pairs.append((places[a + k], j))
+        elif length(k - 1, j) >= length(k, j - 1):
+            k -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
 class Scanner:
     def __init__(self, templates: Mapping[str, str], coverage: float) -> None:
         self.coverage = coverage
@@ -137,30 +210,11 @@ class Scanner:
         return len(words), found
 
     def best(self, words: list[str], template: list[str]) -> list[tuple[int, int]]:
-        """The alignment with the whole text, or with a stretch around places of the template's rarest words if that covers more.
-
-        In a long text the template's words may stand elsewhere too, and none be unique; near the licence they are.
-        """
+        """The alignment with the whole text, or with a stretch of it if that covers enough, and more."""
         pairs = align(words, template)
         if len(pairs) == len(template):
             return pairs
-        places: dict[str, list[int]] = {w: [] for w in template}
-        for i, w in enumerate(words):
-            if w in places:
-                places[w].append(i)
-        rare = min(places.values(), key=len)
-        offset = min(j for j, w in enumerate(template) if places[w] is rare)
-        reach = 2 * len(template)
-        end = -1
-        for i in rare:
-            lo, hi = max(0, i - offset - len(template) // 2), min(len(words), i - offset + reach)
-            if hi <= end:
-                continue
-            near = align(words[lo:hi], template)
-            if len(near) > len(pairs):
-                pairs = [(lo + p, q) for p, q in near]
-                end = hi
-        return pairs
+        return densest(words, template, max(1, len(pairs) + 1, math.ceil(self.coverage * len(template)))) or pairs
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:

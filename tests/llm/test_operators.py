@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -354,6 +355,49 @@ def test_licenses():
     assert scanner.scan("the License " * 500 + "Released under the MIT License. " + "the under " * 500)[1][0][0] == "MIT notice"
 
 
+def test_licenses_that_stand_several_times_with_changes():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
+    found = lambda text: [f[0] for f in scanner.scan(text)[1]]
+    mit = licenses.TEMPLATES["MIT"].replace("sublicense", "relicense")
+    assert "MIT" in found(mit) and "MIT" in found(f"Start. {mit} Between. {mit} End.")
+    assert "MIT notice" in found("Start. Distributed under the MIT License. Between. Distributed under the MIT License. End.")
+    assert "MIT" in found(f"Start. {mit} {'word ' * 5000} {mit} {'other ' * 5000} you may sublicense it.")
+    twice = scanner.scan(f"Start. {mit} Between. {mit} End.")[1]
+    n = len(licenses.words_of(mit))
+    assert next(f[2:] for f in twice if f[0] == "MIT") in ((n - 1, 1, n), (n - 1, n + 2, 2 * n + 1))
+
+
+def test_license_stretches_against_all_windows():
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *itertools.accumulate(range(len(b)), lambda left, j: max(left, row[j + 1], (row[j] + 1) if x == b[j] else 0), initial=0)][1:]
+        return row[-1]
+
+    rng = np.random.default_rng(5)
+    n_found = 0
+    for case in range(150):
+        template = [f"w{x}" for x in rng.integers(0, 9, rng.integers(3, 9))]
+        text: list[str] = []
+        for _ in range(rng.integers(1, 4)):
+            copy = [w if rng.random() < 0.85 else "changed" for w in template]
+            text += [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 12))] + (copy if case % 3 else [])
+        reach = int(licenses.STRETCH * len(template))
+        windows = [text[i : i + reach] for i in range(len(text))]
+        whole = len(licenses.align(text, template))
+        patience = max((len(licenses.align(w[:k], template)) for w in windows for k in range(1, len(w) + 1)), default=0)
+        want = max(whole, *(longest(w, template) for w in windows), 0)
+        out = licenses.Scanner({"t": " ".join(template)}, 0.8).scan(" ".join(text))[1]
+        assert want >= patience and bool(out) == (want >= 0.8 * len(template))
+        if out:
+            n_found += 1
+            assert out[0][2] == want and text[out[0][3]] in template and text[out[0][4]] in template
+        pairs = licenses.densest(text, template, 1)
+        assert all(text[i] == template[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs[:-1], pairs[1:], strict=True))
+        assert not pairs or pairs[-1][0] - pairs[0][0] < reach
+    assert 30 < n_found < 150
+
+
 def test_patience_alignment_is_an_increasing_match():
     rng = np.random.default_rng(0)
     for _ in range(200):
