@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -173,28 +174,8 @@ def search_unit(codec: Codec, members: tuple, queries: tuple, cosine: float) ->
     return m_n, q_n, forest(*np.array(edges, np.int64).reshape(-1, 2).T)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
-    """vectors (vec_id, embedding: array of numbers, label) -> vec_id, n_links, component_id, kept; one row for each row.
-
-    Linked are vectors of one label that isn't null with a cosine of at least `cosine`.  Vectors that are null, empty,
-    zero, or hold a component that is null or not finite, and vectors of another length than most, link with nothing.
-    Rows that share a vec_id are counted as links apart and connect what they link with; a null vec_id links with
-    nothing, its component is null and it is kept.  Other columns are ignored.  No rows give no rows.
-    """
-    spark = vectors.sparkSession
-    x = F.col("embedding")
-    clean = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = stage(
-        vectors.select("vec_id", "label", x.alias("embedding")).withColumn("ok", F.coalesce(clean & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("uid", F.monotonically_increasing_id()),
-        "vectors",
-    )
-    sound = rows.where("ok")
-    usual = sound.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not usual:
-        return alone
-    dims, n = usual[0]
-    sound = sound.where(F.size("embedding") == dims)
+def links(sound: DataFrame, dims: int, n: int, cosine: float, sample: int, lists: int | None) -> DataFrame:
+    """Vectors of one length, n of them, none null, zero or not finite -> uid and n, a part of its links, or src and dst, an edge of a spanning forest."""
     drawn = sound.orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(sample).toArrow()
     codec = fit(unit(matrix(drawn.column(0).combine_chunks())), lists or int(min(LISTS, max(4, round(np.sqrt(n) / 2)))))
     gaps = np.sqrt(((codec.coarse[:, None, :] - codec.coarse[None, :, :]) ** 2).sum(2)) if len(codec.coarse) <= 512 else None
@@ -235,8 +216,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE,
                     ["uid", "vec_id", "label", "embedding", "home", "probes", "bits", "code", "error"],
                 )
 
-    kind = "<f4" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull) else "<f8"
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    kind = "<f4" if sound.schema["embedding"].dataType == T.ArrayType(T.FloatType(), sound.schema["embedding"].dataType.containsNull) else "<f8"
+    kinds = {f.name: f.dataType.simpleString() for f in sound.schema.fields}
     indexed = stage(
         sound.select("uid", "vec_id", "label", "embedding").mapInArrow(
             index, f"uid bigint, vec_id bigint, label {kinds['label']}, embedding binary, home int, probes array<int>, bits binary, code binary, error double"
@@ -303,7 +284,31 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE,
             yield within(pa.Table.from_batches(held))
 
     unit_key = ["label", "group", "m", "q"]
-    found = stage(dealt.repartition(*unit_key).sortWithinPartitions(*unit_key).mapInArrow(search, "uid bigint, n bigint, src bigint, dst bigint"), "found")
+    return stage(dealt.repartition(*unit_key).sortWithinPartitions(*unit_key).mapInArrow(search, "uid bigint, n bigint, src bigint, dst bigint"), "found")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
+    """vectors (vec_id, embedding: array of numbers, label) -> vec_id, n_links, component_id, kept; one row for each row.
+
+    Linked are vectors of one label that isn't null with a cosine of at least `cosine`.  Vectors that are null, empty,
+    zero, or hold a component that is null or not finite link with nothing, and vectors of two lengths don't link; each length
+that two or more vectors have is searched on its own.
+    Rows that share a vec_id are counted as links apart and connect what they link with; a null vec_id links with
+    nothing, its component is null and it is kept.  Other columns are ignored.  No rows give no rows.
+    """
+    spark = vectors.sparkSession
+    x = F.col("embedding")
+    clean = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
+    rows = stage(
+        vectors.select("vec_id", "label", x.alias("embedding")).withColumn("ok", F.coalesce(clean & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("uid", F.monotonically_increasing_id()),
+        "vectors",
+    )
+    sound = rows.where("ok")
+    lengths = sound.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()
+    alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not lengths:
+        return alone
+    found = reduce(DataFrame.unionByName, (links(sound.where(F.size("embedding") == dims), dims, n, cosine, sample, lists) for dims, n in lengths))
     counts = found.where("uid is not null").groupBy("uid").agg(F.sum("n").alias("n"))
     groups = connected_components(found.where("src is not null").select("src", "dst"))
     out = rows.select("uid", "vec_id").join(counts, "uid", "left").join(groups, F.col("vec_id") == F.col("id"), "left")

@@ -345,6 +345,16 @@ def test_vectors_that_differ_in_few_dimensions(spark, rank, monkeypatch):
     assert got == {i: (int(n), root[i], root[i] == i) for i, n in enumerate(near.sum(1))}
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=24).tolist(), 1) for i in range(20)]
+    rows += [(30, [1.0, 2.0, 3.0], 1), (31, [2.0, 4.0, 6.0], 1), (32, [1.0, 2.0, 3.0], 2), (33, [-1.0, 0.5, 3.0], 1), (40, [1.0], 1), (41, [5.0], 1), (50, [1.0] * 7, 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r[0]: r[1:] for r in rows_of(pq.near_vectors(frame), "vec_id", "n_links", "component_id", "kept")}
+    pairs = {30: 30, 31: 30, 40: 40, 41: 40}
+    assert got == {r[0]: (int(r[0] in pairs), pairs.get(r[0], r[0]), pairs.get(r[0], r[0]) == r[0]) for r in rows}
+
+
 def test_licenses():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
     mit = licenses.TEMPLATES["MIT"]
