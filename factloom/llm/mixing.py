@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from factloom.llm.common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Of the random offsets.
+SEED = 17
 #: Documents of one source and size that are ranked together.
 PIECE = 4096
 
@@ -61,52 +63,67 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     )
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, size, source, source_size, target, copies, uid; one row for each row.
+def _plan(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sizes (doc_id, source, size, tie) -> (cells, pieces, rates): what a row's rank and rate are put together from.
 
-    size counts words; copies is how often the mix takes the document, whole, at most ceil(most).  A null text has
-    no words, a null source is a source of its own, null doc_ids are ranked first and rows that share one are
-    ranked apart (equal ones are interchangeable).  A source without words has target 0 and is not taken.
-    Reruns over the same rows agree.  No rows give no rows.
+    cells has one row per source and distinct size (a corpus of T words has at most sqrt(2 T) of them in a source),
+    pieces one per PIECE documents and cell, rates one per source.
     """
-    rows = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("uid")), "sizes")
-    by_size = stage(rows.groupBy("source", "size").count(), "cells")
+    by_size = stage(sizes.groupBy("source", "size").count(), "cells")
     rates = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).cast("double").alias("source_size")), weights, share, most)
-    # One row per source and distinct size; a corpus of T words has at most sqrt(2 T) of them in a source.
-    cells = by_size.select(
-        "source", "size", (F.sum("count").over(Window.partitionBy("source").orderBy("size")) - F.col("count")).alias("before"), F.ceil(F.col("count") / PIECE).alias("pieces")
-    )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
-    dealt = rows.join(cells, same(rows, cells), "left").select(
-        rows["doc_id"], rows["source"], rows["size"], "uid", "before", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("pieces")).alias("piece")
-    )
-    dealt = stage(dealt, "dealt")
-    pieces = dealt.where("piece >= 0").groupBy("source", "size", "piece").count()
+    earlier = F.sum("count").over(Window.partitionBy("source").orderBy("size")) - F.col("count")
+    cells = by_size.select(F.col("source").alias("c"), F.col("size").alias("y"), earlier.alias("before"), F.ceil(F.col("count") / PIECE).alias("pieces"))
+    counted = _dealt(sizes, cells).groupBy("source", "size", "piece").count()
     inside = Window.partitionBy("source", "size").orderBy("piece")
-    pieces = pieces.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("piece").alias("p"), (F.sum("count").over(inside) - F.col("count")).alias("earlier"))
-    at = F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("doc_id", "uid"))
+    pieces = stage(
+        counted.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("piece").alias("p"), (F.sum("count").over(inside) - F.col("count")).alias("earlier")), "pieces"
+    )
+    return cells, pieces, rates.select(F.col("source").alias("rated"), "source_size", "target", "rate")
+
+
+def _dealt(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows with the number of smaller documents in their source, and their piece."""
+    piece = F.pmod(F.xxhash64("doc_id", "tie", F.lit(SEED)), F.col("pieces"))
+    return rows.join(cells, F.col("source").eqNullSafe(F.col("c")) & (F.col("size") == F.col("y"))).drop("c", "y").withColumn("piece", piece)
+
+
+def _taken(rows: DataFrame, plan: tuple[DataFrame, DataFrame, DataFrame], seed: int) -> DataFrame:
+    """rows (doc_id, source, size, tie, ...) with source_size, target and copies."""
+    cells, pieces, rates = plan
+    at = F.row_number().over(Window.partitionBy("source", "size", "piece").orderBy("doc_id", "tie"))
     ranked = (
-        dealt.withColumn("at", at)
-        .join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("piece") == F.col("p")), "left")
-        .select("doc_id", "source", "size", "uid", (F.col("before") + F.col("earlier") + F.col("at")).alias("rank"))
+        _dealt(rows, cells)
+        .withColumn("at", at)
+        .join(pieces, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("piece") == F.col("p")))
+        .withColumn("rank", F.col("before") + F.col("earlier") + F.col("at"))
     )
-    rates = rates.select(F.col("source").alias("rated"), "source_size", "target", "rate")
     offset = (F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 30)) + F.lit(0.5)) / float(1 << 30)
     upto = lambda k: F.floor(F.col("rate") * k + offset)
     return ranked.join(rates, F.col("source").eqNullSafe(F.col("rated"))).select(
-        "doc_id", "size", "source", F.col("source_size").cast("bigint").alias("source_size"), "target", (upto(F.col("rank")) - upto(F.col("rank") - 1)).alias("copies"), "uid"
+        *rows.columns, F.col("source_size").cast("bigint").alias("source_size"), "target", (upto(F.col("rank")) - upto(F.col("rank") - 1)).alias("copies")
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: each document's row as often as copies() says, with docs' own columns.
+def _sized(docs: DataFrame) -> list[Column]:
+    """tie orders rows that share a doc_id; those that share it too are equal and interchangeable."""
+    return [docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size"), F.xxhash64(docs["text"]).alias("tie")]
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, copies; one row for each row.
 
-    Rows are matched by doc_id; rows that share a doc_id must be equal, else each takes the larger number of copies.
+    size counts words; copies is how often the mix takes the document, whole, at most ceil(most).  A null text has
+    no words, a null source is a source of its own, null doc_ids are ranked first and rows that share one are
+    ranked apart (equal ones are interchangeable).  A source without words has target 0 and is not taken.
+    Reruns over the same rows agree.  No rows give no rows.
     """
-    taken = copies(docs, weights, share, most, seed).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    return (
-        docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-        .where("_mix_copies > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-        .drop("_mix_id", "_mix_copies", "_mix_copy")
-    )
+    sizes = stage(docs.select(*_sized(docs)), "sizes")
+    return _taken(sizes, _plan(sizes, weights, share, most), seed).drop("tie")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
+    """The mix itself: each row as often as copies() says, with docs' own columns; repeated rows are taken apart."""
+    sizes = stage(docs.select(*_sized(docs)), "sizes")
+    rows = docs.select(*_sized(docs), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    taken = _taken(rows, _plan(sizes, weights, share, most), seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
