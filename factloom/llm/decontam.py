@@ -2,17 +2,20 @@
 
 Words are lower-cased (A-Z) runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F].  An item's windows are its runs of
 WINDOW words; a shorter item that has words is one window.  Every document position is hashed over the
-next words and looked up in the set of the windows' hashes, which is part of the expression; positions
-that pass carry their exact words and are verified against the windows by an equi-join, so hash clashes
-don't count.  The text is read once and never shuffled: only hits are.
+next words and looked up in the set of the windows' hashes; positions that pass carry their exact words and are
+verified against the windows by an equi-join, so hash clashes don't count.  The text is read once and never shuffled:
+only hits are.
 
-The set is inlined while it has IN_SET_GRAMS members at most.  A larger benchmark goes another way: all
-windows of all documents are joined with the items' windows on their hash, and verified the same way.
+The set is a bit map with two bits for each window, part of the expression, so Spark broadcasts it with the stage.  It
+has BITS bits for each window, and MOST_BITS at most (16 MB): with more windows more positions pass that the join then
+turns down, by broadcast while the windows are JOINED or fewer, else by a shuffle of the positions that passed.
 Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +23,10 @@ from factloom.llm.common import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Distinct windows up to which the set of hashes is broadcast within the expression (8 bytes each).
-IN_SET_GRAMS = 100_000
+#: Bits of the map for each window, and in all.
+BITS, MOST_BITS = 32, 1 << 27
+#: Windows that are broadcast to be joined with hits at most (some 100 bytes each).
+JOINED = 1_000_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,32 +43,45 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return items.select("item_id", n.alias("n"), F.explode(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("w", i, n)))).alias("gram")).distinct()
 
 
-def _positions(n: int, test: str) -> str:
-    return f"IF(n_words < {n}, array(), filter(sequence(1, greatest(n_words - {n - 1}, 1)), i -> {test}))"
+def _bit_map(hashes: DataFrame, n: int) -> tuple[str, int]:
+    """hashes (h: bigint), n of them -> (a SQL literal of the map's 64-bit words, the number of words, a power of two)."""
+    words = 1
+    while 64 * words < min(BITS * n, MOST_BITS):
+        words *= 2
+    places = hashes.select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("x"))
+    set_bits = places.groupBy(F.pmod(F.shiftrightunsigned("x", 6), F.lit(words)).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x & 63 AS int)))").alias("bits"))
+    found = [0] * words
+    for r in set_bits.collect():  # the map itself
+        found[r["word"]] = r["bits"]
+    return f"from_json('{json.dumps(found)}', 'array<bigint>')", words
+
 
+def _passes(map_sql: str, words: int, h: str) -> str:
+    bit = lambda x: f"getbit({map_sql}[cast(pmod(shiftrightunsigned({x}, 6), {words}) AS int)], cast({x} & 63 AS int)) = 1"
+    return f"{bit(h)} AND {bit(f'shiftrightunsigned({h}, 32)')}"
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, in_set: int = IN_SET_GRAMS) -> DataFrame:
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs (doc_id, text) -> uid, doc_id, n_words, hit: array of (at, n, items), one row for each row of docs.
 
     at is the 1-based position of the window's first word, items the ids of the items that have the window.
     """
     windows = stage(item_windows(benchmark, window), "windows")
     sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.countDistinct("gram").alias("c")).collect()}  # one row per window length
-    small = sum(sizes.values()) <= in_set
     worded = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), words_of(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
+    worded = worded.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     parts = []
     for n in sorted(sizes):
-        gram = f"transform(slice(w, i, {n}), x -> x)" if n > 1 else "slice(w, i, 1)"
-        test = "true"
-        if small:
-            known = [r[0] for r in windows.where(F.col("n") == n).select(F.xxhash64(F.split("gram", " "))).distinct().collect()]  # in_set at most
-            test = f"xxhash64(slice(w, i, {n})) IN ({', '.join(f'{x}L' if x != -(2**63) else 'bigint(-9223372036854775808)' for x in known)})"
-        parts.append(f"transform({_positions(n, test)}, i -> named_struct('at', i, 'n', {n}, 'gram', concat_ws(' ', slice(w, i, {n}))))")
+        hashes = windows.where(F.col("n") == n).select(F.xxhash64(F.transform(F.split("gram", " "), lambda x: F.xxhash64(x))).alias("h"))
+        test = _passes(*_bit_map(hashes, sizes[n]), "x")
+        own = f"IF(n_words < {n}, array(), transform(sequence(1, greatest(n_words - {n - 1}, 1)), i -> xxhash64(slice(h, i, {n}))))"
+        places = f"array_compact(transform({own}, (x, i) -> IF({test}, i + 1, NULL)))"
+        parts.append(f"transform({places}, i -> named_struct('at', i, 'n', {n}, 'gram', concat_ws(' ', slice(w, i, {n}))))")
     empty = "cast(array() as array<struct<at:int,n:int,gram:string>>)"
     found = worded.select("uid", "doc_id", "n_words", F.expr(f"concat({', '.join([empty, *parts])})").alias("found"))
     found = found.select("uid", "doc_id", "n_words", F.explode_outer("found").alias("f")).select("uid", "doc_id", "n_words", "f.at", "f.n", "f.gram")
     grams = windows.groupBy("gram").agg(F.collect_set("item_id").alias("items"))
-    verified = found.join(F.broadcast(grams) if small else grams, "gram", "left")
+    verified = found.join(F.broadcast(grams) if sum(sizes.values()) <= JOINED else grams.hint("merge"), "gram", "left")
     return verified.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").cast("bigint").alias("n_words"),
@@ -102,7 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, with their columns, whose doc_id has no contaminated text."""
     bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -110,8 +128,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     Rows are matched by doc_id, so rows that share one must be equal.
     """
-    spans = hits(docs, benchmark, window).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("_bad")).agg(F.first("hit").alias("hit"))
+    rows = docs.select("doc_id", "text")
+    spans = hits(rows, benchmark, window).where(F.size("hit") > 0).groupBy(F.col("doc_id").alias("bad")).agg(F.first("hit").alias("hit"))
     left = F.filter(words_of(F.col("text")), lambda w, i: ~F.exists("hit", lambda h: (i + 1 >= h["at"]) & (i + 1 < h["at"] + h["n"])))
-    return docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_bad")), "left").select(
-        "doc_id", F.when(F.col("_bad").isNull() & F.col("hit").isNull(), F.col("text")).otherwise(F.array_join(left, " ")).alias("text")
-    )
+    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col("bad")), "left").select("doc_id", F.when(F.col("hit").isNull(), F.col("text")).otherwise(F.array_join(left, " ")).alias("text"))
