@@ -1,12 +1,14 @@
 """Toxicity by subword bags.
 
-A word is the set of its character n-grams (over UTF-8 bytes, with edge marks), hashed into BUCKETS embeddings; a window of WINDOW words is the mean of its words' vectors, each the mean of its features; a
-linear softmax over that mean tells the two classes apart.  Embeddings and softmax are trained jointly.
-Misspellings share most of a word's n-grams, so unseen ones get nearly its vector.
+A word is the set of its character n-grams (over UTF-8 bytes, with edge marks), hashed into BUCKETS embeddings; a bag of
+words is the mean of its words' vectors, each the mean of its features; a linear softmax over that mean tells the two
+classes apart.  Embeddings and softmax are trained jointly.  Misspellings share most of a word's n-grams, so unseen
+ones get nearly its vector.
 
-A document is as toxic as its most toxic window.  In training, the first rounds take a random stretch of the
-document as one bag, the later ones the window that scores highest at that time, so in clean documents the most
-misleading windows are learnt from.
+A document is as toxic as the bag of its most toxic WINDOW words in a row.  In training, the first round takes the whole
+document as one bag, the later ones the window of the whole document that scores highest at that time, so in clean
+documents the most misleading windows are learnt from.  In these rounds a share of the words is misspelt anew each time,
+in both classes alike.  A document without words is a bag of nothing; one such counts as clean in training.
 
 After training each bucket's effect on the log-odds is a number, and a word's effect a mean of numbers; scoring
 hashes each distinct word of a batch once.
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.llm import hashing
 
@@ -28,10 +31,11 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 WINDOW = 4
 GRAMS = (3, 4, 5, 6)
-#: Words of a bag in the first rounds, drawn anew each round.
-BAG = 64
-#: Labelled documents of each class that are learnt from, chosen by hash: the bound of what reaches the driver.
-SAMPLE = {1: 1500, 0: 1500}
+#: Labelled documents of each class that are learnt from, chosen by hash, and their bytes of text: the bounds of what reaches the driver.
+SAMPLE = {1: 2000, 0: 2500}
+SAMPLE_BYTES = 16 << 20
+#: Words that a training step takes at a time.
+STEP_WORDS = 1 << 16
 THRESHOLD = 0.7
 
 SEPARATOR = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
@@ -50,22 +54,19 @@ def features(words: hashing.Words, which: np.ndarray) -> tuple[np.ndarray, np.nd
     data[cuts[:-1]], data[cuts[1:] - 1] = 1, 2  # edge marks: bytes that no word has
     data[inner] = words.data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)]
     owner = np.repeat(np.arange(len(which)), total)
-    values = hashing._TABLES[False][data]
-    up, down = hashing._bytes.get(max(1, len(data)))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values * up[: len(data)], dtype=np.uint64, out=sums[1:])
+    eight = hashing.octets(data)
     found, owners = [], []
     for n in GRAMS:
         if len(data) >= n:
             at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1])
-            found.append(hashing.mix((sums[at + n] - sums[at]) * down[at] + np.uint64(n)))
+            found.append(hashing.mix(eight[at] << np.uint64(64 - 8 * n) | np.uint64(n)))
             owners.append(owner[at])
     short = np.flatnonzero(sizes < min(GRAMS) - 1)  # a word too short for an n-gram is a feature itself
     found.append(hashing.mix(words.hashes[which[short]] + np.uint64(99)))
     owners.append(short)
     hashes, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    return (hashes[order] >> np.uint64(64 - 18)).astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(which)))])
+    return (hashes[order] >> np.uint64(64 - 18)).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(which)))])
 
 
 @dataclass
@@ -108,91 +109,129 @@ def best_starts(effect: np.ndarray, first: np.ndarray) -> np.ndarray:
     return begin
 
 
-def vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts as numbers of distinct words: (first word of each text, number of each word's distinct word, features of those, where each begins).
+def vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, hashing.Words]:
+    """The texts as numbers of distinct words: (first word of each text, number of each word's distinct word, the distinct words).
 
     Texts are hashed a few megabytes at a time; only distinct words are kept.
     """
     seen: dict[int, int] = {}
-    numbers, counts, found, sizes = [], [], [], []
+    numbers, counts, blobs, sizes, hashes = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for _, _, words in hashing.chunks(texts, SEPARATOR):
         distinct, at, own = np.unique(words.hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        new = [k for k, h in enumerate(keys) if h not in seen]
+        new = np.array([k for k, h in enumerate(keys) if h not in seen], np.int64)
         base = len(seen)
-        seen.update((keys[k], base + i) for i, k in enumerate(new))
-        buckets, cuts = features(words, at[new])
-        found.append(buckets.astype(np.int32))
-        sizes.append(np.diff(cuts))
+        seen.update((keys[k], base + i) for i, k in enumerate(new.tolist()))
+        data, size = spans(words, at[new])
+        blobs.append(data)
+        sizes.append(size)
+        hashes.append(distinct[new])
         numbers.append(np.array([seen[h] for h in keys], np.int32)[own])
         counts.append(words.counts())
     first = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    return first, np.concatenate(numbers), np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-
-
-def train(texts: pa.Array, labels: np.ndarray, rounds: int = 150, bag_rounds: int = 5, rate: float = 0.1, dropout: float = 0.5, seed: int = 5) -> Model:
+    ends = np.cumsum(np.concatenate(sizes))
+    return first, np.concatenate(numbers), hashing.Words(np.concatenate(blobs), np.concatenate(hashes), ends - np.concatenate(sizes), ends, np.array([0, len(ends)]))
+
+
+def spans(words: hashing.Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the chosen words one after another, number of bytes of each)."""
+    starts, sizes = words.starts[which], words.ends[which] - words.starts[which]
+    return words.data[np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)], sizes
+
+
+def misspelt(words: hashing.Words, which: np.ndarray, rng: np.random.Generator) -> hashing.Words:
+    """The chosen words (of four bytes or more), each with two neighbours exchanged, one byte left out or one doubled; the first stays."""
+    data, sizes = spans(words, which)
+    kind = rng.integers(0, 3, len(which))  # 0: exchange, 1: leave out, 2: double
+    place = 1 + rng.integers(0, sizes - 2)
+    new = sizes + (kind == 2) - (kind == 1)
+    owner = np.repeat(np.arange(len(which)), new)
+    cuts = np.concatenate([[0], np.cumsum(new)])
+    k = np.arange(cuts[-1]) - cuts[owner]
+    at, how = place[owner], kind[owner]
+    source = k + ((how == 1) & (k >= at)) - ((how == 2) & (k > at)) + ((how == 0) & (k == at)) - ((how == 0) & (k == at + 1))
+    data = data[(np.cumsum(sizes) - sizes)[owner] + source]
+    return hashing.Words(data, hashing.hash_spans(data, cuts[:-1], cuts[1:]), cuts[:-1], cuts[1:], np.array([0, len(which)]))
+
+
+def train(
+    texts: pa.Array, labels: np.ndarray, rounds: int = 60, bag_rounds: int = 1, refresh: int = 3, rate: float = 0.3, dropout: float = 0.5, edits: float = 0.3, seed: int = 5
+) -> Model:
     """Fit embeddings and softmax on the texts; labels are 0 or 1.  Without both classes the bias alone is fitted.
 
     In the window rounds each feature of a word is left out with probability `dropout`: no single n-gram may
-    carry a word, so a misspelling that keeps most of them is still recognised.
+    carry a word, so a misspelling that keeps most of them is still recognised; and words are misspelt with
+    probability `edits`.  Windows are chosen anew every `refresh` rounds.
     """
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    first, inverse, buckets, cuts = vocabulary(texts)
-    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
-    number = np.zeros(BUCKETS, np.int32)
-    number[used] = np.arange(len(used))
-    buckets = number[buckets]
-    table = rng.normal(0, 0.1, (len(used), DIMENSIONS)).astype(np.float32)
+    first, inverse, words = vocabulary(texts)
+    first, labels = np.append(first, first[-1]), np.append(labels, 0)  # the document without words
+    n_distinct = len(words.hashes)
+    parts = [features(words, np.arange(lo, min(lo + 16384, n_distinct))) for lo in range(0, n_distinct, 16384)]
+    buckets = np.concatenate([np.empty(0, np.int32), *(b for b, _ in parts)])
+    cuts = np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *(np.diff(c) for _, c in parts)]))])
+    del parts
+    table = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     head = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     squares = [np.full(x.shape, 1e-8, np.float32) for x in (table, head, bias)]
     n_words = np.diff(first)
-    weight = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum())) / len(labels)
+    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     onehot = np.stack([1 - labels, labels], 1)
 
-    def step(begin: np.ndarray, size: np.ndarray, keep: float) -> None:
-        """One gradient step on one stretch of words of each text."""
+    def slopes(docs: slice, begin: np.ndarray, size: np.ndarray, keep: float, edit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of table, head and bias from one stretch of words of each of these texts."""
         doc = np.repeat(np.arange(len(size)), size)
         at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
         share = (1 / np.maximum(size, 1))[doc]
+        changed = np.flatnonzero((rng.random(len(at)) < edit) & ((words.ends - words.starts)[inverse[at]] >= 4)) if edit else np.empty(0, np.int64)
         which, own = np.unique(inverse[at], return_inverse=True)
         n = cuts[which + 1] - cuts[which]
-        owner = np.repeat(np.arange(len(which)), n)
         feature = buckets[np.arange(n.sum()) + np.repeat(cuts[which] - (np.cumsum(n) - n), n)]
+        if len(changed):
+            extra, extra_cuts = features(misspelt(words, inverse[at[changed]], rng), np.arange(len(changed)))
+            own[changed] = len(which) + np.arange(len(changed))
+            feature, n = np.concatenate([feature, extra]), np.concatenate([n, np.diff(extra_cuts)])
+        owner = np.repeat(np.arange(len(n)), n)
         if keep < 1:
             chosen = rng.random(len(feature)) < keep
             owner, feature = owner[chosen], feature[chosen]
-        count = np.maximum(np.bincount(owner, minlength=len(which)), 1)
-        vectors = np.stack([np.bincount(owner, table[feature, d], len(which)) for d in range(DIMENSIONS)], 1) / count[:, None]
+        count = np.maximum(np.bincount(owner, minlength=len(n)), 1)
+        vectors = np.stack([np.bincount(owner, table[feature, d], len(n)) for d in range(DIMENSIONS)], 1) / count[:, None]
         bag = np.stack([np.bincount(doc, vectors[own, d] * share, len(size)) for d in range(DIMENSIONS)], 1)
         logits = bag @ head + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
-        error = (odds / odds.sum(1, keepdims=True) - onehot) * weight[:, None]
+        error = (odds / odds.sum(1, keepdims=True) - onehot[docs]) * weight[docs, None]
         of_bag = error @ head.T
-        of_word = np.stack([np.bincount(own, of_bag[doc, d] * share, len(which)) for d in range(DIMENSIONS)], 1) / count[:, None]
-        of_table = np.stack([np.bincount(feature, of_word[owner, d], len(used)) for d in range(DIMENSIONS)], 1)
-        for value, grad, kept in zip((table, head, bias), (of_table, bag.T @ error, error.sum(0)), squares, strict=True):
+        of_word = np.stack([np.bincount(own, of_bag[doc, d] * share, len(n)) for d in range(DIMENSIONS)], 1) / count[:, None]
+        return np.stack([np.bincount(feature, of_word[owner, d], BUCKETS) for d in range(DIMENSIONS)], 1), bag.T @ error, error.sum(0)
+
+    def step(begin: np.ndarray, size: np.ndarray, keep: float, edit: float) -> None:
+        """One gradient step on one stretch of words of each text, a part of the texts at a time."""
+        total: list[np.ndarray] = []
+        upto, lo = np.concatenate([[0], np.cumsum(size)]), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + STEP_WORDS, "right")) - 1)
+            part = slopes(slice(lo, hi), begin[lo:hi], size[lo:hi], keep, edit)
+            total = [a + b for a, b in zip(total, part, strict=True)] if total else list(part)
+            lo = hi
+        for value, grad, kept in zip((table, head, bias), total, squares, strict=True):
             kept += grad * grad
             value -= (rate * grad / np.sqrt(kept)).astype(np.float32)
 
     for turn in range(rounds):
         if turn < bag_rounds:
-            size = np.minimum(n_words, BAG)
-            step(first[:-1] + rng.integers(0, n_words - size + 1), size, 1.0)
-        else:
+            step(first[:-1], n_words, 1.0, 0.0)
+            continue
+        if (turn - bag_rounds) % refresh == 0:
             effect = (table @ (head[:, 1] - head[:, 0]))[buckets]
-            means = np.add.reduceat(effect, cuts[:-1]) / np.diff(cuts)
-            step(best_starts(means[inverse], first), np.minimum(n_words, WINDOW), 1 - dropout)
-    effects = np.zeros(BUCKETS, np.float32)
-    effects[used] = table @ (head[:, 1] - head[:, 0])
-    means = np.add.reduceat(effects[used][buckets], cuts[:-1]) / np.diff(cuts)
-    best, _ = best_windows(means[inverse], first)
-    # The threshold goes to the middle between the highest of the clean and the lowest of the toxic texts, but for one in a hundred.
-    middle = (np.quantile(best[labels == 0], 0.99) + np.quantile(best[labels == 1], 0.01)) / 2
-    return Model(effects, float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle))
+            means = np.add.reduceat(effect, cuts[:-1]) / np.diff(cuts) if n_distinct else np.empty(0)
+            begin = best_starts(means[inverse], first)
+        step(begin, np.minimum(n_words, WINDOW), 1 - dropout, edits)
+    return Model(table @ (head[:, 1] - head[:, 0]), float(bias[1] - bias[0]))
 
 
 def held_out_column() -> Column:
@@ -203,16 +242,21 @@ def held_out_column() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> Model:
     """Learn from labelled documents, at most sample[c] of class c, that aren't held out.  Only texts and labels.toxic are used.
 
-    Rows without doc_id, text or label are passed over.
+    Rows without doc_id, text or label are passed over.  Rows that share a doc_id count once, with the least of their
+    texts; a doc_id with both labels counts in both classes.  Texts are taken whole, in the order of a hash of doc_id, up to
+    SAMPLE_BYTES of each class.
     """
     free = labels.where("doc_id is not null and toxic is not null").where(~held_out_column()).select("doc_id", F.col("toxic").alias("y")).distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = None
     for c, n in sorted(sample.items()):
-        part = free.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = free.where(F.col("y") == c).orderBy(*order).limit(n)
         chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").toArrow()
-    order = np.lexsort([rows.column("doc_id").to_numpy()])
-    rows = rows.take(pa.array(order))
+    texts = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
+    once = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(*order))  # over the sample alone
+    rows = once.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).drop("upto").toArrow()
+    rows = rows.take(pa.array(np.lexsort([rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()])))
     return train(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(np.int64))
 
 
@@ -235,4 +279,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with their columns, that aren't predicted toxic."""
     model = fit(docs, labels)
     bad = score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
