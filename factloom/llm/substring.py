@@ -5,19 +5,24 @@ into the cover.  So two equal windows of WINDOW words have, at a common shift, a
 ANCHOR = WINDOW - PERIOD + 1 words from there lie in both windows: they share an aligned anchor.
 
 1. Anchors are hashed at cover positions only.  Those met once are dropped.
-2. Around the anchors that repeat, the windows that hold one are hashed whole, on 96 bits: the extension of an
-   anchor to either side.  A window that also starts earlier is one that repeats.
+2. Around the anchors that repeat, the windows that hold one are hashed whole, on 128 bits from two hashes of the
+   bytes that have nothing in common: the extension of an anchor to either side.  A window that also starts earlier is
+   one that repeats.
 3. The words that repeated windows cover are removed.
 
 Both hashings send compressed blocks of sorted entries to buckets by hash.  Each chunk of text sends a hash once,
 with its first position: a passage that stands in every document weighs one entry for each chunk and not for each
-document, and no bucket or task grows with it.
+document, and no bucket or task grows with it.  A chunk sends FANOUT blocks at most.  If there are more buckets, blocks
+go to groups of buckets first, and are merged to chunks and sent on from there, until each bucket has its own; so the
+blocks sent grow with the text and not with its square.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +38,17 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Text whose entries a bucket gets, on average.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Blocks that a chunk sends at most: buckets, or groups of buckets that are divided again.
+FANOUT = 1024
 #: Binary digits of doc_id that are left out in a slot: results travel by slots of neighbouring documents.
 SLOT = 8
 #: Text that is sorted together before it is sent.
 CHUNK = 16 << 20
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_ENTRY = "bucket int, entries binary, slot bigint, starts binary"
+_ENTRY = "bucket bigint, entries binary, slot bigint, starts binary"
+_NAMES = ["bucket", "entries", "slot", "starts"]
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -67,7 +75,7 @@ def _by_slot(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1])) if len(slots) else np.empty(0, np.int64)
     blobs = [_pack(d.astype("<i8"), p.astype("<u4")) for d, p in zip(np.split(docs, first[1:]), np.split(starts, first[1:]), strict=True)] if len(slots) else []
     n = len(first)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(slots[first], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "entries", "slot", "starts"])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(slots[first], pa.int64()), pa.array(blobs, pa.binary())], _NAMES)
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -78,11 +86,45 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(c[keep] for c in columns)
 
 
+@dataclass(frozen=True)
+class _Way:
+    """How entries travel: FANOUT ** levels buckets at most, a level of groups after another."""
+
+    fan: int
+    levels: int
+    second: bool  # entries carry a second hash
+    all_repeats: bool  # every position of a repeated hash is wanted, not all but the first
+
+    @property
+    def widths(self) -> tuple[int, ...]:
+        return (8, 8, 8, 4) if self.second else (8, 8, 4)
+
+    def bucket(self, h: np.ndarray, level: int) -> np.ndarray:
+        """The group of each hash after so many levels; sorted as the hashes are."""
+        return ((h >> np.uint64(32)) * np.uint64(self.fan**level)) >> np.uint64(32)
+
+
+def _sorted(parts: list[tuple[np.ndarray, ...]]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """(hash, second hash, document, position), sorted and distinct, and where a new hash begins."""
+    h, g, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort([pos, doc, g, h])
+    h, g, doc, pos = _distinct(h[order], g[order], doc[order], pos[order])
+    new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.empty(0, bool)
+    return (h, g, doc, pos), new
+
+
+def _repeats(way: _Way, new: np.ndarray) -> np.ndarray:
+    repeat = ~new
+    if way.all_repeats:  # the first of them is wanted too
+        repeat = repeat | np.append(~new[1:], False)
+    return repeat
+
+
 class _Sender:
-    """Collects (hash, second hash, document, position) of a chunk; gives rows for the buckets and of what the chunk itself decides."""
+    """Collects entries of a chunk; gives rows for the groups of a level, and of what the chunk itself decides."""
 
-    def __init__(self, buckets: int, second: bool, all_repeats: bool) -> None:
-        self.buckets, self.second, self.all_repeats = buckets, second, all_repeats
+    def __init__(self, way: _Way, level: int) -> None:
+        self.way, self.level = way, level
         self.held: list[tuple[np.ndarray, ...]] = []
         self.bytes = 0
 
@@ -95,49 +137,62 @@ class _Sender:
     def send(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        h, g, doc, pos = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        (h, g, doc, pos), new = _sorted(self.held)
         self.held, self.bytes = [], 0
-        order = np.lexsort([pos, doc, g, h])
-        h, g, doc, pos = _distinct(h[order], g[order], doc[order], pos[order])
-        new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.empty(0, bool)
         if not new.all():
-            repeat = ~new
-            if self.all_repeats:  # the first of them is wanted too
-                repeat |= np.append(~new[1:], False)
+            repeat = _repeats(self.way, new)
             yield _by_slot(doc[repeat], pos[repeat])
         h, g, doc, pos = h[new], g[new], doc[new], pos[new]
-        bucket = ((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
-        cuts = np.searchsorted(bucket, np.arange(self.buckets + 1, dtype=np.uint64))
-        ids, blobs = [], []
-        for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            if i < j:
-                ids.append(b)
-                blobs.append(_pack(h[i:j], *((g[i:j].astype("<u4"),) if self.second else ()), doc[i:j].astype("<i8"), pos[i:j].astype("<u4")))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], ["bucket", "entries", "slot", "starts"])
+        bucket = self.way.bucket(h, self.level)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+        cuts = [*first.tolist(), len(bucket)]
+        blobs = [_pack(h[i:j], *((g[i:j],) if self.way.second else ()), doc[i:j].astype("<i8"), pos[i:j].astype("<u4")) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        n = len(first)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int64)), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], _NAMES)
+
+
+def _entries(way: _Way, blob: bytes) -> tuple[np.ndarray, ...]:
+    h, *g, doc, pos = _unpack(blob, way.widths)
+    return h, g[0] if g else np.zeros(len(h), np.uint64), doc.view(np.int64), pos
 
 
-def _receive(second: bool, all_repeats: bool):
+def _divide(way: _Way, level: int):
+    """Blocks of groups -> merged blocks of the next level's groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sender = None, _Sender(way, level)
+        for batch in batches:
+            decided = batch.column(1).is_null()
+            if pc.any(decided).as_py():
+                yield batch.filter(decided).select(_NAMES)
+                batch = batch.filter(pc.invert(decided))
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != at:
+                    yield from sender.send()
+                    at = bucket
+                entries = _entries(way, blob.as_buffer())
+                yield from sender.add(sum(way.widths) * len(entries[0]), *entries)
+        yield from sender.send()
+
+    return run
+
+
+def _receive(way: _Way):
     """Per bucket: the positions whose hash stands in several chunks; all of them, or all but the first."""
 
-    def decide(blobs: list[bytes]) -> pa.RecordBatch:
-        parts = [_unpack(b, (8, 4, 8, 4) if second else (8, 8, 4)) for b in blobs]
-        h, *g, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        doc = doc.view(np.int64)
-        order = np.lexsort([pos, doc, *g, h])
-        h, g, doc, pos = _distinct(h[order], g[0][order] if g else np.zeros(len(h), np.uint32), doc[order], pos[order])
-        same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
-        repeat = np.append(False, same)
-        if all_repeats:
-            repeat |= np.append(same, False)
+    def decide(blobs: list) -> pa.RecordBatch:
+        (_, _, doc, pos), new = _sorted([_entries(way, b.as_buffer()) for b in blobs])
+        repeat = _repeats(way, new)
         return _by_slot(doc[repeat], pos[repeat])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
             decided = batch.column(1).is_null()
-            yield batch.filter(decided).select(["slot", "starts"])
-            batch = batch.filter(pc.invert(decided))
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if pc.any(decided).as_py():
+                yield batch.filter(decided).select(["slot", "starts"])
+                batch = batch.filter(pc.invert(decided))
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if bucket != at and held:
                     yield decide(held).select(["slot", "starts"])
                     held = []
@@ -149,10 +204,14 @@ def _receive(second: bool, all_repeats: bool):
     return run
 
 
-def _repeated(sent: DataFrame, second: bool, all_repeats: bool) -> DataFrame:
+def _repeated(sent: DataFrame, way: _Way) -> DataFrame:
     """(slot, packed positions) of what repeats: decided within chunks, and by bucket."""
-    rows = sent.withColumn("bucket", F.coalesce("bucket", F.pmod(F.hash("slot"), F.lit(1 << 20))))
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(second, all_repeats), "slot bigint, starts binary")
+    anywhere = F.coalesce("bucket", F.pmod(F.xxhash64("slot"), F.lit(way.fan)))
+    for level in range(2, way.levels + 1):
+        part = F.pmod(F.xxhash64(F.coalesce("entries", "starts")), F.lit(way.fan))  # a group is divided by as many tasks as it has parts
+        rows = sent.withColumn("place", anywhere).withColumn("part", part)
+        sent = rows.repartition("place", "part").sortWithinPartitions("place", "part").select(_NAMES).mapInArrow(_divide(way, level), _ENTRY)
+    return sent.withColumn("place", anywhere).repartition("place").sortWithinPartitions("place").select(_NAMES).mapInArrow(_receive(way), "slot bigint, starts binary")
 
 
 def _collected(rows: DataFrame) -> DataFrame:
@@ -175,9 +234,13 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, starts of windows that also start earlier, as 32-bit integers), and the (doc_id, text, ...) that can have any."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
+    levels = next(k for k in itertools.count(1) if FANOUT**k >= buckets)
+    fan = next(f for f in itertools.count(max(2, int(buckets ** (1 / levels)))) if f**levels >= buckets)
+    by_anchor = _Way(fan, levels, second=False, all_repeats=True)
+    by_window = _Way(fan, levels, second=True, all_repeats=False)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(buckets, second=False, all_repeats=True)
+        sender = _Sender(by_anchor, 1)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, _, words in hashing.chunks(batch.column(1)):
@@ -186,14 +249,14 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 pos = at - words.first[owner]
                 keep = _IN_COVER[pos % PERIOD] & (words.counts()[owner] >= WINDOW)
                 h, owner, pos = h[keep], owner[keep], pos[keep]
-                yield from sender.add(len(words.data), h, np.zeros(len(h), np.uint32), ids[i + owner], pos)
+                yield from sender.add(len(words.data), h, np.zeros(len(h), np.uint64), ids[i + owner], pos)
         yield from sender.send()
 
     sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(anchors, _ENTRY)
-    candidates = stage(docs.select("doc_id", "text").join(_collected(_repeated(sent, False, True)), "doc_id"), "candidates")
+    candidates = stage(docs.select("doc_id", "text").join(_collected(_repeated(sent, by_anchor)), "doc_id"), "candidates")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = _Sender(buckets, second=True, all_repeats=False)
+        sender = _Sender(by_window, 1)
         for batch in batches:
             ids, starts = batch.column(0).to_numpy(), batch.column(2)
             for i, j, words in hashing.chunks(batch.column(1)):
@@ -211,21 +274,12 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keep = wanted[at]
                 at, h = at[keep], h[keep]
                 owner = words.owner()[at]
-                second = _second_hash(words, at)
+                second = hashing.runs(hashing.hash_spans(words.data, words.starts, words.ends, seed=1), WINDOW)[at] if len(at) else h
                 yield from sender.add(len(words.data), h, second, ids[i + owner], at - words.first[owner])
         yield from sender.send()
 
     sent = candidates.select("doc_id", "text", "starts").mapInArrow(windows, _ENTRY)
-    return _collected(_repeated(sent, True, False)), candidates
-
-
-def _second_hash(words: hashing.Words, at: np.ndarray) -> np.ndarray:
-    """32 bits of another hash of the windows at these words."""
-    n = len(words.hashes)
-    up, down = hashing._bytes.get(max(1, n))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashing.mix(words.hashes + np.uint64(1)) * up[:n], dtype=np.uint64, out=sums[1:])
-    return (hashing.mix((sums[at + WINDOW] - sums[at]) * down[at]) >> np.uint64(32)).astype(np.uint32)
+    return _collected(_repeated(sent, by_window)), candidates
 
 
 def _kept_words(text: str | None, starts: bytes | None) -> tuple[int, list[bytes]]:
