@@ -9,21 +9,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders made in each open scratch().
+_made: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is (local mode, tests)."""
+    """The cluster's checkpoint folder; a temporary one is set only where none is and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/factloom-{label}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -34,5 +44,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Folders made inside are removed at the end, but for those that frames given to the yielded function still read."""
+    _made.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(path.rsplit("/", 2)[-2] for path in df.inputFiles())
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _made.pop()
+        left = [path for path in made if path.rsplit("/", 1)[-1] in kept]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in set(made) - set(left):
+            folder = hadoop.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        if _made:
+            _made[-1].extend(left)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

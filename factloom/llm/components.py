@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import stage
+from factloom.llm.common import scratch, stage
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,27 +19,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops, repeated and reversed edges are allowed; edges with a null end are dropped.  No edges: no rows.
     """
-    edges = stage(
-        edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(),
-        "edges",
-    )
-    labels = None
-    while not edges.isEmpty():
-        both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        parents = stage(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("p")).select("id", F.least("id", "p").alias("p")), "parents")
-        for _ in range(2):
-            up = parents.select(F.col("id").alias("p"), F.col("p").alias("q"))
-            parents = parents.join(up, "p").select("id", F.col("q").alias("p"))
-        parents = stage(parents, "roots")
-        if labels is None:
-            labels = parents.select("id", F.col("p").alias("component"))
-        else:
-            up = parents.select(F.col("id").alias("component"), "p")
-            labels = stage(labels.join(up, "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
-        left = parents.select(F.col("id").alias("src"), F.col("p").alias("a"))
-        right = parents.select(F.col("id").alias("dst"), F.col("p").alias("b"))
+    with scratch(edges.sparkSession) as keep:
         edges = stage(
-            edges.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
+            edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(),
             "edges",
         )
-    return labels if labels is not None else edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+        labels = None
+        while not edges.isEmpty():
+            both = edges.unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+            parents = stage(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("p")).select("id", F.least("id", "p").alias("p")), "parents")
+            for _ in range(2):
+                up = parents.select(F.col("id").alias("p"), F.col("p").alias("q"))
+                parents = parents.join(up, "p").select("id", F.col("q").alias("p"))
+            parents = stage(parents, "roots")
+            if labels is None:
+                labels = parents.select("id", F.col("p").alias("component"))
+            else:
+                up = parents.select(F.col("id").alias("component"), "p")
+                labels = stage(labels.join(up, "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
+            left = parents.select(F.col("id").alias("src"), F.col("p").alias("a"))
+            right = parents.select(F.col("id").alias("dst"), F.col("p").alias("b"))
+            edges = stage(
+                edges.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
+                "edges",
+            )
+        return keep(labels) if labels is not None else keep(edges).select(F.col("src").alias("id"), F.col("dst").alias("component"))

@@ -7,10 +7,15 @@ no bucket with probability (1 - 0.75**4)**32, about 5 in a million.
 
 Candidates are stars: in each bucket a pivot, drawn anew per bucket, is paired with every other member, so
 pairs grow with the rows and not with the square of a group.  Pairs are confirmed on the full sets of both
-texts.  Two members may be linked with each other and not with the pivot.  So pairs of at least NEAR percent
-join documents to families, and a family whose links don't make it one component is searched whole: its texts are
-dealt to blocks of BLOCK x BLOCK, each block counts all intersections at once by an index of its shingles, and gives
-a spanning forest of the links between components, never the pairs.
+texts.  What a star leaves open loses nothing, as the distance 1 - similarity obeys the triangle inequality: if x is
+linked with the pivot and y with x, each at a distance of at most d = 1 - threshold, then y is within 2 d of the pivot.
+
+- Pairs within 2 d ("near") join documents to families.  A family whose links don't make it one component is searched
+  whole: its texts are dealt to blocks of BLOCK_BYTES x BLOCK_BYTES, each pair of blocks counts all intersections at once
+  by an index of its shingles, and gives a spanning forest of the links between components, never the pairs.
+- Members of a bucket that aren't linked with its pivot may be linked with each other.  If any of them is not near the
+  pivot, they are compared with each other by their bins, in blocks too; those that share SHARED bins or more join one
+  family.  Two texts of similarity 0.75 share fewer with a probability under 10**-15 (binomial, large sets).
 
 Documents with equal sets form one class, represented by its smallest doc_id; only representatives enter
 buckets.
@@ -18,24 +23,26 @@ buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import hashing
-from factloom.llm.common import stage
+from factloom.llm.common import scratch, stage
 from factloom.llm.components import connected_components
 
 SHINGLE = 5
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Members of a family that are compared with as many others at a time.
-BLOCK = 256
-#: Similarity in per cent from which a star's pair belongs to one family.
-NEAR = 25
+#: Text of a family that is compared with as much at a time, on average.
+BLOCK_BYTES = 6 << 20
+#: Members of a bucket whose bins are compared with as many others at a time.
+BLOCK = 1024
+#: Equal bins from which two members of a bucket join one family.
+SHARED = 51
 
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - 7)
 #: The bin that an empty bin tries at each attempt.  With one full bin, 4096 attempts fail once in 10**14 times.
@@ -58,8 +65,7 @@ def shingle_sets(words: hashing.Words) -> list[np.ndarray]:
 
 def _sequence_hash(own: np.ndarray) -> np.uint64:
     """Of a short text's whole sequence, apart from every longer shingle."""
-    up, _ = hashing._words.get(SHINGLE)
-    return hashing.mix((own * up[: len(own)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(own)))[0]
+    return hashing.mix(hashing.runs(own, len(own)) + np.uint64(len(own)))[0]
 
 
 def signature(own: np.ndarray) -> np.ndarray:
@@ -102,7 +108,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets have 100 * intersection >= NEAR * union; linked: >= threshold * union."""
+    """The pairs (a, b) of doc_ids whose full sets are within 2 d, linked within d: d = 1 - threshold / 100."""
+
+    least = max(1, 2 * threshold - 100)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] = {}  # sets of texts met just before: the pairs of one document come together
@@ -120,7 +128,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                 for k, (x, y) in enumerate(zip(*sides, strict=True), lo):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     either = len(x) + len(y) - both
-                    near[k], linked[k] = 0 < 100 * both >= NEAR * either, 0 < 100 * both >= threshold * either
+                    near[k], linked[k] = 0 < 100 * both >= least * either, 0 < 100 * both >= threshold * either
                 if len(kept) > 256:
                     kept.clear()
             mask = pa.array(near)
@@ -144,41 +152,45 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[n
         yield np.bincount(owner[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)], minlength=len(right))
 
 
-def family_links(members: DataFrame, threshold: int) -> DataFrame:
-    """members (family, id, component, text) -> (src, dst): pairs of components that a link joins, a few for each block."""
-    blocks = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", "family"), F.col("blocks")).cast("int")
+class _Forest:
+    """Edges that join what wasn't joined before."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.edges: list[tuple[int, int]] = []
+
+    def find(self, c: int) -> int:
+        root = self.root
+        root.setdefault(c, c)
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.edges.append((a, b))
+
+
+def searched(members: DataFrame, blocks: Column, columns: list[str], within: Callable[[pa.Table, np.ndarray, np.ndarray], list[tuple[int, int]]]) -> DataFrame:
+    """members (family, id, columns), compared with all of their family in pairs of blocks -> (src, dst) that `within` gives for each.
+
+    blocks is an aggregate: the number of blocks of a family.  within gets the rows of two blocks, and the places of
+    those on the left and on the right (the same for a block with itself).
+    """
+    numbers = members.groupBy("family").agg(blocks.cast("int").alias("blocks"))
     dealt = (
-        members.join(blocks, "family")
-        .withColumn("own", own)
+        members.join(numbers, "family")
+        .withColumn("own", F.pmod(F.xxhash64("id", "family"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "component", "text")
+        .select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", *columns)
     )
 
-    def within(group: pa.Table) -> list[tuple[int, int]]:
-        x, y, own, component = (group.column(c).to_numpy() for c in ("x", "y", "own", "component"))
-        sets: list[np.ndarray] = []
-        for _, _, words in hashing.chunks(group.column("text").combine_chunks(), lower=True):
-            sets += shingle_sets(words)
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        sizes = np.array([len(s) for s in sets])
-        root = {c: c for c in component.tolist()}
-        out = []
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        for i, both in zip(left.tolist(), intersections([sets[i] for i in left], [sets[j] for j in right]), strict=True):
-            hit = (100 * both >= threshold * (sizes[i] + sizes[right] - both)) & (component[right] != component[i])
-            for c in np.unique(component[right[hit]]).tolist():
-                a, b = find(component[i].item()), find(c)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    out.append((a, b))
-        return out
+    def pair(rows: pa.Table) -> list[tuple[int, int]]:
+        x, y, own = (rows.column(c).to_numpy() for c in ("x", "y", "own"))
+        return within(rows, np.flatnonzero(own == x), np.flatnonzero(own == y))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -188,15 +200,54 @@ def family_links(members: DataFrame, threshold: int) -> DataFrame:
             rows = pa.Table.from_batches([*held, batch])
             keys = np.stack([rows.column(c).to_numpy() for c in ("family", "x", "y")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), rows.num_rows]
-            found = [p for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) for p in within(rows.slice(a, b - a))]
+            found = [p for a, b in zip(cuts[:-2], cuts[1:-1], strict=True) for p in pair(rows.slice(a, b - a))]
             held = rows.slice(cuts[-2]).to_batches()
             yield _edges(found)
         if held:
-            yield _edges(within(pa.Table.from_batches(held)))
+            yield _edges(pair(pa.Table.from_batches(held)))
 
     return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(search, "src bigint, dst bigint")
 
 
+def family_links(members: DataFrame, threshold: int) -> DataFrame:
+    """members (family, id, component, text) -> (src, dst): pairs of components that a link joins, a few for each pair of blocks."""
+
+    def within(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        component = rows.column("component").to_numpy()
+        sets: list[np.ndarray] = []
+        for _, _, words in hashing.chunks(rows.column("text").combine_chunks(), lower=True):
+            sets += shingle_sets(words)
+        sizes = np.array([len(s) for s in sets])
+        forest = _Forest()
+        for i, both in zip(left.tolist(), intersections([sets[i] for i in left], [sets[j] for j in right]), strict=True):
+            hit = (100 * both >= threshold * (sizes[i] + sizes[right] - both)) & (component[right] != component[i])
+            for c in np.unique(component[right[hit]]).tolist():
+                forest.join(component[i].item(), c)
+        return forest.edges
+
+    return searched(members, F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES), ["component", "text"], within)
+
+
+def open_links(rows: DataFrame, reps: DataFrame, near: DataFrame) -> DataFrame:
+    """rows (band, id, pivot) of all buckets -> (src, dst): members not linked with their pivot that share SHARED bins, as a spanning forest of each pair of blocks."""
+
+    def within(rows: pa.Table, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        ids = rows.column("id").to_numpy()
+        bins = np.frombuffer(b"".join(rows.column("bins").to_pylist()), "<u4").reshape(len(ids), BINS)
+        others = bins[right]
+        forest = _Forest()
+        for i in left.tolist():
+            for j in right[(others == bins[i]).sum(1) >= SHARED].tolist():
+                forest.join(ids[i].item(), ids[j].item())
+        return forest.edges
+
+    pairs = rows.select("band", "id", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    left = pairs.join(near.hint("merge"), ["a", "b"], "left").where("coalesce(not linked, true)").select("band", "id", F.col("linked").isNull().alias("far"))
+    kept = left.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("n > 1 and far").select("band")
+    members = left.join(kept.hint("merge"), "band", "left_semi").join(reps.select("id", "bins").hint("merge"), "id").select(F.col("band").alias("family"), "id", "bins")
+    return searched(members, F.ceil(F.count(F.lit(1)) / BLOCK), ["bins"], within)
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["src", "dst"])
 
@@ -207,37 +258,40 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     Words are runs outside ASCII white space, with A-Z in lower case.  Documents are linked where 100 *
     intersection >= threshold * union of their sets; component_id is the smallest doc_id reachable by links.
     Documents without words (null and empty texts too) and rows without doc_id are linked with nothing; the
-    latter's component is null and they are kept.  Rows that share a doc_id are one document in this.  Other
-    columns are ignored.  No rows give no rows.
+    latter's component is null and they are kept.  Rows that share a doc_id are one document, with the text of
+    any of them.  Other columns are ignored.  No rows give no rows.
     """
-    signed = stage(signatures(docs), "signed")
-    key = ["set_a", "set_b", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
-    members = stage(
-        signed.drop("bins").join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
-        "members",
-    )
-    reps = stage(
-        signed.join(classes, key).where("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bins").dropDuplicates(["id", "n"]),
-        "reps",
-    )
-    band_keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("bins", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    rows = reps.select("id", "n", F.explode(band_keys).alias("band"))
-    # The pivot is the smallest id after a bijection that differs from bucket to bucket.
-    buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("id").bitwiseXOR(F.col("band"))).bitwiseXOR(F.col("band")).alias("pivot")).where("size > 1")
-    pivots = rows.join(buckets, "band").where("id <> pivot")
-    stars = stage(pivots.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
-    near = stage(confirm(stars, texts, threshold), "near")
-    ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
-    linked = connected_components(near.where("linked").select(*ends))
-    families = connected_components(near.select(*ends)).withColumnRenamed("component", "family")
-    placed = stage(families.join(linked, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "placed")
-    apart = placed.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
-    open_rows = placed.join(apart, "family", "left_semi").join(texts.withColumnRenamed("doc_id", "id"), "id")
-    merged = connected_components(family_links(open_rows, threshold)).select(F.col("id").alias("component"), F.col("component").alias("whole"))
-    found = placed.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
-    final = members.join(found, members["rep"] == found["id"], "left")
-    component = F.coalesce("component", "rep")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    with scratch(docs.sparkSession) as keep:
+        signed = stage(signatures(docs), "signed")
+        key = ["set_a", "set_b", "n_shingles"]
+        named = F.col("doc_id").isNotNull()
+        classes = signed.where(named & (F.col("n_shingles") > 0)).groupBy(*key).agg(F.min("doc_id").alias("rep"))
+        members = stage(
+            signed.drop("bins").join(classes, key, "left").select("doc_id", "n_shingles", F.when(named, F.coalesce("rep", "doc_id")).alias("rep")),
+            "members",
+        )
+        reps = stage(
+            signed.join(classes, key).where("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bins").dropDuplicates(["id", "n"]),
+            "reps",
+        )
+        band_keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("bins", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+        rows = reps.select("id", "n", F.explode(band_keys).alias("band"))
+        # The pivot is the smallest id after a bijection that differs from bucket to bucket.
+        buckets = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.col("id").bitwiseXOR(F.col("band"))).bitwiseXOR(F.col("band")).alias("pivot")).where("size > 1")
+        pivots = stage(rows.join(buckets, "band").where("id <> pivot").select("band", "id", "pivot", "size"), "pivots")
+        stars = stage(pivots.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "stars")
+        wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = stage(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        near = stage(confirm(stars, texts, threshold), "near")
+        ends = [F.col("a").alias("src"), F.col("b").alias("dst")]
+        linked = connected_components(near.where("linked").select(*ends))
+        open_rows = open_links(pivots.where("size > 2"), reps, near)
+        families = connected_components(near.select(*ends).unionAll(open_rows)).withColumnRenamed("component", "family")
+        placed = stage(families.join(linked, "id", "left").select("id", "family", F.coalesce("component", "id").alias("component")), "placed")
+        apart = placed.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("family")
+        open_texts = placed.join(apart, "family", "left_semi").join(texts.withColumnRenamed("doc_id", "id"), "id")
+        merged = connected_components(family_links(open_texts, threshold)).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        found = placed.join(merged, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+        final = members.join(found, members["rep"] == found["id"], "left")
+        component = F.coalesce("component", "rep")
+        return keep(final.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import stage
+from factloom.llm.common import scratch, stage
 from factloom.llm.components import connected_components
 
 SUBSPACES, CODES = 16, 16
@@ -42,8 +42,8 @@ BLOCK, COMPONENTS = 4096, 2**20
 QUERIES = 256
 #: Vectors that centroids and codes are fitted on, at most.
 SAMPLE = 20_000
-#: Lists at most; about half the square root of the number of vectors otherwise.
-LISTS = 4096
+#: Vectors that centroids are fitted on, for each list: there are half the square root of the number of vectors lists, and more vectors are drawn for them.
+PER_LIST = 8
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -176,8 +176,9 @@ def search_unit(codec: Codec, members: tuple, queries: tuple, cosine: float) ->
 
 def links(sound: DataFrame, dims: int, n: int, cosine: float, sample: int, lists: int | None) -> DataFrame:
     """Vectors of one length, n of them, none null, zero or not finite -> uid and n, a part of its links, or src and dst, an edge of a spanning forest."""
-    drawn = sound.orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(sample).toArrow()
-    codec = fit(unit(matrix(drawn.column(0).combine_chunks())), lists or int(min(LISTS, max(4, round(np.sqrt(n) / 2)))))
+    lists = lists or max(4, round(np.sqrt(n) / 2))
+    drawn = sound.orderBy(F.xxhash64("vec_id"), "uid").select("embedding").limit(max(sample, PER_LIST * lists)).toArrow()
+    codec = fit(unit(matrix(drawn.column(0).combine_chunks())), lists)
     gaps = np.sqrt(((codec.coarse[:, None, :] - codec.coarse[None, :, :]) ** 2).sum(2)) if len(codec.coarse) <= 512 else None
     reach = float(np.sqrt(2 - 2 * cosine)) / 2 + 1e-6
     block = int(max(256, min(BLOCK, COMPONENTS // dims)))
@@ -296,21 +297,21 @@ that two or more vectors have is searched on its own.
     Rows that share a vec_id are counted as links apart and connect what they link with; a null vec_id links with
     nothing, its component is null and it is kept.  Other columns are ignored.  No rows give no rows.
     """
-    spark = vectors.sparkSession
-    x = F.col("embedding")
-    clean = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    rows = stage(
-        vectors.select("vec_id", "label", x.alias("embedding")).withColumn("ok", F.coalesce(clean & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("uid", F.monotonically_increasing_id()),
-        "vectors",
-    )
-    sound = rows.where("ok")
-    lengths = sound.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()
-    alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not lengths:
-        return alone
-    found = reduce(DataFrame.unionByName, (links(sound.where(F.size("embedding") == dims), dims, n, cosine, sample, lists) for dims, n in lengths))
-    counts = found.where("uid is not null").groupBy("uid").agg(F.sum("n").alias("n"))
-    groups = connected_components(found.where("src is not null").select("src", "dst"))
-    out = rows.select("uid", "vec_id").join(counts, "uid", "left").join(groups, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    with scratch(vectors.sparkSession) as keep:
+        x = F.col("embedding")
+        clean = (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
+        rows = stage(
+            vectors.select("vec_id", "label", x.alias("embedding")).withColumn("ok", F.coalesce(clean & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("uid", F.monotonically_increasing_id()),
+            "vectors",
+        )
+        sound = rows.where("ok")
+        lengths = sound.groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()
+        alone = rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        if not lengths:
+            return keep(alone)
+        found = reduce(DataFrame.unionByName, (links(sound.where(F.size("embedding") == dims), dims, n, cosine, sample, lists) for dims, n in lengths))
+        counts = found.where("uid is not null").groupBy("uid").agg(F.sum("n").alias("n"))
+        groups = connected_components(found.where("src is not null").select("src", "dst"))
+        out = rows.select("uid", "vec_id").join(counts, "uid", "left").join(groups, F.col("vec_id") == F.col("id"), "left")
+        component = F.coalesce("component", "vec_id")
+        return keep(out.select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")))
