@@ -178,6 +178,35 @@ def test_near_duplicates_beyond_the_star(spark):
     assert {r[0]: r[1] for r in rows_of(minhash.near_duplicates(frame), "doc_id", "component_id")} == roots(sets, links)
 
 
+@pytest.mark.parametrize("shared", [0.3, 0.55, 0.7])
+def test_near_duplicates_that_meet_only_where_the_pivot_is_unlike(spark, shared, monkeypatch):
+    """Many texts share a passage and so a bucket; some of them are linked in pairs, mostly not with the pivot."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 20_000)
+    rng = np.random.default_rng(4)
+    n = int(400 * shared)
+    passage = [f"p{i}" for i in range(n)]
+    rows = []
+    for d in range(0, 240, 2):
+        own = [f"o{d}_{i}" for i in range(400 - n)]
+        changed = list(own)
+        for k in rng.choice(len(own), min(len(own), 6), replace=False):
+            changed[k] = f"x{d}_{k}"
+        rows += [(d, " ".join(passage + own)), (d + 1, " ".join(passage + changed))]
+    sets = {d: shingles(t) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if b < a and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(links) >= 120
+    got = {r[0]: r[1] for r in rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "component_id")}
+    assert got == roots(sets, links)
+
+
+def test_near_duplicates_without_id(spark):
+    same = " ".join(_WORDS[:30])
+    rows = [(None, same), (1, same), (2, same), (None, same), (None, None)]
+    got = Counter(rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "n_shingles", "component_id", "kept"))
+    assert got == {(None, 26, None, True): 2, (1, 26, 1, True): 1, (2, 26, 1, False): 1, (None, 0, None, True): 1}
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 200])
 def test_signature_estimates_similarity(n):
     rng = np.random.default_rng(n)
@@ -227,8 +256,17 @@ def test_mixing(request, which):
     again = mixing.copies(frame.repartition(5)).collect()
     key = lambda r: (r["doc_id"], r["copies"])
     assert Counter(map(key, out)) == Counter(map(key, again))
-    if which == "docs":
-        assert mixing.mix(frame).count() == sum(r["copies"] for r in out)
+    plain = Counter()
+    for r in out:
+        plain[r["doc_id"], r["source"]] += r["copies"]
+    assert Counter(rows_of(mixing.mix(frame), "doc_id", "source")) == +plain and mixing.mix(frame).columns == frame.columns
+
+
+def test_mixing_repeated_rows(spark):
+    rows = [(i // 2, "w " * (1 + i // 6), "a" if i % 3 else None) for i in range(60)] + [(None, "x y", "a")] * 30
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    n = sum(r["copies"] for r in mixing.copies(frame).collect())
+    assert mixing.mix(frame).count() == mixing.mix(frame.repartition(7)).count() == n
 
 
 def test_warc_round_trip(spark):
@@ -253,14 +291,78 @@ def test_warc_parts():
         warc.unchunked(b"4\r\nabc\r\n0\r\n\r\n")
 
 
+def write_archive(spark, path, records, per_record=False):
+    """records as one gzipped archive, with one gzip member for all or for each."""
+    import gzip
+    import os
+
+    os.makedirs(path)
+    members = [r + b"\r\n\r\n" for r in records]
+    with open(f"{path}/part-0.warc.gz", "wb") as f:
+        f.write(b"".join(map(gzip.compress, members)) if per_record else gzip.compress(b"".join(members)))
+
+
 def test_warc_notices_missing_segments(spark):
     path = new_path(spark, "test")
-    records = warc.page_records("page:1:0", "u", b"x" * 40_000, None)
-    kept = [records[0], records[2]]
-    spark.createDataFrame([(r.decode("latin-1"),) for r in kept], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    records = warc.page_records(1, 0, "u", b"x" * 40_000, None)
+    write_archive(spark, path, [records[0], records[2]])
     assert [r["problem"] for r in warc.read_archives(spark, path).collect()] == ["a segment is missing"]
 
 
+def foreign(kind, name, block, *headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
+
+
+@pytest.mark.parametrize("per_record", [False, True])
+def test_warc_of_others(spark, per_record):
+    """Any record ids, one gzip member for each record, records that are no pages, broken framing, revisits that lead nowhere."""
+    http, page = "Content-Type: application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\nhello"
+    sha = hashlib.sha1(b"hello").hexdigest()
+    records = [
+        foreign("warcinfo", "urn:uuid:1", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("request", "urn:uuid:2", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        foreign("response", "urn:uuid:3", page, http, f"WARC-Payload-Digest: sha1:{sha}"),
+        foreign("response", "urn:uuid:4", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhelloXX", http),
+        foreign("resource", "http://any/id?x=1", b"raw\r\n\r\nbytes", "Content-Type: text/plain", "WARC-Payload-Digest: md5:123"),
+        foreign("revisit", "urn:uuid:6", b"HTTP/1.1 200 OK\r\n\r\n", http, "WARC-Refers-To: <urn:uuid:3>", f"WARC-Payload-Digest: sha1:{sha}"),
+        foreign("revisit", "urn:uuid:7", b"HTTP/1.1 200 OK\r\n\r\n", http, "WARC-Refers-To: <urn:uuid:99>", f"WARC-Payload-Digest: sha1:{sha}"),
+        foreign("revisit", "urn:uuid:8", b"HTTP/1.1 200 OK\r\n\r\n", http, "WARC-Refers-To: <http://any/id?x=1>", f"WARC-Payload-Digest: sha1:{sha}"),
+        foreign("response", "urn:uuid:9", page, http, f"WARC-Payload-Digest: sha1:{'0' * 40}"),
+    ]
+    path = new_path(spark, "test")
+    write_archive(spark, path, records, per_record)
+    got = {r["record_id"]: (r["record_type"], r["payload_bytes"], r["problem"]) for r in warc.read_archives(spark, path).collect()}
+    assert got == {
+        "<urn:uuid:3>": ("response", 5, None),
+        "<urn:uuid:4>": ("response", None, "a chunk does not end where it should"),
+        "<http://any/id?x=1>": ("resource", 12, None),
+        "<urn:uuid:6>": ("revisit", 5, None),
+        "<urn:uuid:7>": ("revisit", None, "the record that it refers to is missing"),
+        "<urn:uuid:8>": ("revisit", 12, "the digest is not that of the record that it refers to"),
+        "<urn:uuid:9>": ("response", 5, "the digest does not match"),
+    }
+
+
+def test_warc_that_is_cut_off(spark):
+    path = new_path(spark, "test")
+    records = warc.page_records(1, 0, "u", b"x" * 400, None)
+    write_archive(spark, path, [*records, records[0][:-7]])
+    got = warc.read_archives(spark, path).collect()
+    assert Counter((r["page_id"], r["problem"]) for r in got) == {(1, None): 1, (None, "the archive is cut off"): 1}
+
+
+def test_unzipping_in_pieces(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", 64)
+    data = np.random.default_rng(0).integers(0, 4, 5000, np.uint8).tobytes()
+    zipped = b"".join(gzip.compress(data[i : i + 700]) for i in range(0, 5000, 700)) + b"\0" * 5
+    assert b"".join(warc.unzipped(memoryview(zipped))) == data
+    records = [foreign("resource", f"urn:{i}", data[: 37 * i]) for i in range(9)]
+    assert [b for _, b in warc.records_of(warc.unzipped(memoryview(b"".join(gzip.compress(r + b"\r\n\r\n") for r in records))))] == [data[: 37 * i] for i in range(9)]
+
+
 def brute_contamination(frame, items):
     norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = defaultdict(set)
@@ -283,12 +385,14 @@ def brute_contamination(frame, items):
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
-@pytest.mark.parametrize("in_set", [0, decontam.IN_SET_GRAMS])
-def test_contamination(spark, request, which, in_set, monkeypatch):
+@pytest.mark.parametrize("bits", [decontam.MOST_BITS, 64, 0])
+def test_contamination(spark, request, which, bits, monkeypatch):
+    """Also with a map so small that nearly all positions pass, and with a shuffle in place of the broadcast."""
     frame = request.getfixturevalue(which)
     items = [(1, "One, TWO!"), (2, " ".join(_WORDS[3:18])), (3, ""), (4, None), (5, "one two"), (None, "middle"), (77, "same " * 12), (8, "absent words")]
     bench = spark.createDataFrame(items, "item_id bigint, text string") if which == "odd" else table(spark, SF, "benchmark")
-    monkeypatch.setattr(decontam.hits, "__defaults__", (decontam.WINDOW, in_set))
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
+    monkeypatch.setattr(decontam, "JOINED", 0 if bits == 0 else decontam.JOINED)
     got = Counter(rows_of(decontam.contamination(frame, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     assert got == brute_contamination(frame, rows_of(bench, "item_id", "text"))
 
@@ -468,10 +572,12 @@ def brute_repeats(frame):
 
 
 @pytest.mark.parametrize("which", ["docs", "odd"])
-@pytest.mark.parametrize("chunk", [substring.CHUNK, 3000])
-def test_repeats(request, which, chunk, monkeypatch):
+@pytest.mark.parametrize("chunk, fanout", [(substring.CHUNK, substring.FANOUT), (3000, substring.FANOUT), (3000, 3)])
+def test_repeats(request, which, chunk, fanout, monkeypatch):
+    """Also with small chunks, and with so few blocks for each that groups of buckets are divided twice."""
     frame = request.getfixturevalue(which)
     monkeypatch.setattr(substring, "CHUNK", chunk)
+    monkeypatch.setattr(substring, "FANOUT", fanout)
     assert Counter(rows_of(substring.remove_repeats(frame), "doc_id", "n_words", "n_removed", "kept_sha256")) == brute_repeats(frame)
 
 
@@ -487,6 +593,24 @@ def test_window_hashes():
     assert h[1] == h[3] and h[0] == h[4] and len(set(h.tolist())) == 3
 
 
+def test_word_hashes_have_no_twins():
+    """Words that are equal under polynomial hashes modulo 2 ** 64 whatever the base, and all short words of a kind."""
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [thue, other, thue[:200], other[:200], "a\0"[:1], "aa", "a" * 300, "a" * 301, "a" * 8, "a" * 9, "a" * 16, *(f"{i}" for i in range(5000))]
+    ((_, _, w),) = hashing.chunks(pa.array(texts))
+    assert len(w.hashes) == len(texts) == len(set(w.hashes.tolist()))
+    again = hashing.hash_spans(w.data, w.starts, w.ends, seed=1)
+    assert len(set(again.tolist())) == len(texts) and not (again == w.hashes).any()
+    values = np.arange(40, dtype=np.uint64) % np.uint64(7)
+    for k in (1, 2, 3, 5, 8, 20, 21):
+        h = hashing.runs(values, k)
+        same = {tuple(values[i : i + k].tolist()): h[i].item() for i in range(41 - k)}
+        assert len(h) == 41 - k and all(same[tuple(values[i : i + k].tolist())] == h[i] for i in range(41 - k)) and len(set(same.values())) == len(same)
+
+
 def test_empty_tables(spark, empty):
     assert planes.token_table(empty, queries.tokenizer_path(), 2).count() == 0
     assert ring.assign(empty, 16).count() == 0
