@@ -461,7 +461,7 @@ def test_vectors_of_several_lengths(spark):
 
 def test_licenses():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
-    mit = licenses.TEMPLATES["MIT"]
+    mit = licenses.TEMPLATES["MIT"].text
     changed = mit.replace("merge", "join").replace("OTHER LIABILITY", "other")
     for text, want in ((mit, "MIT"), ("Some words before. " + changed + " And after.", "MIT"), ("Intro.\nReleased under the MIT License.\nOutro", "MIT notice")):
         assert want in [f[0] for f in scanner.scan(text)[1]]
@@ -472,7 +472,7 @@ def test_licenses():
 def test_licenses_that_stand_several_times_with_changes():
     scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE)
     found = lambda text: [f[0] for f in scanner.scan(text)[1]]
-    mit = licenses.TEMPLATES["MIT"].replace("sublicense", "relicense")
+    mit = licenses.TEMPLATES["MIT"].text.replace("sublicense", "relicense")
     assert "MIT" in found(mit) and "MIT" in found(f"Start. {mit} Between. {mit} End.")
     assert "MIT notice" in found("Start. Distributed under the MIT License. Between. Distributed under the MIT License. End.")
     assert "MIT" in found(f"Start. {mit} {'word ' * 5000} {mit} {'other ' * 5000} you may sublicense it.")
@@ -496,12 +496,13 @@ def test_license_stretches_against_all_windows():
         for _ in range(rng.integers(1, 4)):
             copy = [w if rng.random() < 0.85 else "changed" for w in template]
             text += [f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 12))] + (copy if case % 3 else [])
-        reach = int(licenses.STRETCH * len(template))
+        reach = licenses.reach_of(template)
         windows = [text[i : i + reach] for i in range(len(text))]
-        whole = len(licenses.align(text, template))
+        pairs = licenses.align(text, template)
+        whole = len(pairs) if pairs and pairs[-1][0] - pairs[0][0] < reach else 0
         patience = max((len(licenses.align(w[:k], template)) for w in windows for k in range(1, len(w) + 1)), default=0)
         want = max(whole, *(longest(w, template) for w in windows), 0)
-        out = licenses.Scanner({"t": " ".join(template)}, 0.8).scan(" ".join(text))[1]
+        out = licenses.Scanner({"t": licenses.Template(" ".join(template))}, 0.8).scan(" ".join(text))[1]
         assert want >= patience and bool(out) == (want >= 0.8 * len(template))
         if out:
             n_found += 1
@@ -512,6 +513,44 @@ def test_license_stretches_against_all_windows():
     assert 30 < n_found < 150
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Released under the Apache License.", None),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0 notice"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0 notice"),
+        ("Licensed under CC BY NC 4.0.", None),
+        ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0 notice"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0 notice"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0 notice"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0 notice"),
+        ("The film was released in May. Under the new rules, the driver lost his license.", None),
+        ("Released in May under the new rules the MIT people lost their License.", None),
+        ("Released under the Apache License. Distributed under the MIT License.", "MIT notice"),
+        (licenses.TEMPLATES["BSD-3-Clause"].text, "BSD-3-Clause"),
+        (licenses.TEMPLATES["BSD-2-Clause"].text, "BSD-2-Clause"),
+        (licenses.TEMPLATES["LGPL-2.1 header"].text, "LGPL-2.1 header"),
+    ],
+)
+def test_licenses_that_share_phrases(text, want):
+    for t in (text, f"Intro words. {text} And an end."):
+        found = [f[0] for f in licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE).scan(t)[1]]
+        assert found == ([want] if want else [])
+
+
+def test_license_scan_of_documents(docs):
+    """The lines of the documents that name a licence, found by their plain words."""
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0 notice",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0 notice",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0 notice",
+        "Released under the MIT License.": "MIT notice",
+    }
+    want = {d: sorted(name for line, name in lines.items() if line in (t or "")) for d, t in texts(docs)}
+    got = {d: sorted(found) for d, found in rows_of(licenses.scan_licenses(docs), "doc_id", "found")}
+    assert got == want and sum(map(bool, want.values())) > 5
+
+
 def test_patience_alignment_is_an_increasing_match():
     rng = np.random.default_rng(0)
     for _ in range(200):
