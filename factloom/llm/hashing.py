@@ -1,8 +1,9 @@
 """Vectorised word and word-window hashing over Arrow string batches.
 
-A word's hash is a polynomial over its bytes modulo 2**64 with a random byte table, read off one
-prefix sum over the whole batch; a window's hash is the same over its words' hashes.  Both cost a few
-numpy passes whatever the window length, so nothing here loops over words in Python.
+A word's hash takes its bytes eight at a time through a bijective mixer, so two words of one length up to eight
+bytes never share it; words over LONG bytes are hashed by BLAKE2.  A window's hash joins the hashes of its two
+halves, which are those of shorter windows, so a window of k words costs about log2(k) numpy passes.  Memory is a
+few times the text at hand and is given back with it; nothing is kept between texts.
 
 Words are runs of bytes outside the separator class.  All separators used by the operators are ASCII,
 so splitting the UTF-8 bytes splits the characters.
@@ -10,60 +11,84 @@ so splitting the UTF-8 bytes splits the characters.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text hashed at a time; a longer text is hashed alone.
 CHUNK_BYTES = 2 << 20
+#: Bytes from which a word is hashed by BLAKE2.
+LONG = 256
 
 WHITESPACE = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 
-
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
-
-
-class _Powers:
-    """base**i and base**-i modulo 2**64, grown as needed."""
-
-    def __init__(self, base: np.uint64) -> None:
-        self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, base in (("up", self.base), ("down", _inverse(self.base))):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_bytes, _words = _Powers(BYTE_BASE), _Powers(WORD_BASE)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+#: The first n bytes of eight.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _byte_table(lower: bool) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-    if lower:
-        table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
-    return table
-
-
-_TABLES = {lower: _byte_table(lower) for lower in (False, True)}
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits for each run of bytes starts[i]:ends[i]; another seed gives a hash apart."""
+    size = ends - starts
+    eight = octets(data)
+    h = mix(size.astype(np.uint64) + np.uint64(1 + (seed << 40)))
+    h = mix(h ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        h[at] = mix(h[at] ^ (eight[starts[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+        h[i] = int.from_bytes(digest, "little")
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    t = a * np.uint64(0x9E3779B97F4A7C15)
+    t += b
+    t ^= t >> np.uint64(32)
+    t *= np.uint64(0xD6E8FEB86659FD93)
+    return t
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k values, in order."""
+    if len(h) < k:
+        return np.empty(0, np.uint64)
+    half, size, out, done, left = h, 1, None, 0, k
+    while left:
+        if left & 1:
+            n = len(h) - done - size + 1
+            out = half if out is None else _join(out[:n], half[done : done + n])
+            done += size
+        left >>= 1
+        if left:
+            half = _join(half[:-size], half[size:])
+            size *= 2
+    return mix(out)
 
 
 @dataclass
@@ -88,13 +113,9 @@ class Words:
         n = len(self.hashes)
         if n < k:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        up, down = _words.get(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hashes * up, dtype=np.uint64, out=sums[1:])
-        hashes = mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
         owner = self.owner()
         at = np.flatnonzero(owner[k - 1 :] == owner[: n - k + 1])
-        return at, hashes[at]
+        return at, runs(self.hashes, k)[at]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool) -> Words:
@@ -108,11 +129,10 @@ def words_of(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower
         begin[edges] = inside[edges]
         end[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _bytes.get(max(1, len(data)))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLES[lower][data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts]) if len(starts) else np.empty(0, np.uint64)
-    return Words(data, hashes, starts, ends, np.searchsorted(starts, offsets))
+    del inside, begin, end
+    if lower:
+        data = _LOWER[data]
+    return Words(data, hash_spans(data, starts, ends), starts, ends, np.searchsorted(starts, offsets))
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

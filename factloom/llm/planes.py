@@ -18,11 +18,11 @@ file system that Spark knows.  Files are written in ascending order of doc_id, a
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,12 @@ FOOTER = struct.Struct("<QQQ")  # 1: byte planes, 8: bit planes; bytes of the in
 PLANES = {"byte": 4, "bit": 32}
 BLOCK_IDS = 1 << 16
 STRIPE_IDS = 1 << 20
-#: Pieces of text whose ids a worker keeps.
-CACHE_PIECES = 500_000
+#: Pieces of text whose ids a task keeps, and their characters, at most.
+CACHE_PIECES, CACHE_CHARS = 300_000, 4 << 20
+#: Text that is encoded at once.
+BATCH_BYTES = 6 << 20
+#: Text of a file, on average: at least the first while there are FILES files or fewer, at most the second.
+FILE_BYTES, FILES = (24 << 20, 128 << 20), 1024
 
 
 #: Where a text can't simply be cut at every space and line feed: other white space, and white space beside white space or an end.
@@ -48,11 +52,12 @@ _HARD = "[\\x00\\x09\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{2
 
 
 class Encoder:
-    """The ids of whole texts, with the ids of each distinct piece computed once.
+    """The ids of whole texts, with the ids of each distinct piece of a batch computed once, and of frequent ones kept.
 
     The byte-level pre-tokeniser always breaks before a single space that stands between two characters
     that aren't white space (the space opens the next token), and around such a line feed; so encoding the
-    pieces one by one gives the ids of the whole text.  Other white space doesn't divide pieces.
+    pieces one by one gives the ids of the whole text.  Other white space doesn't divide pieces.  A tokenizer with
+    another pre-tokeniser, or with a normaliser, encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,8 +65,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        how = parts["pre_tokenizer"] or {}
+        self.divides = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space") and not parts["normalizer"]
+        self.octets = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # of each id's text: a byte-level token has a character for each byte
+        for token, k in self.tokenizer.get_vocab().items():
+            self.octets[k] = len(token)
         self.of: dict[str, int] = {}
-        self.extra: dict[str, int] = {}  # of the batch at hand, when there is no more room
+        self.chars = 0
+        self.extra: dict[str, int] = {}  # of the batch at hand
         self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     @staticmethod
@@ -85,21 +97,31 @@ class Encoder:
         sizes = [*map(len, found)]
         for i in range(0, len(plain), 5000):
             part = plain[i : i + 5000]
-            encoded = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            owner = np.searchsorted(np.cumsum([*map(len, part)]), np.array(encoded.offsets)[:, 1])
-            found.append(np.array(encoded.ids, np.uint32))
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            owner = np.searchsorted(np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part]), np.cumsum(self.octets[ids]))
+            found.append(ids)
             sizes += np.bincount(owner, minlength=len(part)).tolist()
-        known = self.of if len(self.of) + len(pieces) <= CACHE_PIECES else self.extra
-        known.update(zip(others + plain, range(len(self.begin) - 1, len(self.begin) - 1 + len(pieces)), strict=True))
+        self.extra.update(zip(others + plain, range(len(self.begin) - 1, len(self.begin) - 1 + len(pieces)), strict=True))
         self.flat = np.concatenate([self.flat, *found])
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(sizes, np.int64))])
 
-    def drop_extra(self) -> None:
-        """Keep the pieces that were met first; frequent ones are among them."""
-        if self.extra:
-            self.extra = {}
-            self.begin = self.begin[: len(self.of) + 1]
-            self.flat = self.flat[: self.begin[-1]]
+    def keep(self, pieces: list[str], times: np.ndarray) -> None:
+        """Keep the ids of this batch's new pieces, the most frequent first, while there is room; drop the others."""
+        wanted = []
+        if len(self.of) < CACHE_PIECES and self.chars < CACHE_CHARS:
+            for k in np.argsort(-times, kind="stable").tolist():
+                if len(self.of) + len(wanted) == CACHE_PIECES or self.chars >= CACHE_CHARS:
+                    break
+                if pieces[k] in self.extra:
+                    wanted.append(pieces[k])
+                    self.chars += len(pieces[k])
+        at = np.array([self.extra[p] for p in wanted], np.int64)
+        ids = self.gather(at, np.arange(len(at) + 1))
+        n = len(self.of)
+        self.flat = np.concatenate([self.flat[: self.begin[n]], *ids])
+        self.begin = np.concatenate([self.begin[: n + 1], self.begin[n] + np.cumsum(np.array([*map(len, ids)], np.int64))])
+        self.of.update(zip(wanted, range(n, n + len(wanted)), strict=True))
+        self.extra = {}
 
     def places(self, pieces: list[str], alone: bool) -> np.ndarray:
         """The place of each piece's ids; new ones are learnt."""
@@ -110,7 +132,7 @@ class Encoder:
             if new := [p for p in new if p not in self.extra]:
                 self.learn(new, alone)
             for i in gaps:
-                at[i] = self.extra[pieces[i]] if pieces[i] in self.extra else self.of[pieces[i]]
+                at[i] = self.extra[pieces[i]]
         return np.array(at, np.int64)
 
     def gather(self, at: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -122,32 +144,32 @@ class Encoder:
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        self.drop_extra()
         texts = pc.fill_null(texts, "")
+        if not self.divides:
+            return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         hard = pc.or_(pc.match_substring_regex(texts, _HARD), pc.equal(texts, ""))
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         easy = texts.filter(pc.invert(hard))
+        pieces: list[str] = []
+        times = np.empty(0, np.int64)
         if len(easy):
             marked = pc.replace_substring(pc.replace_substring(easy, "\n", "\0\n\0"), " ", "\0 ")
             split = pc.split_pattern(marked, "\0")
             codes = split.flatten().dictionary_encode()
             cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
-            parts = self.gather(self.places(codes.dictionary.to_pylist(), False)[codes.indices.to_numpy()], cuts)
+            pieces, which = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            times = np.bincount(which, minlength=len(pieces))
+            parts = self.gather(self.places(pieces, False)[which], cuts)
             for k, ids in zip(np.flatnonzero(~np.asarray(hard)), parts, strict=True):
                 out[k] = ids
         for k in np.flatnonzero(np.asarray(hard)):
             if text := texts[k].as_py():
                 at = self.places(self.pieces(text), True)
                 out[k] = self.gather(at, np.array([0, len(at)]))[0]
+        self.keep(pieces, times)
         return out
 
 
-@cache
-def encoder_of(path: str) -> Encoder:
-    """One for each worker process: the pieces that a task has met serve the next."""
-    return Encoder(path)
-
-
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of a block, empty where all bits are zero."""
     octets = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -224,12 +246,14 @@ def stripes_of(content: memoryview) -> list[memoryview]:
 def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind: str = "byte") -> None:
     """Encode docs (doc_id, text; null texts are empty), append end_id to each, and write plane files in order of doc_id.
 
-    Null doc_ids come first; rows with one doc_id are ordered by text.  Other columns are ignored.  An empty
-    table gives files without stripes.
+    Null doc_ids come first; rows that share a doc_id keep their order, and may go to several files.  Other columns are
+    ignored.  An empty table gives files without stripes.
     """
+    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    files = max(1, min(total // FILE_BYTES[0], FILES), total // FILE_BYTES[1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer)
+        encoder = Encoder(tokenizer)  # given back with the task
         held: list[int | None] = []
         parts: list[np.ndarray] = []
         size = 0
@@ -239,7 +263,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
             i = 0
             while i < len(doc_ids):
                 j, weight = i, 0
-                while j < len(doc_ids) and weight < 4 << 20:
+                while j < len(doc_ids) and weight < BATCH_BYTES:
                     weight += len(texts[j].as_buffer()) if texts[j].is_valid else 0
                     j += 1
                 for doc, ids in zip(doc_ids[i:j], encoder.encode(texts[i:j]), strict=True):
@@ -253,8 +277,9 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([pack_stripe(held, parts, kind)], pa.binary())], ["stripe"])
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    stripes = rows.mapInArrow(encode, "stripe binary").select(F.col("stripe").cast("string").alias("value"))
+    order = ["doc_id", "tie"]
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie")).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    stripes = rows.select("doc_id", "text").mapInArrow(encode, "stripe binary").select(F.col("stripe").cast("string").alias("value"))
     stripes.write.option("lineSep", MAGIC.decode()).text(path)
 
 
@@ -270,7 +295,7 @@ def read_planes(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     cuts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
                     parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                     columns = [
-                        pa.array([name] * len(docs)),
+                        pa.array([name] * len(docs), pa.int64()),
                         pa.array(np.arange(row, row + len(docs))),
                         pa.array(docs, pa.int64()),
                         pa.array(cuts[:-1] + start),
@@ -285,8 +310,8 @@ def read_planes(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     start, row = start + int(cuts[-1]), row + len(docs)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    schema = "file string, row bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "content").mapInArrow(read, schema)
+    schema = "file bigint, row bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint").alias("file"), "content").mapInArrow(read, schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "byte") -> DataFrame:
