@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm import decontam, minhash, mixing, planes, toxicity
-from factloom.llm.common import stage, table
+from factloom.llm.common import scratch, stage, table
 from factloom.llm.queries import END_ID, tokenizer_path
 
 
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents, each reading what the one before wrote."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage_of) in enumerate(STAGES):
-        docs = stage_of(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs, name)
-    return docs
+    for name, stage_of in STAGES[:-1]:
+        with scratch(spark) as keep:  # a stage's own folders go when its result is written
+            docs = keep(stage(stage_of(spark, docs, sf_dir), name))
+    return STAGES[-1][1](spark, docs, sf_dir)
