@@ -6,6 +6,8 @@ evidence is counted and hashed rather than carried where only its number matters
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -94,17 +96,23 @@ def g2_measurement_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conflicts(rows: DataFrame) -> DataFrame:
     """Triples with two or more distinct value identities: (value, unit|effect), or the effect alone where there is no value."""
-    n = normalized(rows)
+    triple = ["material", "regime", "property"]
+    n = normalized(rows).select(*(canonical(F.col(c)).alias(c) for c in triple), "value_text", "unit_normalized", "effect_part", "unit", "document_id", "chunk_id")
+    # Distinct values and distinct sources are counted apart: each is one hash aggregation, where together every row would be expanded.
+    values = n.groupBy(*triple, "value_text", "unit_normalized", "effect_part", "unit").agg(F.count(F.lit(1)).alias("n"))
     identity = F.when(F.col("value_text") != "", F.concat_ws("|", "value_text", "unit_normalized", "effect_part")).when(F.col("effect_part") != "", F.concat(F.lit("|"), "effect_part"))
-    grouped = n.groupBy(*(canonical(F.col(c)).alias(c) for c in ("material", "regime", "property"))).agg(
-        F.countDistinct(identity).alias("n_identities"),
+    effect = F.when(F.col("effect_part") != "", F.col("effect_part"))
+    grouped = values.groupBy(*triple).agg(
+        F.size(F.collect_set(identity)).cast("bigint").alias("n_identities"),
         F.sort_array(F.collect_set("value_text")).alias("all_values"),
         F.sort_array(F.collect_set("unit")).alias("source_units"),
-        F.countDistinct("document_id", "chunk_id").alias("sources_count"),
-        F.countDistinct(F.when(F.col("effect_part") != "", F.col("effect_part"))).alias("n_effects"),
+        F.min(effect).alias("low"),
+        F.max(effect).alias("high"),
     )
-    reason = F.when(F.size("source_units") > 1, "units").when(F.col("n_effects") > 1, "effects").otherwise("values")
-    return grouped.where("n_identities >= 2 AND material <> '' AND regime <> '' AND property <> ''").withColumn("reason", reason)
+    reason = F.when(F.size("source_units") > 1, "units").when(F.col("low") < F.col("high"), "effects").otherwise("values")
+    found = grouped.where("n_identities >= 2 AND material <> '' AND regime <> '' AND property <> ''").withColumn("reason", reason).drop("low", "high")
+    sources = n.groupBy(*triple, "document_id", "chunk_id").agg(F.count(F.lit(1)).alias("n")).groupBy(*triple).agg(F.count(F.lit(1)).alias("sources_count"))
+    return found.join(sources, triple)
 
 
 @query(
@@ -169,6 +177,8 @@ def g8_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_rows(spark, sf_dir).select("material", "regime", "property").distinct()
 
 
+#: Combinations of labels that may be asked for.
+GRID = 50_000_000
 GRID_SQL = "m AS (SELECT DISTINCT material FROM facts), r AS (SELECT DISTINCT regime FROM facts), p AS (SELECT DISTINCT property FROM facts), w AS (SELECT * FROM m, r, p)"
 
 
@@ -176,10 +186,16 @@ GRID_SQL = "m AS (SELECT DISTINCT material FROM facts), r AS (SELECT DISTINCT re
 def f8_inferred_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested triples without a fact: an anti-join of the vocabulary grid with the high values.
 
-    The grid is of the distinct labels, a few dozen each.
+    The grid is what is asked for, so it may have GRID cells at most: the labels are counted first.
     """
     rows = fact_rows(spark, sf_dir)
-    wanted = rows.select("material").distinct().crossJoin(rows.select("regime").distinct()).crossJoin(rows.select("property").distinct())
+    axes = ["material", "regime", "property"]
+    cells = math.prod(rows.agg(*(F.countDistinct(c) for c in axes)).first())
+    if cells > GRID:
+        raise ValueError(f"{cells} combinations were asked for, more than {GRID}: ask for fewer labels")
+    wanted = rows.agg(*(F.collect_set(c).alias(c) for c in axes))
+    for c in axes:
+        wanted = wanted.withColumn(c, F.explode(c))
     missing = wanted.join(rows.where("value > 45").select("material", "regime", "property"), ["material", "regime", "property"], "left_anti")
     return missing.withColumn("gap_id", F.concat(F.lit("gap_"), F.substring(F.sha2(F.concat_ws("|", "material", "regime", "property"), 256), 1, 24)))
 

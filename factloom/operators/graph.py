@@ -22,7 +22,7 @@ def edges(rows: DataFrame) -> DataFrame:
     return rows.select(src.alias("src"), F.explode(targets).alias("e")).select("src", "e.type", "e.dst").distinct()
 
 
-EDGES_SQL = f"{FACTS_SQL}, e AS (" + " UNION ".join(f"SELECT 'Experiment:' || document_id AS src, '{t}' AS type, '{kind}:' || {c} AS dst FROM facts" for t, c, kind in EDGES) + ")"
+EDGES_SQL = f"{FACTS_SQL}, e AS MATERIALIZED (" + " UNION ".join(f"SELECT 'Experiment:' || document_id AS src, '{t}' AS type, '{kind}:' || {c} AS dst FROM facts" for t, c, kind in EDGES) + ")"
 
 
 @query(f"WITH {EDGES_SQL} SELECT src, type, dst FROM e")
@@ -94,7 +94,7 @@ def within(e: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 @query(
     f"""WITH {EDGES_SQL}, n AS (SELECT src, type, dst FROM e WHERE dst = 'Regime:R' ORDER BY src, type LIMIT 49), k AS (SELECT src AS id FROM n UNION SELECT 'Regime:R')
-    SELECT src, type, dst FROM e SEMI JOIN k ON src = id WHERE dst IN (SELECT id FROM k)"""
+    SELECT src, type, dst FROM e JOIN k AS a ON src = a.id JOIN k AS b ON dst = b.id"""
 )
 def f10_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star around an entity: 50 nodes at most, in order of id, and the edges between kept nodes."""

@@ -50,21 +50,34 @@ def a6_html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", tag("title"), tag("h1"), count("p").alias("n_paragraphs"), count("li").alias("n_items"))
 
 
-_BLOCKED = r"(?:^localhost$|\.(?:local|internal|lan|home|corp)$|^127\.|^10\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^0\.)"
+# Names that lead inside, and the address ranges that are private, shared, local, for documentation or multicast.
+_LOCAL_NAMES = r"(?:^|\.)(?:localhost|localdomain|local|internal|intranet|lan|home|corp)$"
+_RANGES = (
+    r"^(?:0|10|127)\.|^100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\.|^192\.168\.|^192\.0\.[02]\."
+    r"|^198\.1[89]\.|^198\.51\.100\.|^203\.0\.113\.|^(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\."
+)
+#: A host that a resolver would read as an address, in whatever base, and one that is written plainly.
+_ADDRESS = r"^(?:0x[0-9a-f]*|[0-9]+)(?:\.(?:0x[0-9a-f]*|[0-9]+))*$"
+_PLAIN = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$"
+#: Addresses in brackets: all but global unicast, and those that carry an address of the other kind.
+_BRACKETS = r"^\[(?:[^23]|[23][^0-9a-f]|[23][0-9a-f]{0,2}:|2002:|2001:0*:|.*\.)"
+_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]]*\]|[^/:?#]*)"
 
 
 def url_verdict(url: Column) -> Column:
     """ok, or why a URL may not be fetched."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.+$", "")
+    private = host.rlike(_LOCAL_NAMES) | (host.rlike(_ADDRESS) & (~host.rlike(_PLAIN) | host.rlike(_RANGES))) | host.rlike(_BRACKETS)
     return (
-        F.when(~F.lower(url).rlike("^https?://"), "scheme").when(host == "", "host").when(host.rlike(_BLOCKED), "private").when(~host.contains("."), "dotless").otherwise("ok")
+        F.when(~F.lower(url).rlike("^https?://"), "scheme").when(host == "", "host").when(private, "private").when(~host.rlike(r"[.:]"), "dotless").otherwise("ok")
     )
 
 
 @query(
-    rf"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)) AS host FROM pages)
-    SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'scheme' WHEN host = '' THEN 'host' WHEN regexp_matches(host, '{_BLOCKED}') THEN 'private'
-    WHEN NOT contains(host, '.') THEN 'dotless' ELSE 'ok' END AS verdict FROM h"""
+    rf"""WITH h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '{_HOST}', 1)), '\.+$', '') AS host FROM pages)
+    SELECT page_id, CASE WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'scheme' WHEN host = '' THEN 'host'
+    WHEN regexp_matches(host, '{_LOCAL_NAMES}') OR (regexp_matches(host, '{_ADDRESS}') AND (NOT regexp_matches(host, '{_PLAIN}') OR regexp_matches(host, '{_RANGES}'))) OR regexp_matches(host, '{_BRACKETS}') THEN 'private'
+    WHEN NOT regexp_matches(host, '[.:]') THEN 'dotless' ELSE 'ok' END AS verdict FROM h"""
 )
 def a8_url_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", url_verdict(F.col("url")).alias("verdict"))

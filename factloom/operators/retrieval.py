@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,12 @@ from factloom.registry import query
 from factloom.sources.tables import load
 
 K1, B = 1.5, 0.75
-QUESTION = "the of with and stupid license the"
+QUESTION = "The of, with and stupid license? (the)"
+
+
+def asked_terms(question: str) -> Counter[str]:
+    """The question's tokens, as texts have them, with how often each is asked."""
+    return Counter(re.findall(r"[\w\-]+", question.lower()))
 
 
 def bm25(docs: DataFrame, question: str, id_column: str = "doc_id") -> DataFrame:
@@ -23,7 +29,7 @@ def bm25(docs: DataFrame, question: str, id_column: str = "doc_id") -> DataFrame
     document and asked term, and lengths come with the same scan.  Document frequencies of the few asked terms
     and two totals are the only aggregates.
     """
-    asked = Counter(t for t in question.lower().split())
+    asked = asked_terms(question)
     terms = docs.sparkSession.createDataFrame([(t, n) for t, n in asked.items()], "term string, asked int")
     tokens = docs.select(F.col(id_column).alias("id"), T.tokens(F.col("text")).alias("t")).select(
         "id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(*asked)).alias("hits")
@@ -37,7 +43,7 @@ def bm25(docs: DataFrame, question: str, id_column: str = "doc_id") -> DataFrame
 
 
 def _bm25_sql(question: str) -> str:
-    values = ", ".join(f"('{t}', {n})" for t, n in Counter(question.lower().split()).items())
+    values = ", ".join(f"('{t}', {n})" for t, n in asked_terms(question).items())
     return rf"""q(term, asked) AS (VALUES {values}),
     k AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_\-]+') AS t FROM documents),
     l AS (SELECT doc_id, len(t) AS dl FROM k), a AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.catalog import enqueue
 
 
 def read_events(spark: SparkSession, folder: str, schema: str, per_trigger: int = 1) -> DataFrame:
@@ -28,27 +27,34 @@ def windowed(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return _timed(events).withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def _states(events: DataFrame) -> DataFrame:
+    """What a batch says about each key: its first event, its last with the payload, and how many there are."""
+    return events.groupBy("user_id", "event_type").agg(
+        F.min(F.struct("ts", "event_id")).alias("first"), F.max(F.struct("ts", "event_id", "props")).alias("last"), F.count(F.lit(1)).alias("version")
+    )
+
+
 def run_outbox(events: DataFrame, path: str, checkpoint: str) -> None:
-    """Merge each batch into the outbox table: keys seen again get the new payload and are pending again.
+    """Append what each batch says about its keys, one folder for each batch; newest() merges them.
 
-    Every batch writes a new version of the table beside the old one, named by its number, so a batch that is
-    run again after a failure writes the same version.
+    A batch writes as much as it reads, however large the outbox is, and one that is run again after a failure
+    writes the same folder.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = enqueue(batch)
-        if number:
-            old = spark.read.parquet(f"{path}/v{number - 1}")
-            merged = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
-            new = merged.groupBy("user_id", "event_type").agg(
-                F.min_by("event_id", "age").alias("event_id"), F.max_by("payload", "age").alias("payload"), F.max_by("status", "age").alias("status"), F.sum("version").alias("version")
-            )
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
-
-    query = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def append(batch: DataFrame, number: int) -> None:
+        _states(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def newest(spark: SparkSession, path: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{number}")
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """The outbox: for each key the id of its first event by (ts, event_id), the payload of its last, whatever batch they came in; pending again."""
+    states = spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("version").alias("version"))
+    return states.select("user_id", "event_type", F.col("first.event_id").alias("event_id"), F.col("last.props").alias("payload"), F.lit("pending").alias("status"), "version")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Merge the batches of an outbox into one folder of another, which can be read and appended to alike."""
+    states = spark.read.parquet(path).groupBy("user_id", "event_type").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("version").alias("version"))
+    states.write.parquet(f"{target}/batch=-1")
