@@ -8,18 +8,31 @@ from pyspark.sql import functions as F
 #: Megapascals of one ksi.
 KSI = 6.894757
 
-# Unit spellings and their labels.
-UNIT_LABELS = {
-    "mpa": "MPa", "мпа": "MPa", "gpa": "GPa", "гпа": "GPa", "ksi": "ksi", "psi": "psi", "bar": "bar", "бар": "bar",
-    "hv": "HV", "hrc": "HRC", "hb": "HB", "%": "%", "c": "C", "°c": "C", "k": "K", "h": "h", "ч": "h", "мм": "mm", "mm": "mm",
-    "мг/л": "mg/L", "mg/l": "mg/L", "г/т": "g/t", "g/t": "g/t",
+# Units and their spellings, in lower case and without spaces.
+UNIT_NAMES = {
+    "MPa": ["mpa", "мпа"], "GPa": ["gpa", "гпа"], "ksi": ["ksi"], "psi": ["psi"], "bar": ["bar", "бар"],
+    "HV": ["hv"], "HRC": ["hrc"], "HB": ["hb"], "%": ["%"], "ppm": ["ppm"], "pH": ["ph"],
+    "C": ["c", "с", "°c", "°с", "celsius"], "K": ["k"], "mm": ["mm", "мм"],
+    "h": ["h", "hr", "hrs", "hour", "hours", "ч", "ч."], "min": ["min", "mins", "minute", "minutes", "мин", "мин."],
+    "mg/L": ["mg/l", "mg/dm3", "mg/dm³", "мг/л", "мг/дм3", "мг/дм³"], "g/L": ["g/l", "г/л"], "g/t": ["g/t", "г/т"], "mg/kg": ["mg/kg", "мг/кг"],
+    "m/s": ["m/s", "м/с"], "m3/h": ["m3/h", "m³/h", "м3/ч", "м³/ч"],
+    "t/day": ["t/day", "t/d", "т/сут", "т/сутки"], "t/y": ["t/y", "t/year", "tpa", "tonnes/year", "tons/year", "т/год", "т/г"],
+    "kt/y": ["kt/y", "kt/year", "ktpa", "кт/год", "тыс.т/год", "тыст/год"], "Mt/y": ["mt/y", "mt/year", "mtpa", "мт/год", "млнт/год", "млн.т/год"],
+    "USD/t": ["usd/t", "$/t"], "EUR/t": ["eur/t", "€/t"], "RUB/t": ["rub/t", "руб/т", "руб./т"],
+    "USD/m3": ["usd/m3"], "RUB/m3": ["rub/m3", "руб/м3", "руб/м³"], "mln RUB": ["млнруб"], "mln RUB/year": ["млнруб/год"],
 }
+UNIT_LABELS = {spelling: label for label, spellings in UNIT_NAMES.items() for spelling in spellings}
 
 
 def unit_label(x: Column) -> Column:
     """The label of a unit; an unknown one is unchanged."""
     names = F.create_map(*(F.lit(v) for pair in UNIT_LABELS.items() for v in pair))
-    return F.coalesce(F.element_at(names, F.lower(F.trim(x))), F.trim(x))
+    return F.coalesce(F.element_at(names, F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit(""))), F.trim(x))
+
+
+def unit_label_sql(x: str) -> str:
+    """The same in SQL."""
+    return f"coalesce(CASE replace(lower(trim({x})), ' ', '') " + " ".join(f"WHEN '{s}' THEN '{u}'" for s, u in UNIT_LABELS.items()) + f" END, trim({x}))"
 
 
 def to_mpa(value: Column, unit: Column) -> Column:

@@ -2,20 +2,89 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions.text import canonical, compact
 
-# Spellings of materials, regimes and properties and their canonical names.
-ALIASES = {
-    "material": {"вт6": "ВТ6", "vt6": "ВТ6", "ti-6al-4v": "ВТ6", "7075": "7075", "al 7075": "7075", "steel 45": "сталь 45", "сталь 45": "сталь 45"},
-    "regime": {"отжиг": "отжиг", "annealing": "отжиг", "старение": "старение", "aging": "старение", "закалка": "закалка", "quenching": "закалка"},
-    "property": {"прочность": "прочность", "strength": "прочность", "твердость": "твердость", "hardness": "твердость", "пластичность": "пластичность", "ductility": "пластичность"},
+# Canonical names of materials, regimes, properties and equipment, and their spellings.
+NAMES = {
+    "material": {
+        "ВТ6": ["вт6", "vt6", "ti-6al-4v", "ti6al4v"],
+        "12Х18Н10Т": ["12х18н10т", "12x18h10t"],
+        "7075-T6": ["7075-t6", "7075"],
+        "никель": ["никель", "никеля", "никелевый", "никелевым", "nickel", "ni"],
+        "медь": ["медь", "медный", "медным", "медном", "copper", "cu"],
+        "сульфаты": ["сульфаты", "сульфат", "sulfates", "sulphates", "so4"],
+        "SO2": ["so2", "so₂", "диоксид серы", "сернистый газ", "sulfur dioxide", "sulphur dioxide"],
+        "хлориды": ["хлориды", "хлорид", "chlorides", "cl"],
+        "Ca": ["ca", "кальций", "calcium"],
+        "Mg": ["mg", "магний", "magnesium"],
+        "Na": ["na", "натрий", "sodium"],
+        "Au": ["золото", "gold", "au"],
+        "Ag": ["серебро", "silver", "ag"],
+        "МПГ": ["мпг", "платиновые металлы", "pgm", "platinum group metals"],
+        "штейн": ["штейн", "matte"],
+        "шлак": ["шлак", "slag"],
+        "техногенный гипс": ["техногенный гипс", "gypsum"],
+        "угольные отходы": ["угольные отходы", "coal waste"],
+        "шахтные воды": ["шахтные воды", "шахтных вод", "mine water", "кислый дренаж", "acid mine drainage"],
+        "католит": ["католит", "catholyte"],
+        "электролит": ["электролит", "электролита", "electrolyte"],
+    },
+    "regime": {
+        "отжиг": ["отжиг", "отжига", "отжиге", "annealing", "anneal", "annealed"],
+        "старение": ["старение", "старения", "старении", "aging", "aged"],
+        "термообработка": ["heat treatment", "thermal treatment", "термообработка", "термообработки"],
+        "закалка": ["закалка", "закалки", "закалке", "quenching", "quenched"],
+        "криообработка": ["криообработка", "криообработки", "криообработке", "криогенная обработка", "cryogenic treatment"],
+        "обессоливание": ["обессоливание", "обессоливания", "desalination", "водоочистка", "water treatment"],
+        "электроэкстракция": ["электроэкстракция", "электроэкстракции", "электролиз", "электролиза", "electrowinning", "electroextraction", "electrolysis"],
+        "циркуляция католита": ["циркуляция католита", "циркуляции католита", "catholyte circulation"],
+        "кучное выщелачивание": ["кучное выщелачивание", "кучного выщелачивания", "heap leaching"],
+        "выщелачивание": ["выщелачивание", "leaching"],
+        "пирометаллургия": ["пирометаллургия", "пирометаллургический", "пирометаллургическом", "pyrometallurgy"],
+        "гидрометаллургия": ["гидрометаллургия", "hydrometallurgy"],
+        "ПВП": ["печь взвешенной плавки", "печи взвешенной плавки", "пвп", "flash smelting furnace", "fluidized bed furnace"],
+        "газоочистка": ["газоочистка", "очистка газов", "очистки газов", "gas cleaning"],
+        "удаление SO2": ["удаление so2", "удаления so2", "удаление диоксида серы", "so2 removal", "sulfur dioxide removal"],
+        "закачка шахтных вод": ["закачка шахтных вод", "закачки шахтных вод", "deep well injection"],
+    },
+    "property": {
+        "прочность": ["прочность", "прочности", "предел прочности", "tensile strength", "ultimate tensile strength", "strength", "σв", "sigma_b"],
+        "твёрдость": ["твердость", "твердости", "hardness", "hv", "hrc"],
+        "пластичность": ["пластичность", "пластичности", "elongation", "ductility"],
+        "вязкость": ["вязкость", "вязкости", "ударная вязкость", "impact toughness"],
+        "коррозионная стойкость": ["коррозионная стойкость", "коррозионной стойкости", "коррозионную стойкость", "corrosion resistance", "corrosion"],
+        "концентрация": ["концентрация", "концентрации", "concentration"],
+        "сухой остаток": ["сухой остаток", "total dissolved solids", "tds"],
+        "скорость потока": ["скорость потока", "скорость циркуляции", "flow velocity"],
+        "расход": ["расход", "расход раствора", "расход католита", "подача", "flow rate", "feed rate"],
+        "температура": ["температура", "temperature"],
+        "производительность": ["производительность", "capacity", "throughput"],
+        "извлечение": ["извлечение", "recovery"],
+        "выход металла": ["выход металла", "metal yield"],
+        "распределение": ["распределение", "распределению", "distribution"],
+        "экономический показатель": ["технико-экономические показатели", "экономический показатель", "capex", "opex", "капитальные затраты", "эксплуатационные затраты"],
+        "эффективность": ["эффективность", "efficiency"],
+    },
+    "equipment": {
+        "ванна электроэкстракции": ["ванна электроэкстракции", "ванны электроэкстракции", "electrowinning cell"],
+        "диафрагменная ячейка": ["диафрагменная ячейка", "диафрагменные ячейки", "diaphragm cell"],
+        "ПВП": ["печь взвешенной плавки", "печи взвешенной плавки", "пвп", "flash smelting furnace", "fluidized bed furnace"],
+        "система газоочистки": ["система газоочистки", "система очистки газов", "gas cleaning system", "gas treatment system"],
+        "насос": ["насос", "насосы", "pump", "pumps"],
+        "пилотная установка": ["pilot plant", "пилотная установка"],
+        "установка": ["установка", "установки"],
+    },
 }
 GEOGRAPHY = {"росси": "Россия", "russia": "Россия", "china": "Китай", "кита": "Китай", "german": "Германия", "герман": "Германия"}
+#: A spelling of so many characters counts as a whole word only.
+SHORT = 3
+ALIASES = {domain: {alias: name for name, spellings in names.items() for alias in spellings} for domain, names in NAMES.items()}
 
 
 def ordered(domain: str) -> list[tuple[str, str]]:
@@ -23,22 +92,94 @@ def ordered(domain: str) -> list[tuple[str, str]]:
     return sorted(ALIASES[domain].items(), key=lambda kv: (-len(kv[0]), kv[0]))
 
 
-def dim_alias(spark: SparkSession) -> DataFrame:
-    """(domain, alias_norm, alias_compact, canonical, priority)."""
+def squeezed(alias: str) -> str:
+    return "".join(ch for ch in alias if ch not in " _-")
+
+
+def whole_word(alias: str) -> str:
+    """A pattern that any engine reads alike: the spelling with no letter or digit beside it."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}]){re.escape(alias)}(?:$|[^\p{{L}}\p{{N}}])"
+
+
+def dim_alias(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(domain, alias_norm, alias_compact, canonical, priority); path: a Parquet table (domain, alias, canonical) of more spellings, which come after.
+
+    The vocabulary is asked for, so it doesn't grow with the data.
+    """
     rows = [(d, a, c, i) for d in ALIASES for i, (a, c) in enumerate(ordered(d))]
     table = spark.createDataFrame(rows, "domain string, alias string, canonical string, priority int")
+    if path is not None:
+        table = table.unionByName(spark.read.parquet(path).select("domain", "alias", "canonical", F.lit(len(rows)).alias("priority")))
     return table.select("domain", canonical(F.col("alias")).alias("alias_norm"), compact(F.col("alias")).alias("alias_compact"), "canonical", "priority")
 
 
+def with_forms(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the forms of a text that names are looked up in, computed once for all of them: plain, packed and spaced."""
+    plain = df.withColumn("plain", canonical(F.col(text)))
+    return plain.withColumn("packed", F.regexp_replace("plain", r"[\s_-]", "")).withColumn("spaced", spaced(F.col("plain")))
+
+
+def spaced(plain: Column) -> Column:
+    """Words between single spaces, with one at either end."""
+    return F.concat(F.lit(" "), F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def _spellings(domain: str) -> Column:
+    """The vocabulary as one literal: a ladder of conditions this long would be too large a method for the JVM to compile."""
+    rows = [(alias, squeezed(alias), len(alias) <= SHORT, name) for alias, name in ordered(domain)]
+    return F.from_json(F.lit(json.dumps([dict(zip(("a", "p", "s", "name"), r, strict=True)) for r in rows])), "array<struct<a:string,p:string,s:boolean,name:string>>")
+
+
+def _found(plain: Column, packed: Column, spaced: Column, domain: str) -> Column:
+    """The spellings that a text holds, the longest first; short ones count as whole words."""
+    holds = lambda x: F.when(x["s"], F.contains(spaced, F.concat(F.lit(" "), x["a"], F.lit(" ")))).otherwise(F.contains(plain, x["a"]) | F.contains(packed, x["p"]))
+    return F.filter(_spellings(domain), holds)
+
+
+_FORMS = ("plain", "packed", "spaced")
+
+
+def matches(domain: str) -> Column:
+    """array of (a: spelling, p: without separators, name) that a row of with_forms() holds, the longest first."""
+    return _found(*map(F.col, _FORMS), domain)
+
+
+def first_name(domain: str) -> Column:
+    """The name of the longest spelling in a row of with_forms(); null if there is none."""
+    return F.get(matches(domain), F.lit(0))["name"]
+
+
+def all_names(domain: str) -> Column:
+    """Every name of which a row of with_forms() holds a spelling, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(matches(domain), lambda x: x["name"])))
+
+
 def canonical_name(x: Column, domain: str) -> Column:
-    """The name of the longest spelling that the text holds, also without separators; else the trimmed text."""
-    plain, squeezed = canonical(x), compact(x)
-    squeeze = lambda a: "".join(ch for ch in a if ch not in " _-")
-    ladder = reduce(lambda acc, kv: acc.when(plain.contains(kv[0]) | squeezed.contains(squeeze(kv[0])), kv[1]), ordered(domain), F.when(F.lit(False), F.lit("")))
-    return ladder.otherwise(F.trim(F.coalesce(x, F.lit(""))))
+    """The name of the longest spelling that a short text holds; else the trimmed text."""
+    plain = canonical(x)
+    return F.coalesce(F.get(_found(plain, compact(x), spaced(plain), domain), F.lit(0))["name"], F.trim(F.coalesce(x, F.lit(""))))
 
 
 def geographies(x: Column) -> Column:
     """Labels whose marker is in the text, sorted."""
     low = F.lower(F.coalesce(x, F.lit("")))
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(low.contains(m), label) for m, label in GEOGRAPHY.items())))))
+
+
+def forms_sql(x: str) -> str:
+    """The same forms in SQL, of a column that isn't null."""
+    plain = rf"regexp_replace(replace(lower(trim({x})), 'ё', 'е'), '\s+', ' ', 'g')"
+    return f"{plain} AS plain, regexp_replace({plain}, '[ _-]', '', 'g') AS packed"
+
+
+def held_sql(alias: str) -> str:
+    return f"regexp_matches(plain, '{whole_word(alias)}')" if len(alias) <= SHORT else f"(contains(plain, '{alias}') OR contains(packed, '{squeezed(alias)}'))"
+
+
+def first_sql(domain: str) -> str:
+    return "CASE " + " ".join(f"WHEN {held_sql(a)} THEN '{c}'" for a, c in ordered(domain)) + " END"
+
+
+def all_sql(domain: str) -> str:
+    parts = (f"CASE WHEN {' OR '.join(map(held_sql, spellings))} THEN '{name}' END" for name, spellings in NAMES[domain].items())
+    return f"list_sort(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))"
