@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import vocab as V
-from factloom.operators.facts import find
 from factloom.registry import query
 from factloom.sources.tables import load
 
@@ -46,18 +45,22 @@ class Constraints:
     end_year: int | None = None
     intent: str = field(default="search")
 
+    broad: bool = False
+
     @property
     def exact(self) -> bool:
-        return bool(self.materials and self.regimes and self.properties)
+        """One material, one regime and one property, and nothing else: no number, place or year."""
+        single = len(self.materials) == len(self.regimes) == len(self.properties) == 1
+        return single and not (self.numeric or self.geographies or self.start_year or self.end_year or self.broad)
 
 
 _NUMBER = r"(\d+(?:[.,]\d+)?)"
-_UNIT = r"(мг/л|mg/l|г/т|g/t|МПа|MPa|ksi|HV|HRC|%|°C|C)(?![\w/])"
+_UNIT = r"(мг/дм3|мг/л|mg/l|г/л|g/l|г/т|g/t|м3/ч|m3/h|м/с|m/s|т/сут|t/day|т/год|t/y|kt/y|Mt/y|USD/t|\$/t|руб/т|RUB/t|МПа|MPa|ksi|HV|HRC|ppm|%|°C|C)(?![\w/])"
 _RANGE = re.compile(rf"{_NUMBER}\s*[-–]\s*{_NUMBER}\s*{_UNIT}", re.I)
-_BOUND = re.compile(rf"(≤|>=|<=|≥|<|>|не более|не менее|до|at most|at least|below|above)\s*{_NUMBER}\s*{_UNIT}", re.I)
+_BOUND = re.compile(rf"(≤|>=|<=|≥|<|>|не более|не выше|не менее|до|от|at most|at least|less than|below|above)\s*{_NUMBER}\s*{_UNIT}", re.I)
 _EXACT = re.compile(rf"{_NUMBER}\s*{_UNIT}", re.I)
 # Bounds in words.
-_OPERATORS = {"≤": "<=", "не более": "<=", "до": "<=", "at most": "<=", "≥": ">=", "не менее": ">=", "at least": ">=", "below": "<", "above": ">"}
+_OPERATORS = {"≤": "<=", "не более": "<=", "не выше": "<=", "до": "<=", "от": ">=", "less than": "<", "at most": "<=", "≥": ">=", "не менее": ">=", "at least": ">=", "below": "<", "above": ">"}
 
 
 def numeric_constraints(question: str) -> tuple[NumericConstraint, ...]:
@@ -81,11 +84,13 @@ def numeric_constraints(question: str) -> tuple[NumericConstraint, ...]:
 
 
 def names(question: str, domain: str) -> tuple[str, ...]:
-    """Names whose spelling is in the question, the longest first; one inside a spelling already met is passed over."""
-    low, met, out = question.lower().replace("ё", "е"), [], []
+    """Names whose spelling is in the question, the longest first; one inside a spelling already met is passed over, short ones count as whole words."""
+    low = re.sub(r"\s+", " ", question.strip().lower().replace("ё", "е"))
+    packed, met, out = V.squeezed(low), [], []
     for alias, name in V.ordered(domain):
-        if alias in low and not any(alias in longer for longer in met):
-            met.append(alias)
+        here = bool(re.search(rf"(?<![^\W_]){re.escape(alias)}(?![^\W_])", low)) if len(alias) <= V.SHORT else alias in low or V.squeezed(alias) in packed
+        if here and not any(V.squeezed(alias) in longer for longer in met):
+            met.append(V.squeezed(alias))
             out.append(name)
     return tuple(dict.fromkeys(out))
 
@@ -99,9 +104,10 @@ def plan_question(question: str, now_year: int) -> Constraints:
         start, end = min(years), max(years)
     low = question.lower()
     markers = sorted({label for m, label in V.GEOGRAPHY.items() if m in low})
-    return Constraints(names(question, "material"), names(question, "regime"), names(question, "property"), tuple(markers), numeric_constraints(question), start, end, intent_of(question))
+    return Constraints(names(question, "material"), names(question, "regime"), names(question, "property"), tuple(markers), numeric_constraints(question), start, end, intent_of(question), any(w in low for w in BROAD))
 
 
+BROAD = ("обзор", "все ", "review", "overview", "all ")
 # Words by which questions are sorted, in order of precedence.
 INTENTS = [
     ("conflict", ["conflict", "different values", "противореч"]),
@@ -152,15 +158,3 @@ def i5_understanding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     verdict = F.when(F.length(F.trim(t)) < 12, "too_short").when(~t.rlike(r"[\p{L}]{3}"), "noise").when(F.regexp_count(t, F.lit(r"[\p{L}\p{N}_\-]+")) < 3, "unclear").otherwise("ok")
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", verdict.alias("verdict"))
-
-
-def search_facts(rows: DataFrame, material: str | None, regime: str | None, property: str | None) -> tuple[str, DataFrame]:
-    """The typed cascade: exact, else relaxed (regime or property must still hold), else none."""
-    exact = find(rows, material, regime, property)
-    if not exact.isEmpty():
-        return "exact", exact
-    for kept in ((None, regime, property), (material, regime, None), (material, None, property)):
-        relaxed = find(rows, *kept)
-        if any(kept[1:]) and not relaxed.isEmpty():
-            return "relaxed", relaxed
-    return "none", rows.where(F.lit(False))

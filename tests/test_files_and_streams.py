@@ -1,7 +1,8 @@
 import io
 import zipfile
 
-from factloom.plans.planner import NumericConstraint, numeric_constraints, plan_question, search_facts
+from factloom.plans.ask import ask, search_facts
+from factloom.plans.planner import NumericConstraint, numeric_constraints, plan_question
 from factloom.sources import files, jobs
 from factloom.sources.tables import fact_rows, load
 from factloom.streaming import outbox
@@ -47,9 +48,10 @@ def test_outbox_stream_equals_batch(spark, tmp_path):
     stream = outbox.read_events(spark, str(tmp_path / "in"), schema)
     outbox.run_outbox(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     outbox.run_outbox(stream, str(tmp_path / "out"), str(tmp_path / "cp"))  # nothing new: the checkpoint knows the files
-    last = max(int(p.name[1:]) for p in (tmp_path / "out").iterdir())
-    got = {(r["user_id"], r["event_type"]): (r["version"], r["status"]) for r in outbox.newest(spark, str(tmp_path / "out"), last).collect()}
-    assert got == {(r["user_id"], r["event_type"]): (r["version"], r["status"]) for r in enqueue(events).collect()}
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch")]) == 3
+    outbox.compact(spark, str(tmp_path / "out"), str(tmp_path / "compact"))
+    of = lambda frame: sorted((r["user_id"], r["event_type"], r["event_id"], r["payload"], r["status"], r["version"]) for r in frame.collect())
+    assert of(outbox.newest(spark, str(tmp_path / "out"))) == of(outbox.newest(spark, str(tmp_path / "compact"))) == of(enqueue(events))
 
 
 def test_stream_windows_and_dedupe(spark, tmp_path):
@@ -65,15 +67,69 @@ def test_stream_windows_and_dedupe(spark, tmp_path):
 
 def test_planner():
     c = plan_question("What strength has VT6 after annealing, at least 900 MPa, in Russia over the last 5 years?", 2024)
-    assert c.exact and c.materials == ("ВТ6",) and c.numeric == (NumericConstraint(">=", 900.0, None, "MPa"),) and (c.start_year, c.end_year) == (2020, 2024) and c.geographies == ("Россия",)
+    assert not c.exact and c.materials == ("ВТ6",) and c.numeric == (NumericConstraint(">=", 900.0, None, "MPa"),) and (c.start_year, c.end_year) == (2020, 2024) and c.geographies == ("Россия",)
+    assert plan_question("What strength has VT6 after annealing?", 2024).exact
+    for asked in ("What strength have VT6 and copper after annealing?", "Review the strength of VT6 after annealing", "What strength has VT6 after annealing in Russia?", "What strength had VT6 after annealing in 2019?"):
+        assert not plan_question(asked, 2024).exact
+    assert plan_question("Nitrogen in nickel", 2024).materials == ("никель",)
     assert numeric_constraints("200–300 мг/л, 5 % и ≤ 7,5 г/т") == (NumericConstraint("range", 200.0, 300.0, "мг/л"), NumericConstraint("<=", None, 7.5, "г/т"), NumericConstraint("=", 5.0, 5.0, "%"))
 
 
+def test_numeric_asks(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.plans.questions import numeric_asks
+
+    asked = {
+        1: "сульфаты не более 300 мг/л",
+        2: "сухой остаток от 200 до 300 мг/дм3 и хлориды < 5,5 мг/л",
+        3: "flow velocity at least 2 m/s",
+        4: "nothing is asked at 5 MPa",
+        5: "strength above 900 mpa",
+        6: "расход 0,5 м/с",
+    }
+    frame = spark.createDataFrame(list(asked.items()), "id int, text string").select("id", F.explode(numeric_asks(F.lower("text"))).alias("a")).select("id", "a.*")
+    got = {tuple(r) for r in frame.collect()}
+    assert got == {
+        (1, "сульфаты", "<=", 300.0, None, None, "mg/L"),
+        (2, "сухой остаток", "range", None, 200.0, 300.0, "mg/L"),
+        (2, "хлориды", "<", 5.5, None, None, "mg/L"),
+        (3, "скорость потока", ">=", 2.0, None, None, "m/s"),
+        (5, "прочность", ">", 900.0, None, None, "MPa"),
+        (6, "скорость потока", "=", 0.5, None, None, "m/s"),
+    }
+
+
+def test_urls(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators.profile import url_verdict
+
+    urls = {
+        "http://example.com/a": "ok", "https://user@8.8.8.8:80/x": "ok", "ftp://example.com": "scheme", "http://": "host", "http://intranet/": "private", "http://server/": "dotless",
+        "http://foo.localhost": "private", "http://localhost.localdomain./": "private", "http://100.64.0.1": "private", "http://224.0.0.1": "private", "http://0x7f.0.0.1": "private",
+        "http://2130706433/": "private", "http://0177.0.0.1/": "private", "http://127.1/": "private", "http://[::1]/": "private", "http://[2606:4700::1111]/": "ok", "http://[fe80::1]/": "private", "http://a@10.0.0.1@x.com/": "ok",
+    }
+    frame = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_verdict(F.col("url")).alias("v"))
+    assert {r["url"]: r["v"] for r in frame.collect()} == urls
+
+
 def test_cascade(spark):
-    rows = fact_rows(spark, SF)
-    assert search_facts(rows, "Brand#11", "R", None)[0] == "exact"
-    assert search_facts(rows, "Nothing", "R", None)[0] == "relaxed"
-    assert search_facts(rows, "Nothing", None, None)[0] == "none"
+    rows, docs = fact_rows(spark, SF), load(spark, SF, "documents")
+    assert search_facts(rows, "Brand#11", "R", None)[0] == "exact_facts_found"
+    assert search_facts(rows, "Nothing", "R", None)[0] == "relaxed_facts_found"
+    assert search_facts(rows, "Nothing", None, None, docs, "the license?")[0] == "chunks_only_no_structured_facts"
+    assert search_facts(rows, "Nothing", None, None)[0] == "no_relevant_sources"
+
+
+def test_ask(spark):
+    rows, docs = fact_rows(spark, SF), load(spark, SF, "documents")
+    resolve = lambda q: ("Brand#11" if "brand 11" in q.lower() else None, "R" if " regime r" in q.lower() else None, None)
+    answer = ask(rows, docs, "What is known of Brand 11 under regime R?", 2024, resolve=resolve)
+    assert (answer.route, answer.status) == ("typed_facts", "exact_facts_found") and all("Brand#11 under R" in r["answer"] for r in answer.rows.collect())
+    assert ask(rows, docs, "hm?", 2024).route == "clarify"
+    assert ask(rows, docs, "Which materials are in the inventory?", 2024).rows.count() == rows.select("material").distinct().count()
+    assert ask(rows, docs, "Who has the license of this?", 2024).route == "retrieval"
 
 
 def test_ingestion_goes_on_where_it_stopped(spark, tmp_path):

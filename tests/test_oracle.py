@@ -11,7 +11,9 @@ import factloom.operators.facts
 import factloom.operators.graph
 import factloom.operators.profile
 import factloom.operators.retrieval
-import factloom.plans.planner  # noqa: F401
+import factloom.plans.ask
+import factloom.plans.planner
+import factloom.plans.questions  # noqa: F401
 from factloom.registry import ORACLE_SQL, QUERIES
 
 
