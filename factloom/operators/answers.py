@@ -188,23 +188,6 @@ def d7_resolver_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", name.alias("name"))
 
 
-@query(
-    f"""WITH {FACTS_SQL} SELECT seq, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.9 - CASE WHEN document_id % 2 = 0 THEN 0.25 ELSE 0 END - CASE WHEN chunk_id > 3 THEN 0.15 ELSE 0 END - CASE WHEN effect = 'unknown' THEN 0.20 ELSE 0 END - CASE WHEN value < 5 THEN 0.25 ELSE 0 END)), 6) AS confidence FROM facts"""
-)
-def e8_binding_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence less what speaks against a binding: material or regime elsewhere, a weak marker, a value that can't be located (by proxies)."""
-    off = lambda c, n: F.when(c, n).otherwise(0.0)
-    score = F.lit(0.9) - off(F.col("document_id") % 2 == 0, 0.25) - off(F.col("chunk_id") > 3, 0.15) - off(F.col("effect") == "unknown", 0.20) - off(F.col("value") < 5, 0.25)
-    return fact_rows(spark, sf_dir).select("seq", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("confidence"))
-
-
-@query(f"WITH {FACTS_SQL} SELECT seq, CASE WHEN material = '' THEN 'no_material' WHEN property LIKE 'STANDARD%' THEN 'unknown_property_schema' WHEN unit NOT IN ('MPa', 'ksi') THEN 'unit' WHEN tax < 0.01 THEN 'low_confidence' END AS reason FROM facts")
-def e15_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that fails; null is accepted."""
-    reason = F.when(F.col("material") == "", "no_material").when(F.col("property").startswith("STANDARD"), "unknown_property_schema").when(~F.col("unit").isin("MPa", "ksi"), "unit").when(F.col("tax") < 0.01, "low_confidence")
-    return fact_rows(spark, sf_dir).select("seq", reason.alias("reason"))
-
-
 @query(r"SELECT p_partkey, CASE WHEN regexp_matches(lower(p_brand), '^(mpa|hv|ksi|%)$') THEN 'unit_like' WHEN regexp_matches(p_brand, '^[A-Z]{1,2}[0-9]{4,}$') THEN 'font_code' WHEN regexp_matches(p_brand, '#[0-9]+$') THEN 'grade' ELSE 'context' END AS verdict FROM part")
 def e16_material_plausibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("p_brand")

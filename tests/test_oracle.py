@@ -9,6 +9,7 @@ import factloom.operators.catalog
 import factloom.operators.extract
 import factloom.operators.facts
 import factloom.operators.graph
+import factloom.operators.guards
 import factloom.operators.profile
 import factloom.operators.retrieval
 import factloom.plans.ask
