@@ -189,8 +189,44 @@ def parse_pptx(data: bytes) -> list[Block]:
     return out
 
 
+def _column(reference: str) -> int:
+    """The number of a cell's column, from 0: A1 and AA7 are 0 and 26."""
+    n = 0
+    for ch in re.match(r"[A-Z]*", reference)[0]:
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def parse_xlsx(data: bytes) -> list[Block]:
+    """The rows of every sheet, in the order of the workbook; the first row that isn't empty has the headers."""
+    out: list[Block] = []
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        shared = [_texts(n) for n in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(n) == "si"] if "xl/sharedStrings.xml" in names else []
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            targets = {n.attrib["Id"]: n.attrib["Target"].lstrip("/").removeprefix("xl/") for n in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if "Target" in n.attrib}
+        for sheet in (n for n in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(n) == "sheet"):
+            target = targets.get(next((v for k, v in sheet.attrib.items() if k.endswith("}id")), ""), "")
+            if f"xl/{target}" not in names:
+                continue
+            rows = []
+            for row in (n for n in ElementTree.fromstring(z.read(f"xl/{target}")).iter() if _local(n) == "row"):
+                cells: list[str] = []
+                for cell in (n for n in row if _local(n) == "c"):
+                    at = _column(cell.attrib["r"]) if "r" in cell.attrib else len(cells)
+                    cells += [""] * (at + 1 - len(cells))
+                    value = next((n.text or "" for n in cell if _local(n) == "v"), "")
+                    kind = cell.attrib.get("t", "n")
+                    cells[at] = shared[int(value)] if kind == "s" and value else _texts(cell) if kind == "inlineStr" else value.strip()
+                if any(cells):
+                    rows.append(cells)
+            out += table_blocks(rows[0], rows[1:], sheet.attrib.get("name", "")) if rows else []
+    return out
+
+
 PARSERS: dict[str, Callable[[bytes], list[Block]]] = {
-    ".csv": parse_csv, ".txt": parse_text, ".md": parse_text, ".html": parse_html, ".htm": parse_html, ".docx": parse_docx, ".pptx": parse_pptx,
+    ".csv": parse_csv, ".txt": parse_text, ".md": parse_text, ".html": parse_html, ".htm": parse_html, ".docx": parse_docx, ".pptx": parse_pptx, ".xlsx": parse_xlsx,
 }
 
 

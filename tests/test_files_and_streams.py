@@ -17,6 +17,19 @@ def test_csv_and_markdown():
     assert got == [("paragraph", "Head", "first line"), ("table_row", "Head", "a: 1 | b: 2"), ("paragraph", "Head", "last")]
 
 
+def test_xlsx():
+    sheet = lambda rows: f"<worksheet xmlns='x'><sheetData>{rows}</sheetData></worksheet>"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/workbook.xml", "<workbook xmlns='x' xmlns:r='y'><sheets><sheet name='One' r:id='a'/><sheet name='Two' r:id='b'/><sheet name='Lost' r:id='c'/></sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships><Relationship Id='a' Target='worksheets/s2.xml'/><Relationship Id='b' Target='/xl/worksheets/s1.xml'/></Relationships>")
+        z.writestr("xl/sharedStrings.xml", "<sst xmlns='x'><si><t>material</t></si><si><r><t>V</t></r><r><t>T6</t></r></si></sst>")
+        z.writestr("xl/worksheets/s2.xml", sheet("<row/><row><c r='A1' t='s'><v>0</v></c><c r='C1' t='inlineStr'><is><t>value</t></is></c></row><row><c r='A2' t='s'><v>1</v></c><c r='C2'><v>980</v></c></row>"))
+        z.writestr("xl/worksheets/s1.xml", sheet(""))
+    assert files.parse("a.xlsx", buffer.getvalue()) == [("table_row", "One", "material: VT6 | value: 980")]
+    assert files.parse("a.xlsx", b"PK")[0][0] == "failed"
+
+
 def test_html_drops_navigation():
     got = files.parse_html(b"<title>T</title><nav><li>no</li></nav><h1>H</h1><p>x <b>y</b></p><script>no()</script><table><tr><th>a</th></tr><tr><td>1</td></tr></table><img src='i.png' alt='z'><footer><p>no</p></footer>")
     assert [(k, t) for k, _, t in got] == [("title", "T"), ("heading", "H"), ("paragraph", "x y"), ("table_row", "a: 1"), ("image", "Image: url: i.png | alt: z")]
