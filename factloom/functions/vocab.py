@@ -16,41 +16,39 @@ NAMES = {
         "ВТ6": ["вт6", "vt6", "ti-6al-4v", "ti6al4v"],
         "12Х18Н10Т": ["12х18н10т", "12x18h10t"],
         "7075-T6": ["7075-t6", "7075"],
-        "никель": ["никель", "никеля", "никелевый", "никелевым", "nickel", "ni"],
-        "медь": ["медь", "медный", "медным", "медном", "copper", "cu"],
-        "сульфаты": ["сульфаты", "сульфат", "sulfates", "sulphates", "so4"],
-        "SO2": ["so2", "so₂", "диоксид серы", "сернистый газ", "sulfur dioxide", "sulphur dioxide"],
+        "никель": ["никель", "никеля", "никелевым", "nickel", "ni"],
+        "медь": ["медь", "медный", "медным", "copper", "cu"],
+        "сульфаты": ["сульфаты", "сульфат", "sulfates", "so4"],
+        "SO2": ["so2", "so₂", "диоксид серы", "sulfur dioxide"],
         "хлориды": ["хлориды", "хлорид", "chlorides", "cl"],
         "Ca": ["ca", "кальций", "calcium"],
         "Mg": ["mg", "магний", "magnesium"],
         "Na": ["na", "натрий", "sodium"],
         "Au": ["золото", "gold", "au"],
         "Ag": ["серебро", "silver", "ag"],
-        "МПГ": ["мпг", "платиновые металлы", "pgm", "platinum group metals"],
+        "МПГ": ["мпг", "pgm"],
         "штейн": ["штейн", "matte"],
         "шлак": ["шлак", "slag"],
-        "техногенный гипс": ["техногенный гипс", "gypsum"],
-        "угольные отходы": ["угольные отходы", "coal waste"],
-        "шахтные воды": ["шахтные воды", "шахтных вод", "mine water", "кислый дренаж", "acid mine drainage"],
+        "шахтные воды": ["шахтные воды", "шахтных вод", "mine water"],
         "католит": ["католит", "catholyte"],
         "электролит": ["электролит", "электролита", "electrolyte"],
     },
     "regime": {
-        "отжиг": ["отжиг", "отжига", "отжиге", "annealing", "anneal", "annealed"],
-        "старение": ["старение", "старения", "старении", "aging", "aged"],
-        "термообработка": ["heat treatment", "thermal treatment", "термообработка", "термообработки"],
-        "закалка": ["закалка", "закалки", "закалке", "quenching", "quenched"],
-        "криообработка": ["криообработка", "криообработки", "криообработке", "криогенная обработка", "cryogenic treatment"],
-        "обессоливание": ["обессоливание", "обессоливания", "desalination", "водоочистка", "water treatment"],
-        "электроэкстракция": ["электроэкстракция", "электроэкстракции", "электролиз", "электролиза", "electrowinning", "electroextraction", "electrolysis"],
+        "отжиг": ["отжиг", "отжига", "отжиге", "annealing"],
+        "старение": ["старение", "старения", "старении", "aging"],
+        "термообработка": ["heat treatment", "термообработка"],
+        "закалка": ["закалка", "закалки", "закалке", "quenching"],
+        "криообработка": ["криообработка", "криообработки", "криообработке", "cryogenic treatment"],
+        "обессоливание": ["обессоливание", "обессоливания", "desalination", "водоочистка"],
+        "электроэкстракция": ["электроэкстракция", "электроэкстракции", "электролиз", "электролиза", "electrowinning", "electrolysis"],
         "циркуляция католита": ["циркуляция католита", "циркуляции католита", "catholyte circulation"],
         "кучное выщелачивание": ["кучное выщелачивание", "кучного выщелачивания", "heap leaching"],
         "выщелачивание": ["выщелачивание", "leaching"],
-        "пирометаллургия": ["пирометаллургия", "пирометаллургический", "пирометаллургическом", "pyrometallurgy"],
+        "пирометаллургия": ["пирометаллургия", "pyrometallurgy"],
         "гидрометаллургия": ["гидрометаллургия", "hydrometallurgy"],
-        "ПВП": ["печь взвешенной плавки", "печи взвешенной плавки", "пвп", "flash smelting furnace", "fluidized bed furnace"],
+        "ПВП": ["печь взвешенной плавки", "пвп", "flash smelting furnace"],
         "газоочистка": ["газоочистка", "очистка газов", "очистки газов", "gas cleaning"],
-        "удаление SO2": ["удаление so2", "удаления so2", "удаление диоксида серы", "so2 removal", "sulfur dioxide removal"],
+        "удаление SO2": ["удаление so2", "удаление диоксида серы", "so2 removal"],
         "закачка шахтных вод": ["закачка шахтных вод", "закачки шахтных вод", "deep well injection"],
     },
     "property": {
@@ -74,8 +72,8 @@ NAMES = {
     "equipment": {
         "ванна электроэкстракции": ["ванна электроэкстракции", "ванны электроэкстракции", "electrowinning cell"],
         "диафрагменная ячейка": ["диафрагменная ячейка", "диафрагменные ячейки", "diaphragm cell"],
-        "ПВП": ["печь взвешенной плавки", "печи взвешенной плавки", "пвп", "flash smelting furnace", "fluidized bed furnace"],
-        "система газоочистки": ["система газоочистки", "система очистки газов", "gas cleaning system", "gas treatment system"],
+        "ПВП": ["печь взвешенной плавки", "пвп", "flash smelting furnace"],
+        "система газоочистки": ["система газоочистки", "система очистки газов", "gas cleaning system"],
         "насос": ["насос", "насосы", "pump", "pumps"],
         "пилотная установка": ["pilot plant", "пилотная установка"],
         "установка": ["установка", "установки"],
