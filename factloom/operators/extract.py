@@ -238,25 +238,28 @@ _EXPERT = f"coalesce(nullif(regexp_extract(text, '{PERSON}', 1), ''), nullif(tri
 _INDICATOR = "CASE WHEN contains(plain, 'capex') OR contains(plain, 'капитальн') THEN 'CAPEX' WHEN contains(plain, 'opex') OR contains(plain, 'эксплуатацион') OR contains(plain, 'operating cost') THEN 'OPEX' WHEN contains(plain, 'тариф') THEN 'tariff' ELSE 'cost' END"
 
 
-@query(
-    f"""WITH {_SENTENCES_SQL}
-    SELECT {_ID}, 'TechnologySolutionFact' AS fact_type, 'circulation' AS adapter, material, CASE WHEN {any_sql('plain', CIRCULATION_PLACE[:3])} THEN 'электроэкстракция' ELSE process END AS process,
+def candidates_sql(more: str = "") -> str:
+    """The candidates, with further columns of their sentence."""
+    own = f"{_ID}{more}"
+    return f"""    SELECT {own}, 'TechnologySolutionFact' AS fact_type, 'circulation' AS adapter, material, CASE WHEN {any_sql('plain', CIRCULATION_PLACE[:3])} THEN 'электроэкстракция' ELSE process END AS process,
         CASE {' '.join(f"WHEN {any_sql('plain', marks)} THEN '{label}'" for label, marks in SOLUTIONS)} WHEN {any_sql('plain', CATHOLYTE)} THEN 'циркуляция католита' ELSE 'циркуляция электролита' END AS detail,
         NULL::DOUBLE AS value, NULL AS unit, 0.84::DOUBLE AS confidence FROM n WHERE {any_sql('plain', CIRCULATION_MEDIA)} AND {any_sql('plain', CIRCULATION_FLOW)} AND {any_sql('plain', CIRCULATION_PLACE)}
-    UNION SELECT {_ID}, 'TechnologySolutionFact', 'technology', material, process, coalesce(process, material, equipment, property), NULL, NULL,
+    UNION SELECT {own}, 'TechnologySolutionFact', 'technology', material, process, coalesce(process, material, equipment, property), NULL, NULL,
         CASE WHEN process IS NOT NULL AND coalesce(material, equipment, property) IS NOT NULL THEN 0.81 ELSE 0.77 END FROM n WHERE {any_sql('plain', TECHNOLOGY)} AND coalesce(process, material, equipment, property) IS NOT NULL
-    UNION SELECT {_ID}, 'PublicationClaimFact', 'claim', material, process, coalesce(property, process, material, equipment), NULL, NULL, 0.79 FROM n WHERE {any_sql('plain', CLAIM)} AND coalesce(property, process, material, equipment) IS NOT NULL
-    UNION SELECT {_ID}, 'ExpertiseFact', 'expertise', material, process, {_EXPERT}, NULL, NULL, 0.78 FROM n WHERE {_EXPERT} IS NOT NULL AND coalesce(process, material, property, equipment) IS NOT NULL
-    UNION SELECT {_ID}, 'EconomicIndicatorFact', 'economic', material, process, {_INDICATOR}, replace(v, ',', '.')::DOUBLE, {U.unit_label_sql('u')}, 0.80
+    UNION SELECT {own}, 'PublicationClaimFact', 'claim', material, process, coalesce(property, process, material, equipment), NULL, NULL, 0.79 FROM n WHERE {any_sql('plain', CLAIM)} AND coalesce(property, process, material, equipment) IS NOT NULL
+    UNION SELECT {own}, 'ExpertiseFact', 'expertise', material, process, {_EXPERT}, NULL, NULL, 0.78 FROM n WHERE {_EXPERT} IS NOT NULL AND coalesce(process, material, property, equipment) IS NOT NULL
+    UNION SELECT {own}, 'EconomicIndicatorFact', 'economic', material, process, {_INDICATOR}, replace(v, ',', '.')::DOUBLE, {U.unit_label_sql('u')}, 0.80
         FROM (SELECT *, unnest(regexp_extract_all(plain, '{_PRICE}', 1)) AS v, unnest(regexp_extract_all(plain, '{_PRICE}', 2)) AS u FROM n)"""
-)
+
+
+@query(f"WITH {_SENTENCES_SQL} {candidates_sql()}")
 def e7_sentence_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate facts of sentences: circulation, technology, claims, expertise and prices, with the first name of each kind as their subject."""
     return sentence_candidates(chunks(spark, sf_dir).where("kind = 'text'").drop("kind"))
 
 
-def sentence_candidates(texts: DataFrame) -> DataFrame:
-    """(order_id, line, text) -> candidate facts of up to 20 sentences of each; equal ones are one."""
+def sentence_candidates(texts: DataFrame, *more: str) -> DataFrame:
+    """(order_id, line, text) -> candidate facts of up to 20 sentences of each, with more columns (text, equipment) of the sentence; equal ones are one."""
     lines = F.split(F.regexp_replace("text", r"([.!?])\s+", "$1\n"), "\n")
     kept = F.slice(F.filter(F.transform(lines, lambda s: F.trim(s, F.lit(" .;"))), lambda s: F.length(s).between(20, 900)), 1, 20)
     s = V.with_forms(texts.select(*KEY, F.explode(kept).alias("text")))
@@ -285,7 +288,7 @@ def sentence_candidates(texts: DataFrame) -> DataFrame:
     )
     prices = F.arrays_zip(F.regexp_extract_all("plain", F.lit(_PRICE), F.lit(1)).alias("v"), F.regexp_extract_all("plain", F.lit(_PRICE), F.lit(2)).alias("u"))
     priced = F.transform(prices, lambda p: fact("EconomicIndicatorFact", "economic", indicator, F.lit(0.80), value=number(p["v"]), unit=U.unit_label(p["u"])))
-    return n.select(*KEY, F.explode(F.array_distinct(F.concat(single, priced))).alias("f")).select(*KEY, "f.*").distinct()
+    return n.select(*KEY, *more, F.explode(F.array_distinct(F.concat(single, priced))).alias("f")).select(*KEY, *more, "f.*").distinct()
 
 
 def row_cells(text: Column) -> Column:

@@ -375,19 +375,6 @@ def e14_experiment_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_rows(spark, sf_dir).select("seq", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("confidence"))
 
 
-@query(
-    f"""WITH {FACTS_SQL}, c AS (SELECT seq, list_filter([CASE WHEN tax < 0.02 THEN 'low_confidence' END, CASE WHEN value > 45 THEN 'unit_out_of_range' END, CASE WHEN effect = 'unknown' AND unit = 'ksi' THEN 'missing_marker' END], lambda x: x IS NOT NULL) AS reasons FROM facts)
-    SELECT seq, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'accepted' WHEN list_has_any(reasons, ['low_confidence']) AND len(reasons) = 1 THEN 'quarantine' ELSE 'rejected' END AS status FROM c"""
-)
-def e17_candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All reasons against a candidate; without any it is accepted, with soft ones alone it goes to quarantine (e18)."""
-    reasons = F.array_compact(
-        F.array(F.when(F.col("tax") < 0.02, "low_confidence"), F.when(F.col("value") > 45, "unit_out_of_range"), F.when((F.col("effect") == "unknown") & (F.col("unit") == "ksi"), "missing_marker"))
-    )
-    status = F.when(F.size("r") == 0, "accepted").when(F.size(F.array_except("r", F.array(F.lit("low_confidence")))) == 0, "quarantine").otherwise("rejected")
-    return fact_rows(spark, sf_dir).select("seq", reasons.alias("r")).select("seq", F.array_join("r", ",").alias("reasons"), status.alias("status"))
-
-
 @query(
     f"""WITH {FACTS_SQL}, r AS (SELECT property, CASE WHEN tax < 0.02 THEN 'low_confidence' WHEN value > 45 THEN 'unit_out_of_range' WHEN effect = 'unknown' AND unit = 'ksi' THEN 'missing_marker' END AS reason FROM facts)
     SELECT property, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason, property LIMIT 10"""
