@@ -286,7 +286,8 @@ def _kept_words(text: str | None, starts: bytes | None) -> tuple[int, list[bytes
     words = (text or "").encode().split()
     if not starts:
         return len(words), words
-    at = np.frombuffer(starts, "<u4")
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
+    at = at[at + WINDOW <= len(words)]
     marks = np.zeros(len(words) + 1, np.int64)
     np.add.at(marks, at, 1)
     np.add.at(marks, at + WINDOW, -1)
@@ -300,28 +301,31 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     Words are runs outside ASCII white space.  A word is removed if a window of WINDOW words that covers it also
     starts earlier: in a smaller doc_id, or before it in the same document.  Windows are judged on the input.
     Null and empty texts have no words.  Rows without doc_id keep all words and are no one's earlier copy; rows that
-    share a doc_id must be equal, and count as one document.  Other columns are ignored.  No rows give no rows.
+    share a doc_id count as one document: if they differ, a window of one goes if it starts where a repeated window of any of
+    them does.  Other columns are ignored.  No rows give no rows.
     """
-    kind = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    kind = "doc_id bigint, own_sha256 string, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
+    names = [k.split()[0] for k in kind.split(", ")]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                n, left, sha, texts = [], [], [], []
+                n, left, own, sha, texts = [], [], [], [], []
                 starts = part.column(2).to_pylist() if part.num_columns > 2 else [None] * part.num_rows
                 for text, at in zip(part.column(1).to_pylist(), starts, strict=True):
                     count, kept = _kept_words(text, at)
                     joined = b" ".join(kept)
+                    own.append(hashlib.sha256(b" ".join((text or "").encode().split()) if len(kept) < count else joined).hexdigest())
                     n.append(count)
                     left.append(count - len(kept))
                     sha.append(hashlib.sha256(joined).hexdigest())
                     texts.append(joined.decode() if with_text else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], names)
 
     repeats, candidates = repeated_windows(docs)
-    changed = candidates.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(digest, kind).dropDuplicates(["doc_id"])
-    changed = changed.select(F.col("doc_id").alias("changed_id"), *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_sha256", "kept_text")))
+    changed = candidates.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(digest, kind).dropDuplicates(["doc_id", "own_sha256"])
+    changed = changed.select(F.col("doc_id").alias("changed_id"), F.col("own_sha256").alias("changed_sha"), *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_sha256", "kept_text")))
     whole = docs.select("doc_id", "text").mapInArrow(digest, kind)
     columns = ["doc_id", "n_words", *(F.coalesce(f"new_{c}", c).alias(c) for c in ("n_removed", "kept_sha256", *(["kept_text"] if with_text else [])))]
-    return whole.join(changed, F.col("doc_id") == F.col("changed_id"), "left").select(*columns)
+    return whole.join(changed, (F.col("doc_id") == F.col("changed_id")) & (F.col("own_sha256") == F.col("changed_sha")), "left").select(*columns)
