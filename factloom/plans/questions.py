@@ -17,14 +17,16 @@ from factloom.sources.tables import load
 _DOMAINS = ("material", "regime", "property", "equipment")
 
 
-def _suppressed(domain: str) -> Column:
-    """(spelling, name) that a row of with_forms() holds, but none within a longer one that it holds too; the longest first."""
-    found = V.matches(domain)
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: (y["a"] != x["a"]) & F.contains(y["p"], x["p"])))
+def with_matches(texts: DataFrame) -> DataFrame:
+    """with_forms(), and the spellings of each domain that a row holds, computed once: columns met_*."""
+    return texts.select("*", *(V.matches(d).alias(f"met_{d}") for d in _DOMAINS))
 
 
 def asked_names(domain: str) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(_suppressed(domain), lambda x: x["name"])))
+    """The names that a row of with_matches() asks for, sorted; a spelling within a longer one that is there too doesn't count."""
+    met = F.col(f"met_{domain}")
+    kept = F.filter(met, lambda x: ~F.exists(met, lambda y: (y["a"] != x["a"]) & F.contains(y["p"], x["p"])))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["name"])))
 
 
 def _asked_sql(domain: str) -> str:
@@ -35,7 +37,7 @@ def _asked_sql(domain: str) -> str:
 @query(f"WITH {TEXT_SQL} SELECT order_id, line, " + ", ".join(f"array_to_string({_asked_sql(d)}, ';') AS {d}" for d in _DOMAINS) + " FROM t")
 def i2_alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names that a text asks for; a spelling within a longer one that was met doesn't count."""
-    return prose(spark, sf_dir).select(*KEY, *(F.array_join(asked_names(d), ";").alias(d) for d in _DOMAINS))
+    return with_matches(prose(spark, sf_dir)).select(*KEY, *(F.array_join(asked_names(d), ";").alias(d) for d in _DOMAINS))
 
 
 # Bounds in words and signs, and units as they are written in questions.
@@ -148,7 +150,7 @@ TARGETS = {"exact_fact": "MechanicalPropertyFact", "gap_analysis": "DataGapFact"
 
 def plan(texts: DataFrame) -> DataFrame:
     """(order_id, line, with_forms()) -> names asked for, geographies, number of numeric constraints, kind, whether an exact fact is asked, kind of facts."""
-    named = texts.select(*KEY, "plain", *(asked_names(d).alias(d) for d in _DOMAINS), V.geographies(F.col("plain")).alias("geographies"), F.size(numeric_asks(F.col("plain"))).alias("n_numeric"))
+    named = with_matches(texts).select(*KEY, "plain", *(asked_names(d).alias(d) for d in _DOMAINS), V.geographies(F.col("plain")).alias("geographies"), F.size(numeric_asks(F.col("plain"))).alias("n_numeric"))
     one = (F.size("material") == 1) & (F.size("regime") == 1) & (F.size("property") == 1)
     plain = F.col("plain")
     exact = one & (F.col("n_numeric") == 0) & (F.size("geographies") == 0) & ~_any(plain, BROAD)
