@@ -95,7 +95,7 @@ _FOUND_SQL = (
 _BACK = "reverse(' ' || ctx || ' ')"
 _AT = f"instr({_BACK}, CASE x.s WHEN 1 THEN ' ' || x.r || ' ' ELSE x.r END)"
 _ASKS_SQL = rf"""{TEXT_SQL}, m AS (SELECT order_id, line, {_FOUND_SQL} FROM t),
-    n AS (SELECT *, {U.unit_label_sql('u')} AS unit, list_min(list_transform(list_filter({_PARAMETERS_SQL}, lambda x: {_AT} > 0), lambda x: {{'start': {_AT} + x.n + x.s, 'n': -x.n, 'name': x.name}})).name AS name FROM m),
+    n AS MATERIALIZED (SELECT *, {U.unit_label_sql('u')} AS unit, list_min(list_transform(list_filter({_PARAMETERS_SQL}, lambda x: {_AT} > 0), lambda x: {{'start': {_AT} + x.n + x.s, 'n': -x.n, 'name': x.name}})).name AS name FROM m),
     a AS (SELECT DISTINCT order_id, line, CASE WHEN name = 'расход' AND unit = 'm/s' THEN 'скорость потока' WHEN name = 'скорость потока' AND unit IN ('m3/h', 't/day') THEN 'расход' ELSE name END AS parameter,
     CASE WHEN hi <> '' THEN 'range' WHEN op <> '' THEN CASE op {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in BOUNDS.items())} END ELSE '=' END AS operator,
     CASE WHEN hi = '' THEN replace(lo, ',', '.')::DOUBLE END AS value, CASE WHEN hi <> '' THEN replace(lo, ',', '.')::DOUBLE END AS value_min, CASE WHEN hi <> '' THEN replace(hi, ',', '.')::DOUBLE END AS value_max, unit FROM n WHERE name IS NOT NULL)"""
