@@ -41,6 +41,8 @@ ANCHOR = WINDOW - PERIOD + 1
 BUCKET_BYTES = 6 << 20
 #: Blocks that a chunk sends at most: buckets, or groups of buckets that are divided again.
 FANOUT = 1024
+#: Tasks of an exchange at most; each takes its buckets one after another.
+TASKS = 1 << 15
 #: Binary digits of doc_id that are left out in a slot: results travel by slots of neighbouring documents.
 SLOT = 8
 #: Text that is sorted together before it is sent.
@@ -99,6 +101,11 @@ class _Way:
     def widths(self) -> tuple[int, ...]:
         return (8, 8, 8, 4) if self.second else (8, 8, 4)
 
+    @property
+    def tasks(self) -> int:
+        """Of an exchange: two buckets each while there are TASKS or fewer."""
+        return max(1, min(self.fan**self.levels // 2, TASKS))
+
     def bucket(self, h: np.ndarray, level: int) -> np.ndarray:
         """The group of each hash after so many levels; sorted as the hashes are."""
         return ((h >> np.uint64(32)) * np.uint64(self.fan**level)) >> np.uint64(32)
@@ -210,8 +217,8 @@ def _repeated(sent: DataFrame, way: _Way) -> DataFrame:
     for level in range(2, way.levels + 1):
         part = F.pmod(F.xxhash64(F.coalesce("entries", "starts")), F.lit(way.fan))  # a group is divided by as many tasks as it has parts
         rows = sent.withColumn("place", anywhere).withColumn("part", part)
-        sent = rows.repartition("place", "part").sortWithinPartitions("place", "part").select(_NAMES).mapInArrow(_divide(way, level), _ENTRY)
-    return sent.withColumn("place", anywhere).repartition("place").sortWithinPartitions("place").select(_NAMES).mapInArrow(_receive(way), "slot bigint, starts binary")
+        sent = rows.repartition(way.tasks, "place", "part").sortWithinPartitions("place", "part").select(_NAMES).mapInArrow(_divide(way, level), _ENTRY)
+    return sent.withColumn("place", anywhere).repartition(way.tasks, "place").sortWithinPartitions("place").select(_NAMES).mapInArrow(_receive(way), "slot bigint, starts binary")
 
 
 def _collected(rows: DataFrame) -> DataFrame:
