@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -139,8 +139,34 @@ def c2_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Table columns: brand | type | size\n"), F.array_join(cells, " | ")).alias("text"))
 
 
-# Rewrites of damaged text, in order.
-REWRITES = [(r"([a-zà-ÿ])-\n([a-zà-ÿ])", "$1$2"), (r"\bM P a\b", "MPa"), (r"\bH V\b", "HV"), (r"\bk si\b", "ksi"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]
+_W = r"[\p{L}\p{N}_]"
+
+
+def _word(pattern: str, replacement: str) -> tuple[str, str]:
+    """A rewrite of whole words, in a form that every engine reads alike."""
+    return rf"(^|[^\p{{L}}\p{{N}}_])(?:{pattern})([^\p{{L}}\p{{N}}_]|$)", f"$1{replacement}$2"
+
+
+# Rewrites of damaged text, in order: divided words, lost units, units and grades that were pulled apart, blanks.
+REWRITES = [
+    (rf"({_W})-\s*\n\s*({_W})", "$1$2"),
+    (r"[ \t]*\n[ \t]*((?:MPa|МПа|ksi|HV|HRC|°C|C)(?:[^\p{L}\p{N}_]|$)|%)", " $1"),
+    _word(r"[MmМм]\s*[PpРрПп]\s*[AaАа]", "MPa"),
+    _word(r"[HhНн]\s*[Vv]", "HV"),
+    _word(r"[Kk]\s+[Ss]\s*[Ii]", "ksi"),
+    _word(r"[Вв][Тт]\s*[- ]?\s*6", "ВТ6"),
+    _word(r"[Bb][Tt]\s*[- ]?\s*6", "VT6"),
+    _word(r"7075\s*[–—-]?\s*[ТTт]\s*6", "7075-T6"),
+    _word(r"[Tt][Ii]\s*[- ]?\s*6\s*[Aa][Ll]\s*[- ]?\s*4\s*[Vv]", "Ti-6Al-4V"),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+
+
+def repaired(text: Column) -> Column:
+    for pattern, replacement in REWRITES:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 @query(
@@ -152,10 +178,7 @@ REWRITES = [(r"([a-zà-ÿ])-\n([a-zà-ÿ])", "$1$2"), (r"\bM P a\b", "MPa"), (r"
 )
 def c5_repaired_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with hyphens at line ends, split units and blanks put right."""
-    c = F.coalesce("text", F.lit(""))
-    for pattern, replacement in REWRITES:
-        c = F.regexp_replace(c, pattern, replacement)
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(c, 256).alias("text_hash"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(repaired(F.coalesce("text", F.lit(""))), 256).alias("text_hash"))
 
 
 # Words that add synonyms to a question.

@@ -113,6 +113,19 @@ def test_numeric_asks(spark):
     }
 
 
+def test_repaired_text(spark):
+    from pyspark.sql import functions as F
+
+    from factloom.operators.answers import repaired
+
+    texts = {
+        "strength of 980 M P a": "strength of 980 MPa", "980\n МПа, 150 H V": "980 MPa, 150 HV", "an-\n nealing": "annealing", "В Т 6, ВТ - 6 и BT6": "В Т 6, ВТ6 и VT6", "7075 – T 6 and Ti 6Al 4V": "7075-T6 and Ti-6Al-4V",
+        "77 k si  of  HVAC": "77 ksi of HVAC", "12\n%": "12 %", "": "",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", repaired(F.col("text")).alias("r"))
+    assert {r["text"]: r["r"] for r in frame.collect()} == texts
+
+
 def test_urls(spark):
     from pyspark.sql import functions as F
 
