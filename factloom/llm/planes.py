@@ -45,6 +45,8 @@ CACHE_PIECES, CACHE_CHARS = 300_000, 4 << 20
 BATCH_BYTES = 6 << 20
 #: Text of a file, on average: at least the first while there are FILES files or fewer, at most the second.
 FILE_BYTES, FILES = (24 << 20, 128 << 20), 1024
+#: A small table is divided among all cores, but not into files of less text than this.
+LEAST_BYTES = 2 << 20
 
 
 #: Where a text can't simply be cut at every space and line feed: other white space, and white space beside white space or an end.
@@ -250,7 +252,8 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
     ignored.  An empty table gives files without stripes.
     """
     total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    files = max(1, min(total // FILE_BYTES[0], FILES), total // FILE_BYTES[1])
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, min(total // FILE_BYTES[0], FILES), total // FILE_BYTES[1], min(cores, total // LEAST_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)  # given back with the task
