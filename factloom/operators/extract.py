@@ -426,11 +426,6 @@ def d1_alias_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose(spark, sf_dir).select(*KEY, *(F.coalesce(V.first_name(d), F.lit("")).alias(d) for d in V.NAMES))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{d}', '{a}', '{V.squeezed(a)}', '{c}', {i})" for d in V.ALIASES for i, (a, c) in enumerate(V.ordered(d))) + ") AS t(domain, alias_norm, alias_compact, canonical, priority)")
-def a14_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.dim_alias(spark)
-
-
 _LABELS_SQL = "list_value(" + ", ".join(f"'{x}'" for x in MATERIALS + REGIMES) + ")"
 _COMPACT_SQL = r"regexp_replace(replace(lower(trim(label)), 'ё', 'е'), '[\s_-]', '', 'g')"
 

@@ -12,6 +12,7 @@ import factloom.operators.graph
 import factloom.operators.guards
 import factloom.operators.profile
 import factloom.operators.retrieval
+import factloom.operators.vocabulary
 import factloom.plans.ask
 import factloom.plans.planner
 import factloom.plans.questions  # noqa: F401
