@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = r"[^ \t\n\r\f\x0B]+"
 TOKEN = r"[\p{L}\p{N}_\-]+"
 
 
@@ -27,7 +30,46 @@ def tokens(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """Runs outside ASCII white space."""
-    return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it within lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def window_spans(text: Column, size: int = 400, overlap: int = 50) -> Column:
+    """array of (start: first word, n_words, char_start, char_end): the windows of window_starts() and where they stand in the text.
+
+    Lengths of words and of the gaps before them are added up by steps of windows first, so a text costs its words and the square of
+    its windows, not windows times words.
+    """
+    size = max(50, size)
+    step = size - min(overlap, size // 2)
+    text = F.coalesce(text, F.lit(""))
+    # One pair for each word; what follows the last word has none.
+    pairs = F.filter(F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("word")), lambda p: p["word"].isNotNull())
+    lengths = F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("gap"), (F.length(p["gap"]) + F.length(p["word"])).alias("both")))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x["both"])
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        starts = window_starts(n, size, overlap)
+        sums = F.transform(starts, lambda s: total(F.slice(w, s + 1, step)))
+        return let(
+            sums,
+            lambda b: F.transform(
+                starts,
+                lambda s, i: F.struct(
+                    s.alias("start"),
+                    F.least(F.lit(size), n - s).alias("n_words"),
+                    (F.aggregate(F.slice(b, 1, i), F.lit(0), lambda t, x: t + x) + F.get(w, s)["gap"]).alias("char_start"),
+                    (F.aggregate(F.slice(b, 1, i), F.lit(0), lambda t, x: t + x) + total(F.slice(w, s + 1, size))).alias("char_end"),
+                ),
+            ),
+        )
+
+    return let(lengths, windows)
 
 
 def window_starts(n: Column, size: int = 400, overlap: int = 50) -> Column:

@@ -28,6 +28,21 @@ def c1_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.size(part).cast("bigint").alias("token_count"), F.sha2(F.array_join(part, " "), 256).alias("text_hash"))
 
 
+@query(
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {W_SQL} AS w, string_split_regex(coalesce(text, ''), '{T.WORD}') AS g FROM documents),
+    e AS (SELECT doc_id, unnest(w) AS w, unnest(g[: len(w)]) AS g, generate_subscripts(w, 1) AS i FROM d),
+    u AS (SELECT doc_id, i, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, length(w) AS n FROM e),
+    s AS (SELECT doc_id, t, len(w) AS n, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 400 THEN [0] ELSE range(0, len(w), 350) END) AS s0 FROM d)
+    SELECT s.doc_id, (s0 // 350)::BIGINT AS ordinal, (a.upto - a.n)::BIGINT AS char_start, b.upto::BIGINT AS char_end, sha256(t[a.upto - a.n + 1 : b.upto]) AS text_hash
+    FROM s JOIN u a ON a.doc_id = s.doc_id AND a.i = s0 + 1 JOIN u b ON b.doc_id = s.doc_id AND b.i = least(s.n, s0 + 400)"""
+)
+def c1_chunk_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows of c1_chunk_windows as pieces of the text itself, white space within them kept, by their places in characters."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(T.window_spans(F.col("text"))).alias("ordinal", "w"))
+    part = F.substring(F.col("text"), F.col("w.char_start") + 1, F.col("w.char_end") - F.col("w.char_start"))
+    return rows.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), F.col("w.char_start").cast("bigint").alias("char_start"), F.col("w.char_end").cast("bigint").alias("char_end"), F.sha2(part, 256).alias("text_hash"))
+
+
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
     g AS (SELECT *, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l)
