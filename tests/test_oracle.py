@@ -15,7 +15,8 @@ import factloom.operators.retrieval
 import factloom.operators.vocabulary
 import factloom.plans.ask
 import factloom.plans.planner
-import factloom.plans.questions  # noqa: F401
+import factloom.plans.questions
+import factloom.sources.snapshots  # noqa: F401
 from factloom.registry import ORACLE_SQL, QUERIES
 
 
