@@ -11,6 +11,7 @@ import factloom.operators.facts
 import factloom.operators.graph
 import factloom.operators.guards
 import factloom.operators.profile
+import factloom.operators.reports
 import factloom.operators.retrieval
 import factloom.operators.vocabulary
 import factloom.plans.ask
