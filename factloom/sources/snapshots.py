@@ -73,10 +73,10 @@ class Store:
         gone = self.read("removed", version).groupBy("name").agg(F.max("commit").alias("gone"))
         return rows.join(gone, "name", "left").where("gone IS NULL OR commit >= gone").drop("gone").select(*rows.columns)
 
-    def write(self, df: DataFrame) -> tuple[str, StructType]:
+    def write(self, df: DataFrame, *partition_by: str) -> tuple[str, StructType]:
         """Rows that no version lists yet."""
         folder = f"{DATA}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        df.write.partitionBy(*partition_by).parquet(f"{self.root}/{folder}")
         return folder, df.schema
 
     def commit(self, base: int, added: dict[str, tuple[str, StructType]], replace: bool = False) -> int:
@@ -100,7 +100,7 @@ class Store:
         return base + 1
 
     def compact(self, tables: list[str]) -> int:
-        """Live rows in one folder for each table; names stay in `removed`, whose commits are all before the new ones' rows or equal."""
+        """Live rows in one folder for each table.  Rows keep their commits, so names in `removed` mean what they meant; versions of contents that aren't live are forgotten."""
         base = self.latest()
         return self.commit(base, {t: self.write(self.live(t, base)) for t in tables}, replace=True)
 

@@ -10,6 +10,7 @@ import factloom.operators.extract
 import factloom.operators.facts
 import factloom.operators.graph
 import factloom.operators.guards
+import factloom.operators.index
 import factloom.operators.profile
 import factloom.operators.reports
 import factloom.operators.retrieval
