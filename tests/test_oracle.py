@@ -16,6 +16,7 @@ import factloom.operators.reports
 import factloom.operators.retrieval
 import factloom.operators.vocabulary
 import factloom.plans.ask
+import factloom.plans.cascade
 import factloom.plans.planner
 import factloom.plans.questions
 import factloom.sources.snapshots  # noqa: F401
