@@ -8,6 +8,8 @@ one question and for a log of a thousand million.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,27 +108,28 @@ def answers(found: DataFrame) -> DataFrame:
 
 
 def part_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary of the facts: brands as materials, types as properties, return flags as regimes."""
-    part, item = load(spark, sf_dir, "part"), load(spark, sf_dir, "lineitem")
+    """The vocabulary: brands as materials, types as properties, return flags as regimes; market segments are materials of which there are no facts."""
+    part, item, customer = (load(spark, sf_dir, t) for t in ("part", "lineitem", "customer"))
     rows = [
         part.select(F.lit("material").alias("domain"), F.col("p_brand").alias("alias"), F.col("p_brand").alias("canonical")),
         part.select(F.lit("property"), "p_type", "p_type"),
+        customer.select(F.lit("material"), "c_mktsegment", "c_mktsegment"),
         item.select(F.lit("regime"), F.concat(F.lit("regime "), "l_returnflag"), "l_returnflag"),
     ]
-    return vocabulary(rows[0].unionAll(rows[1]).unionAll(rows[2]).distinct())
+    return vocabulary(reduce(DataFrame.unionAll, rows).distinct())
 
 
 _KIND = "(conv_id * 5 + turn) % 6"
 
 
 def question_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, turn, text: what was said, and what is asked of a part: by all of its names, by names of which some are unknown, or by none; some turns are empty."""
+    """conv_id, turn, text: what was said, and what is asked of a part: by all of its names, by names of which some have no facts, or by none; some turns are empty."""
     said = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.expr(_KIND).alias("kind"), ((F.col("conv_id") * 31 + F.col("turn") * 7) % 200).alias("p_partkey"))
     named = said.join(load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), "p_partkey", "left")
     part, kind = (lambda x: F.coalesce(F.col(x), F.lit("nothing"))), F.col("kind")
     suffix = (
         F.when(kind == 0, F.concat(F.lit(" Which "), part("p_type"), F.lit(" has "), part("p_brand"), F.lit(" under regime R?")))
-        .when(kind == 1, F.concat(F.lit(" Which "), part("p_type"), F.lit(" has Brand#999 under regime A?")))
+        .when(kind == 1, F.concat(F.lit(" Which "), part("p_type"), F.lit(" has any HOUSEHOLD thing under regime A?")))
         .when(kind == 2, F.concat(F.lit(" What of "), part("p_brand"), F.lit("?")))
         .when(kind == 3, F.concat(F.lit(" What is known of regime n and "), F.lower(part("p_brand")), F.lit("?")))
     )
@@ -140,10 +143,10 @@ def _tokens_sql(x: str) -> str:
 
 _QUESTIONS_SQL = f"""s AS (SELECT conv_id, turn, text, {_KIND} AS kind, (conv_id * 31 + turn * 7) % 200 AS p_partkey FROM conversations),
     q AS (SELECT conv_id, turn, CASE WHEN kind = 5 THEN '?' ELSE coalesce(text, '') || CASE kind WHEN 0 THEN ' Which ' || coalesce(p_type, 'nothing') || ' has ' || coalesce(p_brand, 'nothing') || ' under regime R?'
-          WHEN 1 THEN ' Which ' || coalesce(p_type, 'nothing') || ' has Brand#999 under regime A?' WHEN 2 THEN ' What of ' || coalesce(p_brand, 'nothing') || '?'
+          WHEN 1 THEN ' Which ' || coalesce(p_type, 'nothing') || ' has any HOUSEHOLD thing under regime A?' WHEN 2 THEN ' What of ' || coalesce(p_brand, 'nothing') || '?'
           WHEN 3 THEN ' What is known of regime n and ' || lower(coalesce(p_brand, 'nothing')) || '?' ELSE '' END END AS text FROM s LEFT JOIN part USING (p_partkey))"""
 _CONSTRAINTS_SQL = f"""{_QUESTIONS_SQL},
-    names AS (SELECT DISTINCT 'material' AS domain, p_brand AS alias, p_brand AS canonical FROM part UNION SELECT DISTINCT 'property', p_type, p_type FROM part UNION SELECT DISTINCT 'regime', 'regime ' || l_returnflag, l_returnflag FROM lineitem),
+    names AS (SELECT DISTINCT 'material' AS domain, p_brand AS alias, p_brand AS canonical FROM part UNION SELECT DISTINCT 'material', c_mktsegment, c_mktsegment FROM customer UNION SELECT DISTINCT 'property', p_type, p_type FROM part UNION SELECT DISTINCT 'regime', 'regime ' || l_returnflag, l_returnflag FROM lineitem),
     v AS (SELECT domain, array_to_string({_tokens_sql('alias')}, '') AS key, arg_min(canonical, encode({_CANONICAL_SQL.format(x='alias')})) AS canonical, min({_CANONICAL_SQL.format(x='alias')}) AS alias FROM names GROUP BY 1, 2),
     tok AS (SELECT conv_id, turn, {_tokens_sql('text')} AS t FROM q),
     g AS (SELECT conv_id, turn, i, i + n AS e, array_to_string(t[i + 1 : i + n], '') AS key FROM tok, unnest([{', '.join(map(str, APART))}]) AS l(n), unnest(range(0, len(t) - n + 1)) AS x(i)),
