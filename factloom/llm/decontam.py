@@ -118,9 +118,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id has no contaminated text."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs, with their columns, whose text isn't contaminated.
+
+    A row goes for its own text: rows without doc_id and rows that share one are judged apart.
+    """
+    of_text = F.xxhash64("text")
+    rows = docs.select(F.struct("doc_id", of_text.alias("of_text")).alias("doc_id"), "text")
+    bad = contamination(rows, benchmark, window).where("contaminated").select(F.col("doc_id.doc_id").alias("_bad"), F.col("doc_id.of_text").alias("_of_text")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (of_text == bad["_of_text"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

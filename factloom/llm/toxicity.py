@@ -34,6 +34,8 @@ GRAMS = (3, 4, 5, 6)
 #: Labelled documents of each class that are learnt from, chosen by hash, and their bytes of text: the bounds of what reaches the driver.
 SAMPLE = {1: 2000, 0: 2500}
 SAMPLE_BYTES = 16 << 20
+#: Bytes from which a text is learnt from only if there is room after all shorter ones.
+LONG_BYTES = 1 << 20
 #: Words that a training step takes at a time.
 STEP_WORDS = 1 << 16
 THRESHOLD = 0.7
@@ -244,7 +246,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
 
     Rows without doc_id, text or label are passed over.  Rows that share a doc_id count once, with the least of their
     texts; a doc_id with both labels counts in both classes.  Texts are taken whole, in the order of a hash of doc_id, up to
-    SAMPLE_BYTES of each class.
+    SAMPLE_BYTES of each class; those over LONG_BYTES come after all others, so that one of them can't take the place of the rest.  If a class has
+    texts and none of them fits, that is an error.
     """
     free = labels.where("doc_id is not null and toxic is not null").where(~held_out_column()).select("doc_id", F.col("toxic").alias("y")).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -254,29 +257,39 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) ->
         chosen = part if chosen is None else chosen.unionAll(part)
     texts = docs.select("doc_id", F.lower("text").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
     once = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy(*order))  # over the sample alone
-    rows = once.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).drop("upto").toArrow()
+    within = Window.partitionBy("y").orderBy(F.octet_length("text") > LONG_BYTES, *order)  # over the sample alone
+    placed = once.withColumn("upto", F.sum(F.octet_length("text")).over(within)).withColumn("place", F.row_number().over(within))
+    fits = F.col("upto") <= SAMPLE_BYTES
+    # Of a class whose first text doesn't fit, only its length comes to the driver.
+    rows = placed.where(fits | (F.col("place") == 1)).select("doc_id", "y", F.when(fits, F.col("text")).alias("text")).toArrow()
+    if rows.column("text").null_count:
+        raise ValueError(f"no text of some class is within {SAMPLE_BYTES} bytes")
     rows = rows.take(pa.array(np.lexsort([rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()])))
     return train(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(np.int64))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, *more: Column) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, score, predicted; one row for each row of docs.
 
     The whole text counts.  Null and empty texts and texts without words get the score of the bias.  A null doc_id
-    isn't held out.  Other columns are ignored.  No rows give no rows.
+    isn't held out.  Other columns are ignored, but for those (bigint) that `more` asks to keep.  No rows give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.scores(batch.column(2)), pa.float64())], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.scores(batch.columns[-1]), pa.float64())], [*batch.schema.names[:-1], "score"])
 
-    rows = docs.select("doc_id", F.coalesce(held_out_column(), F.lit(False)).alias("held_out"), F.lower("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    rows = docs.select("doc_id", F.coalesce(held_out_column(), F.lit(False)).alias("held_out"), *more, F.lower("text").alias("text"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes[:-1])
+    return rows.mapInArrow(run, f"{schema}, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that aren't predicted toxic."""
+    """The rows of docs, with their columns, that aren't predicted toxic.
+
+    A row goes for its own text: rows without doc_id and rows that share one are judged apart.
+    """
     model = fit(docs, labels)
-    bad = score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    of_text = F.xxhash64("text")
+    bad = score(docs, model, of_text.alias("_of_text")).where("predicted = 1").select(F.col("doc_id").alias("_bad"), "_of_text").distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]) & (of_text == bad["_of_text"]), "left_anti")

@@ -146,6 +146,14 @@ def test_ring_moves_little_when_it_grows(docs):
     assert np.mean([after[d] != s for d, s in before.items()]) < 0.45
 
 
+def test_ring_moves_little_without_slack(spark):
+    """Capacities that leave no room: what a new shard doesn't take stays, but for a few keys that overflow elsewhere."""
+    rows = table(spark, "/root/testdata/sf0.1", "documents")
+    before, after = (dict(rows_of(ring.assign(rows, n), "doc_id", "shard")) for n in (16, 17))
+    moved = [after[d] for d, s in before.items() if after[d] != s]
+    assert len(moved) < 0.09 * len(before) and sum(s != 16 for s in moved) < 0.03 * len(before)
+
+
 def shingles(text):
     w = words(text, lower=True)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -596,6 +604,39 @@ def test_toxicity_on_odd_rows(spark, odd, empty):
     assert 0 < toxicity.fit(odd, labels.where("false")).scores(pa.array(["x"]))[0] < 1
 
 
+def test_one_long_text_does_not_empty_a_class(spark, monkeypatch):
+    """Every text comes first in some order, so the long ones are made longer than the bound in turn."""
+    docs, labels = table(spark, SF, "documents").where("text IS NOT NULL"), table(spark, SF, "labels")
+    toxic = [r["doc_id"] for r in labels.where("toxic = 1").orderBy(F.xxhash64("doc_id")).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400_000)
+    monkeypatch.setattr(toxicity, "LONG_BYTES", 100_000)
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == toxic[0], F.repeat("text", F.lit(500_000))).otherwise(F.col("text")).substr(1, 500_000))
+    scores = toxicity.fit(longer, labels).scores(pa.array(["you are a worthless idiot", "hello there"]))
+    assert scores[0] > scores[1] + 0.3
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3)
+    with pytest.raises(ValueError, match="no text of some class"):
+        toxicity.fit(docs.where(F.length("text") > 3), labels)
+
+
+def test_toxic_rows_go_alone(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels)
+    by_score = sorted(((r["score"], r["doc_id"]) for r in toxicity.score(docs, model).collect()))
+    text = dict(texts(docs))
+    bad, good = text[by_score[-1][1]], text[by_score[0][1]]
+    rows = [(None, good, "en", "a", 1), (None, bad, "en", "a", 1), (None, None, "en", "a", 1), (7, good, "en", "b", 1), (7, bad, "en", "b", 1), (8, bad, "en", "b", 1)]
+    left = toxicity.remove_toxic(docs.unionByName(spark.createDataFrame(rows, docs.schema)), labels)
+    odd_rows = left.where("doc_id IS NULL OR (doc_id IN (7, 8) AND source = 'b' AND n_chars = 1)")
+    assert Counter((r["doc_id"], r["text"]) for r in odd_rows.collect()) == Counter([(None, good), (None, None), (7, good)])
+
+
+def test_contaminated_rows_go_alone(spark):
+    rows = [(None, "fine words"), (None, "one two here"), (None, None), (3, "one two"), (3, "clean")]
+    bench = spark.createDataFrame([(1, "one two")], "item_id bigint, text string")
+    left = decontam.remove_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), bench)
+    assert Counter(map(tuple, left.collect())) == Counter([(None, "fine words"), (None, None), (3, "clean")])
+
+
 def brute_repeats(frame):
     byid = {d: words(t) for d, t in texts(frame)}
     seen, out = set(), {}
