@@ -89,18 +89,20 @@ def _matches(text: Column, kind: Kind) -> Column:
 
     Splitting at the pattern gives the gaps.  Matches that fail are kept with the kind null, as later places count them.
     """
-    gaps, whole = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group)) if kind.group else whole
+    # Zipped, so that each list is made once for a text and not once for each of its matches; the text after the last match is a gap of its own.
+    zipped = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), whole.alias("whole"), values.alias("value"))
 
-    def one(x: Column, i: Column) -> Column:
-        value = F.get(values, i)
+    def one(m: Column, i: Column) -> Column:
+        value = m["value"]
         of = _kind_of_run(value) if kind is RUN else F.lit(NAMES.index(kind.name))
         keep = value.rlike("[0-9]") & value.rlike("[A-Za-z]") if kind is RUN else F.length(value) >= kind.least
         return F.struct(
-            F.when(keep, of).alias("kind"), i.alias("pos"), F.length(F.get(gaps, i)).alias("gap"), F.length(x).alias("len"), F.md5(value).alias("value"), _looks_random(value).alias("varied")
+            F.when(keep, of).alias("kind"), i.alias("pos"), F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("len"), F.md5(value).alias("value"), _looks_random(value).alias("varied")
         )
 
-    return F.when(text.rlike(kind.pattern), F.transform(whole, one)).otherwise(F.array().cast(_FOUND))
+    return F.when(text.rlike(kind.pattern), F.transform(zipped, one)).otherwise(F.array().cast(_FOUND))
 
 
 def _placed(found: DataFrame) -> DataFrame:
