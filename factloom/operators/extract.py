@@ -80,7 +80,7 @@ MEASUREMENTS = [
     (rf"(hv|hrc)\s*{_NUM}", "твёрдость", "твёрдость", 2, 1, "none", 0.86),
     (rf"твердость[^.;,\n]{{0,30}}?{_NUM}\s*(hv|hrc)", "твёрдость", "твёрдость", 1, 2, "none", 0.86),
 ]
-CORROSION = rf"(?:коррозионн{W}\s+стойк{W}|corrosion\s+resistance)[^.;\n]{{0,80}}?((?:повыс|увелич|increase|сниз|уменьш|decrease){W})"
+CORROSION = rf"(коррозионн{W}\s+стойк{W}|corrosion\s+resistance)[^.;\n]{{0,80}}?((?:повыс|увелич|increase|сниз|уменьш|decrease){W})"
 _KIND = "struct<property_raw:string,property:string,value:double,unit:string,effect:string,confidence:double>"
 
 
@@ -89,26 +89,28 @@ def measurements(plain: Column) -> Column:
 
     def by_rule(pattern: str, raw: str, name: str, value: int, unit: int, effect: str, confidence: float) -> Column:
         all_of = lambda g: F.regexp_extract_all(plain, F.lit(pattern), F.lit(g))
-        word = {"match": lambda m: m, "near": lambda m: nearest_effect(plain, m), "none": lambda m: F.lit("")}[effect]
+        # A strength in Russian is an increase or nothing is known of it; the word must stand in the match.
+        word = {"match": lambda m: F.regexp_extract(m, "увелич", 0), "near": lambda m: nearest_effect(plain, m), "none": lambda m: F.lit("")}[effect]
         fact = lambda p: F.struct(
             F.lit(raw).alias("property_raw"), F.lit(name).alias("property"), number(p["v"]).alias("value"), U.unit_label(p["u"]).alias("unit"), effect_of(word(p["m"])).alias("effect"), F.lit(confidence).alias("confidence")
         )
         return F.transform(F.arrays_zip(all_of(0).alias("m"), all_of(value).alias("v"), all_of(unit).alias("u")), fact)
 
-    bare = lambda w: F.struct(
-        F.lit("коррозионная стойкость").alias("property_raw"), F.lit("коррозионная стойкость").alias("property"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), effect_of(w).alias("effect"), F.lit(0.72).alias("confidence")
+    bare = lambda m: F.struct(
+        m["raw"].alias("property_raw"), F.lit("коррозионная стойкость").alias("property"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), effect_of(m["w"]).alias("effect"), F.lit(0.72).alias("confidence")
     )
+    corrosion = F.arrays_zip(*(F.regexp_extract_all(plain, F.lit(CORROSION), F.lit(g)).alias(n) for n, g in (("raw", 1), ("w", 2))))
     found = [by_rule(*rule).cast(f"array<{_KIND}>") for rule in MEASUREMENTS]
-    return F.array_distinct(F.flatten(F.array(*found, F.transform(F.regexp_extract_all(plain, F.lit(CORROSION), F.lit(1)), bare).cast(f"array<{_KIND}>"))))
+    return F.array_distinct(F.flatten(F.array(*found, F.transform(corrosion, bare).cast(f"array<{_KIND}>"))))
 
 
 def _measurements_sql() -> str:
     def one(pattern: str, raw: str, name: str, value: int, unit: int, effect: str, confidence: float) -> str:
-        word = {"match": "m", "near": nearest_effect_sql("m"), "none": "''"}[effect]
+        word = {"match": "regexp_extract(m, 'увелич')", "near": nearest_effect_sql("m"), "none": "''"}[effect]
         groups = ", ".join(f"unnest(regexp_extract_all(plain, '{pattern}', {g})) AS {c}" for c, g in (("m", 0), ("v", value), ("u", unit)))
         return f"SELECT {_ID}, '{raw}' AS property_raw, '{name}' AS property, replace(v, ',', '.')::DOUBLE AS value, {U.unit_label_sql('u')} AS unit, {effect_sql(word)} AS effect, {confidence}::DOUBLE AS confidence FROM (SELECT {_ID}, plain, {groups} FROM t)"
 
-    bare = f"SELECT {_ID}, 'коррозионная стойкость', 'коррозионная стойкость', NULL, NULL, {effect_sql('w')}, 0.72 FROM (SELECT {_ID}, unnest(regexp_extract_all(plain, '{CORROSION}', 1)) AS w FROM t)"
+    bare = f"SELECT {_ID}, raw, 'коррозионная стойкость', NULL, NULL, {effect_sql('w')}, 0.72 FROM (SELECT {_ID}, unnest(regexp_extract_all(plain, '{CORROSION}', 1)) AS raw, unnest(regexp_extract_all(plain, '{CORROSION}', 2)) AS w FROM t)"
     return " UNION ".join([*(one(*rule) for rule in MEASUREMENTS), bare])
 
 
@@ -119,7 +121,7 @@ def e4_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Process parameters: what stands before the number, within how many characters, property, confidence; and the units.
 _AMOUNT = r"(?:<=|>=|≤|≥|<|>|=|до|от|не\s+более|не\s+менее)?\s*" + _NUM + r"(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?\s*(мг/л|мг/дм3|мг/дм³|mg/l|mg/dm3|mg/dm³|г/л|g/l|м/с|m/s|м3/ч|м³/ч|m3/h|m³/h|т/сутки|т/сут|t/day|t/d|%|ppm)"
-_PRICE = r"(?:<=|>=|≤|≥|<|>|=|до|от|не\s+более|не\s+менее)?\s*" + _NUM + r"\s*(usd/t|\$/t|rub/t|руб/т|руб\.?/т|руб/м3|руб/м³|rub/m3|usd/m3|млн\s*руб(?:/год)?)"
+_PRICE = r"(?:<=|>=|≤|≥|<|>|=|до|от|не\s+более|не\s+менее)?\s*" + _NUM + r"\s*(usd/t|\$/t|rub/t|руб/т|руб\.?/т|руб/м3|руб/м³|rub/m3|usd/m3|млн\s*руб(?:/год)?|млн\s*rub(?:/year)?)"
 _BEFORE = [
     (rf"сульфат{W}|sulfates?|sulphates?|so4", 60, "концентрация", 0.83),
     (rf"хлорид{W}|chlorides?|cl", 60, "концентрация", 0.83),

@@ -69,19 +69,18 @@ def d13_canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {N_SQL} SELECT material, regime, property, count(*) AS n_rows, count(DISTINCT value_text) AS n_values FROM k GROUP BY ALL")
 def f16_fact_row_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Experiments with array columns become one row for each material, regime and measurement; empty arrays give ''."""
-    experiments = _n(spark, sf_dir).groupBy("document_id", "material").agg(F.collect_list(F.struct("regime", "property", "value_text")).alias("measurements"))
-    rows = experiments.select("material", F.explode_outer("measurements").alias("m")).select("material", F.coalesce("m.regime", F.lit("")).alias("regime"), "m.property", "m.value_text")
-    return rows.groupBy("material", "regime", "property").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("value_text").alias("n_values"))
+    """One row for each material, regime and property of an experiment's arrays, which are never made: they would only be taken apart again."""
+    rows = _n(spark, sf_dir).groupBy("material", F.coalesce("regime", F.lit("")).alias("regime"), "property", "value_text").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("material", "regime", "property").agg(F.sum("n").alias("n_rows"), F.count("value_text").alias("n_values"))
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
     """One row for each canonical key: the first row's fields, all evidence, and the first experiment that has one."""
     first = F.min(F.struct("seq", "material", "regime", "property", "value_normalized", "unit_normalized", "value_text", "effect_part", "equipment", "laboratory"))
-    evidence = F.struct("document_id", "chunk_id")
-    return normalized(rows).groupBy("canonical_fact_key").agg(
-        first.alias("first"), F.countDistinct(evidence).alias("evidence_count"), F.count(F.lit(1)).alias("raw_count"), F.max("value").alias("max_value")
-    ).select("canonical_fact_key", "first.*", "evidence_count", "raw_count", "max_value")
+    # Each piece of evidence is one row first: counting distinct ones beside other aggregates would expand every row.
+    pieces = normalized(rows).groupBy("canonical_fact_key", "document_id", "chunk_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    whole = pieces.groupBy("canonical_fact_key").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("evidence_count"), F.sum("n").alias("raw_count"), F.max("top").alias("max_value"))
+    return whole.select("canonical_fact_key", "first.*", "evidence_count", "raw_count", "max_value")
 
 
 @query(f"WITH {N_SQL} SELECT canonical_fact_key, min(seq) AS seq, any_value(material) AS material, count(DISTINCT (document_id, chunk_id)) AS evidence_count, count(*) AS raw_count FROM k GROUP BY canonical_fact_key")

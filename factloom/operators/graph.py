@@ -93,8 +93,8 @@ def within(e: DataFrame, start: DataFrame, hops: int) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES_SQL}, n AS (SELECT src, type, dst FROM e WHERE dst = 'Regime:R' ORDER BY src, type LIMIT 49), k AS (SELECT src AS id FROM n UNION SELECT 'Regime:R')
-    SELECT src, type, dst FROM e JOIN k AS a ON src = a.id JOIN k AS b ON dst = b.id"""
+    f"""WITH {EDGES_SQL}, n AS MATERIALIZED (SELECT src, type, dst FROM e WHERE dst = 'Regime:R' ORDER BY src, type LIMIT 49), k AS MATERIALIZED (SELECT src AS id FROM n UNION SELECT 'Regime:R')
+    SELECT src, type, dst FROM e WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)"""
 )
 def f10_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The star around an entity: 50 nodes at most, in order of id, and the edges between kept nodes."""

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.functions.text import canonical
 from factloom.operators.facts import N_SQL, find, normalized
@@ -25,22 +24,40 @@ CANDIDATES, PER_RESULT = 50, 5
 
 @dataclass(frozen=True)
 class Preset:
-    """How much an installation runs: which retrieval, whether vectors and a language model are there."""
+    """How an installation extracts and answers."""
 
     name: str
-    retrieval: str
-    embeddings: bool
-    model: bool
-    top_k: int
+    extraction: str
+    synthesis: str
+    strict: bool
+    backend: str
 
 
-# The presets.
-PRESETS = (Preset("economy_core", "bm25", False, False, 5), Preset("balanced_hybrid", "hybrid", True, False, 8), Preset("quality_full", "hybrid", True, True, 12))
+# The presets, the default first.
+PRESETS = (
+    Preset("expert_max", "hybrid", "hybrid", False, "auto"),
+    Preset("strict_audit", "deterministic", "template", True, "auto"),
+    Preset("offline_reliable", "deterministic", "template", False, "fallback"),
+)
+
+
+def preset(asked: Column) -> Column:
+    """The settings of the preset that is asked for: of the default if none is, null if there is no such preset."""
+    name = F.when(F.trim(F.coalesce(asked, F.lit(""))) == "", PRESETS[0].name).otherwise(asked)
+    settings = lambda p: F.struct(*(F.lit(v).alias(k) for k, v in vars(p).items()))
+    return F.element_at(F.create_map(*(x for p in PRESETS for x in (F.lit(p.name), settings(p)))), name)
+
 
+_ASKED_PRESET = "CASE role WHEN 'system' THEN 'strict_audit' WHEN 'assistant' THEN 'offline_reliable' END"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p.name}', '{p.retrieval}', {p.embeddings}, {p.model}, {p.top_k})" for p in PRESETS) + ") AS t(name, retrieval, embeddings, model, top_k)")
+
+@query(
+    f"WITH p(preset, extraction, synthesis, strict, backend) AS (VALUES {', '.join(str(tuple(vars(p).values())) for p in PRESETS)}), c AS (SELECT conv_id, turn, coalesce({_ASKED_PRESET}, '{PRESETS[0].name}') AS preset FROM conversations) SELECT conv_id, turn, preset, extraction, synthesis, strict, backend FROM c JOIN p USING (preset)"
+)
 def i13_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(p.name, p.retrieval, p.embeddings, p.model, p.top_k) for p in PRESETS], "name string, retrieval string, embeddings boolean, model boolean, top_k int")
+    """The settings that every turn is answered with: the system is strict, assistants are offline, users have the default."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", preset(F.expr(_ASKED_PRESET)).alias("p"))
+    return rows.select("conv_id", "turn", F.col("p.name").alias("preset"), "p.extraction", "p.synthesis", "p.strict", "p.backend")
 
 
 def retrieve(docs: DataFrame, vectors: DataFrame | None, question: str, asked: DataFrame | None, mode: str, k: int) -> tuple[str, str, DataFrame]:
@@ -77,11 +94,11 @@ def h5_mode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lit(mode).alias("mode"), F.lit(reason).alias("reason"), "id", "score", "rank")
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY text NULLS LAST, doc_id) AS k FROM documents WHERE doc_id % 100 = 0) SELECT doc_id, k AS rank, round(1.0::DOUBLE / k, 9) AS score FROM r")
+@query(f"WITH {_bm25_sql(QUESTION)}, r AS (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm) SELECT id AS doc_id, rank, round(1.0::DOUBLE / rank, 9) AS score FROM r WHERE rank <= {CANDIDATES}")
 def h7_rank_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A list's places as scores: of the documents that were asked for, in order of their texts."""
-    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last("text"), "doc_id"))
-    return load(spark, sf_dir, "documents").where("doc_id % 100 = 0").select("doc_id", rank.cast("bigint").alias("rank")).withColumn("score", F.round(1.0 / F.col("rank"), 9))
+    """The places of a list of candidates as scores."""
+    scored = bm25(load(spark, sf_dir, "documents"), QUESTION).withColumn("score", F.round("score", 6))
+    return top(scored, CANDIDATES, F.desc("score"), F.asc("id")).select(F.col("id").alias("doc_id"), "rank", F.round(1.0 / F.col("rank"), 9).alias("score"))
 
 
 #: What the cascade found.
