@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions import text as T
 from factloom.registry import query
-from factloom.sources.files import page_blocks
+from factloom.sources.files import assemble, page_blocks
 from factloom.sources.tables import load
 
 W_SQL = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\x0B]+')"
@@ -332,7 +332,44 @@ def c20_public_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", c.alias("public_name"))
 
 
-@query()
+def _blocks_sql(html: str) -> str:
+    """Blocks of pages by gaps and islands: a text tag opens a block, which lasts to its own end tag or to the next text tag."""
+    return rf"""s AS (SELECT page_id, regexp_replace({html}, '(?s)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<footer\b.*?</footer>|<!--.*?-->', '<x>', 'g') AS h FROM pages),
+    k AS (SELECT page_id, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS l FROM s)),
+    g AS (SELECT *, lower(regexp_extract(tok, '^<(p|li|figcaption|title|h[1-4])\b', 1)) AS opens, lower(regexp_extract(tok, '^</(p|li|figcaption|title|h[1-4])\b', 1)) AS ends FROM k),
+    b AS (SELECT *, count(*) FILTER (opens <> '') OVER w AS block, last_value(nullif(opens, '') IGNORE NULLS) OVER w AS tag FROM g WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+    c AS (SELECT *, count(*) FILTER (ends = tag) OVER (PARTITION BY page_id, block ORDER BY i) AS closed FROM b),
+    t AS (SELECT page_id, block, any_value(tag) AS tag, trim(regexp_replace(string_agg(tok, ' ' ORDER BY i), '\s+', ' ', 'g')) AS text FROM c WHERE block > 0 AND closed = 0 AND tok[1] <> '<' GROUP BY ALL),
+    u AS (SELECT page_id, block, tag, replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS text FROM t),
+    n AS (SELECT page_id, row_number() OVER w - 1 AS ordinal, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'title' THEN 'title' ELSE 'paragraph' END AS kind,
+          coalesce(last_value(CASE WHEN tag LIKE 'h%' THEN text END IGNORE NULLS) OVER w, '') AS section, text FROM u WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY block))"""
+
+
+@query(f"""WITH {_blocks_sql("coalesce(html, '')")} SELECT page_id, ordinal::INT AS ordinal, kind, section, text FROM n""")
 def a6_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every page, without scripts, styles, navigation and footers."""
     return page_blocks(load(spark, sf_dir, "pages"))
+
+
+#: What each page gets besides its html: a table of itself with an empty row, and its figure twice.
+_TABLE = "<table><tr><th>page</th><th>host</th></tr><tr><td>%s</td><td>%s</td></tr><tr><td></td><td>nan</td></tr></table>"
+_FIGURE = '<figure><img src="http://%s/i.png" alt="page %s"><figcaption>Figure %s</figcaption></figure>'
+_HOST = "^https?://([^/:?#]+)"
+
+
+@query(
+    f"""WITH {_blocks_sql("coalesce(html, '') || '<figcaption>Figure ' || page_id % 5 || '</figcaption><figcaption>Figure ' || page_id % 5 || '</figcaption>'")},
+    l AS (SELECT page_id, max_by(section, ordinal) AS section FROM n GROUP BY page_id), x AS (SELECT page_id, regexp_extract(coalesce(url, ''), '{_HOST}', 1) AS host, section FROM pages JOIN l USING (page_id)),
+    w AS (SELECT 1 AS rank, page_id, ordinal, kind, section, string_split(text, ' ') AS w FROM n),
+    a AS (SELECT rank, page_id, ordinal, s0, kind, section, array_to_string(w[s0 + 1 : s0 + 400], ' ') AS text FROM w, unnest(CASE WHEN len(w) <= 400 THEN [0] ELSE range(0, len(w), 350) END) AS z(s0)
+          UNION ALL SELECT 0, page_id, 0, 0, 'table_row', section, concat_ws(' | ', 'page: ' || page_id, CASE WHEN host <> '' THEN 'host: ' || host END) FROM x
+          UNION ALL SELECT 2, page_id, 0, 0, 'image', section, 'Image: url: http://' || host || '/i.png | alt: page ' || page_id || ' | caption: Figure ' || page_id % 5 FROM x)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY rank, ordinal, s0) - 1)::INT AS ordinal, kind, section, len(string_split(text, ' '))::INT AS token_count, sha256(text) AS text_hash FROM a"""
+)
+def c3_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every page with a table and a figure of its own: tables, then text, then images, each image once."""
+    host, page = F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1), F.col("page_id").cast("string")
+    figure = F.format_string(_FIGURE, host, page, (F.col("page_id") % 5).cast("string"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.format_string(_TABLE, page, host), figure, figure)
+    pages = load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+    return assemble(page_blocks(pages), ["page_id"]).drop("text")

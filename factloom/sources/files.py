@@ -16,7 +16,7 @@ from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
@@ -88,6 +88,8 @@ class _Html(HTMLParser):
         self.section, self.skipped, self.tag, self.held = "", 0, None, []
         self.rows: list[list[str]] | None = None
         self.cell: list[str] | None = None
+        self.figure: dict[int, str] | None = None  # its images: place among the blocks, and their text
+        self.caption = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in self.SKIP:
@@ -100,7 +102,12 @@ class _Html(HTMLParser):
             self.cell = []
         elif tag == "img":
             a = dict(attrs)
-            self.blocks.append(("image", self.section, f"Image: url: {a.get('src') or ''} | alt: {a.get('alt') or ''}"))
+            text = f"Image: url: {a.get('src') or ''} | alt: {a.get('alt') or ''}"
+            if self.figure is not None:
+                self.figure[len(self.blocks)] = text
+            self.blocks.append(("image", self.section, text + self.caption))
+        elif tag == "figure":
+            self.figure, self.caption = {}, ""
         elif tag in self.TEXT and not self.skipped:
             self.flush()
             self.tag = tag
@@ -111,6 +118,10 @@ class _Html(HTMLParser):
             if self.tag[0] == "h":
                 self.section = text
             self.blocks.append(("heading" if self.tag[0] == "h" else "title" if self.tag == "title" else "paragraph", self.section, text))
+            if self.tag == "figcaption" and self.figure is not None:
+                self.caption = f" | caption: {text}"
+                for place, image in self.figure.items():
+                    self.blocks[place] = ("image", self.blocks[place][1], image + self.caption)
         self.tag, self.held = None, []
 
     def handle_endtag(self, tag: str) -> None:
@@ -118,6 +129,10 @@ class _Html(HTMLParser):
             self.skipped = max(0, self.skipped - 1)
         elif tag == self.tag:
             self.flush()
+        elif tag == "figure":
+            if self.tag == "figcaption":
+                self.flush()
+            self.figure, self.caption = None, ""
         elif self.rows is not None and tag in ("td", "th") and self.cell is not None:
             if self.rows:
                 self.rows[-1].append(" ".join(" ".join(self.cell).split()))
@@ -287,3 +302,25 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "ordinal", "kind", "section", "text"])
 
     return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, ordinal int, kind string, section string, text string")
+
+
+def assemble(blocks: DataFrame, id_columns: list[str], fallback: DataFrame | None = None) -> DataFrame:
+    """blocks (ids, ordinal, kind, section, text) -> the chunks of each document in order: ids, ordinal, kind, section, token_count, text, text_hash.
+
+    Rows of tables come first, then what doesn't belong to tables, cut in windows of words, then images; each by its place.  Of images that are
+    alike in text and section the first stays.  Blank texts and blocks that couldn't be parsed are left out, and ordinals have no gaps.  A document
+    without chunks gets those of its fallback (ids, text), if there is one.
+    """
+    window = F.transform(T.window_spans(F.col("text")), lambda w: F.struct(w["char_start"].alias("char_start"), w["char_end"].alias("char_end")))
+    whole = F.array(F.struct(F.lit(0).alias("char_start"), F.length("text").alias("char_end")))
+    rank = F.when(F.col("kind") == "table_row", 0).when(F.col("kind") == "image", 2).otherwise(1)
+    seen = F.when(rank == 2, F.row_number().over(Window.partitionBy(*id_columns, "kind", "section", "text").orderBy("ordinal"))).otherwise(1)
+    good = blocks.where(~F.col("kind").isin("unsupported", "failed")).where(F.size(T.words(F.col("text"))) > 0).withColumn("seen", seen).where("seen = 1")
+    parts = F.posexplode(F.when(rank == 1, window).otherwise(whole))
+    cut = good.withColumn("rank", rank).select(*id_columns, "rank", F.col("ordinal").alias("place"), "kind", "section", "text", parts.alias("part", "w"))
+    if fallback is not None:
+        bare = fallback.where(F.size(T.words(F.col("text"))) > 0).join(good.select(*id_columns).distinct(), id_columns, "left_anti")
+        cut = cut.unionByName(bare.select(*id_columns, F.lit(1).alias("rank"), F.lit(0).alias("place"), F.lit("paragraph").alias("kind"), F.lit("").alias("section"), "text", F.posexplode(window).alias("part", "w")))
+    body = F.substring(F.col("text"), F.col("w.char_start") + 1, F.col("w.char_end") - F.col("w.char_start"))
+    number = F.row_number().over(Window.partitionBy(*id_columns).orderBy("rank", "place", "part")) - 1  # within one document
+    return cut.select(*id_columns, number.alias("ordinal"), "kind", "section", F.size(T.words(body)).alias("token_count"), body.alias("text"), F.sha2(body, 256).alias("text_hash"))

@@ -172,3 +172,26 @@ def test_ingestion_goes_on_where_it_stopped(spark, tmp_path):
     assert {(r["path"].rpartition("/")[2], r["status"]) for r in spark.read.json(f"{out}/audit").collect()} == {("a.txt", "parsed"), ("b.xyz", "unsupported"), ("c.csv", "parsed")}
     jobs.ingest(spark, folder, out + "2")
     assert spark.read.parquet(out + "2/documents").count() == 3
+
+
+def test_figures_have_their_caption():
+    html = b"<h1>H</h1><figure><img src='a' alt='b'><figcaption> the  caption </figcaption><img src='c'></figure><img src='d'><figure><img src='e'><figcaption>open</figure><p>x</p>"
+    images = [t for k, _, t in files.parse_html(html) if k == "image"]
+    assert images == ["Image: url: a | alt: b | caption: the caption", "Image: url: c | alt:  | caption: the caption", "Image: url: d | alt: ", "Image: url: e | alt:  | caption: open"]
+
+
+def test_assembly_of_chunks(spark):
+    long = " ".join(f"w{i}" for i in range(500))
+    blocks = [
+        (1, 0, "image", "S", "Image: url: a"), (1, 1, "paragraph", "S", long), (1, 2, "table_row", "S", "a: 1"), (1, 3, "image", "S", "Image: url: a"), (1, 4, "image", "T", "Image: url: a"),
+        (1, 5, "paragraph", "T", "  \n "), (1, 6, "heading", "T", "end"), (1, 7, "table_row", "T", "a: 2"), (2, 0, "failed", "", "broken"), (3, 0, "paragraph", None, None), (4, 0, "paragraph", "", "kept"),
+    ]
+    frame = spark.createDataFrame(blocks, "id int, ordinal int, kind string, section string, text string").repartition(3)
+    fallback = spark.createDataFrame([(2, "raw  text"), (3, " "), (4, "not needed"), (5, None)], "id int, text string")
+    rows = sorted((r["id"], r["ordinal"], r["kind"], r["section"], r["token_count"], r["text"]) for r in files.assemble(frame, ["id"], fallback).collect())
+    w = long.split()
+    assert rows == [
+        (1, 0, "table_row", "S", 2, "a: 1"), (1, 1, "table_row", "T", 2, "a: 2"), (1, 2, "paragraph", "S", 400, " ".join(w[:400])), (1, 3, "paragraph", "S", 150, " ".join(w[350:])), (1, 4, "heading", "T", 1, "end"),
+        (1, 5, "image", "S", 3, "Image: url: a"), (1, 6, "image", "T", 3, "Image: url: a"), (2, 0, "paragraph", "", 2, "raw  text"), (4, 0, "paragraph", "", 1, "kept"),
+    ]
+    assert files.assemble(frame.where("false"), ["id"], fallback.where("false")).collect() == []
