@@ -354,12 +354,12 @@ def a6_page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: What each page gets besides its html: a table of itself with an empty row, and its figure twice.
 _TABLE = "<table><tr><th>page</th><th>host</th></tr><tr><td>%s</td><td>%s</td></tr><tr><td></td><td>nan</td></tr></table>"
 _FIGURE = '<figure><img src="http://%s/i.png" alt="page %s"><figcaption>Figure %s</figcaption></figure>'
-_HOST = "^https?://([^/:?#]+)"
+_PAGE_HOST = "^https?://([^/:?#]+)"
 
 
 @query(
     f"""WITH {_blocks_sql("coalesce(html, '') || '<figcaption>Figure ' || page_id % 5 || '</figcaption><figcaption>Figure ' || page_id % 5 || '</figcaption>'")},
-    l AS (SELECT page_id, max_by(section, ordinal) AS section FROM n GROUP BY page_id), x AS (SELECT page_id, regexp_extract(coalesce(url, ''), '{_HOST}', 1) AS host, section FROM pages JOIN l USING (page_id)),
+    l AS (SELECT page_id, max_by(section, ordinal) AS section FROM n GROUP BY page_id), x AS (SELECT page_id, regexp_extract(coalesce(url, ''), '{_PAGE_HOST}', 1) AS host, section FROM pages JOIN l USING (page_id)),
     w AS (SELECT 1 AS rank, page_id, ordinal, kind, section, string_split(text, ' ') AS w FROM n),
     a AS (SELECT rank, page_id, ordinal, s0, kind, section, array_to_string(w[s0 + 1 : s0 + 400], ' ') AS text FROM w, unnest(CASE WHEN len(w) <= 400 THEN [0] ELSE range(0, len(w), 350) END) AS z(s0)
           UNION ALL SELECT 0, page_id, 0, 0, 'table_row', section, concat_ws(' | ', 'page: ' || page_id, CASE WHEN host <> '' THEN 'host: ' || host END) FROM x
@@ -368,7 +368,7 @@ _HOST = "^https?://([^/:?#]+)"
 )
 def c3_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every page with a table and a figure of its own: tables, then text, then images, each image once."""
-    host, page = F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1), F.col("page_id").cast("string")
+    host, page = F.regexp_extract(F.coalesce("url", F.lit("")), _PAGE_HOST, 1), F.col("page_id").cast("string")
     figure = F.format_string(_FIGURE, host, page, (F.col("page_id") % 5).cast("string"))
     html = F.concat(F.coalesce("html", F.lit("")), F.format_string(_TABLE, page, host), figure, figure)
     pages = load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
