@@ -12,6 +12,7 @@ import factloom.operators.graph
 import factloom.operators.guards
 import factloom.operators.index
 import factloom.operators.profile
+import factloom.operators.relations
 import factloom.operators.reports
 import factloom.operators.retrieval
 import factloom.operators.vocabulary
