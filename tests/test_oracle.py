@@ -15,6 +15,7 @@ import factloom.operators.profile
 import factloom.operators.relations
 import factloom.operators.reports
 import factloom.operators.retrieval
+import factloom.operators.rows
 import factloom.operators.vocabulary
 import factloom.plans.ask
 import factloom.plans.cascade
