@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.text import canonical, compact
+from factloom.functions.text import canonical, compact, let
 
 # Canonical names of materials, regimes, properties and equipment, and their spellings.
 NAMES = {
@@ -154,8 +154,9 @@ def all_names(domain: str) -> Column:
 
 def canonical_name(x: Column, domain: str) -> Column:
     """The name of the longest spelling that a short text holds; else the trimmed text."""
-    plain = canonical(x)
-    return F.coalesce(F.get(_found(plain, compact(x), spaced(plain), domain), F.lit(0))["name"], F.trim(F.coalesce(x, F.lit(""))))
+    forms = F.struct(canonical(x).alias("plain"), compact(x).alias("packed"), spaced(canonical(x)).alias("spaced"))
+    found = let(forms, lambda f: F.get(_found(f["plain"], f["packed"], f["spaced"], domain), F.lit(0))["name"])
+    return F.coalesce(found, F.trim(F.coalesce(x, F.lit(""))))
 
 
 def geographies(x: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import units as U
 from factloom.functions import vocab as V
-from factloom.functions.text import compact
+from factloom.functions.text import compact, let
 from factloom.registry import query
 from factloom.sources.domain import CHUNKS_SQL, KEY, MATERIALS, REGIMES, chunks
 from factloom.sources.tables import load
@@ -298,7 +298,8 @@ def row_cells(text: Column) -> Column:
     key = lambda c: F.regexp_replace(F.translate(F.lower(F.trim(F.split_part(c, F.lit(":"), F.lit(1)))), "ё", "е"), r"\s+", " ")
     cells = F.transform(F.split(text, r" \| "), lambda c: F.struct(key(c).alias("k"), F.when(F.instr(c, ":") > 0, F.trim(F.substring(c, F.instr(c, ":") + 1, F.length(c)))).otherwise("").alias("v")))
     full = F.filter(cells, lambda c: (c["v"] != "") & (c["k"] != ""))
-    return F.filter(full, lambda c, i: ~F.exists(F.slice(full, i + 2, F.greatest(F.size(full) - i - 1, F.lit(0))), lambda d: d["k"] == c["k"]))
+    later = lambda x, i: F.slice(x, i + 2, F.greatest(F.size(x) - i - 1, F.lit(0)))
+    return let(full, lambda x: F.filter(x, lambda c, i: ~F.exists(later(x, i), lambda d: d["k"] == c["k"])))
 
 
 CELLS_SQL = rf"""{ROW_SQL}, x AS (SELECT {_ID}, text, list_filter(list_transform(string_split(text, ' | '), lambda c: struct_pack(k := regexp_replace(replace(lower(trim(split_part(c, ':', 1))), 'ё', 'е'), '\s+', ' ', 'g'),
