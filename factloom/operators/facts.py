@@ -333,47 +333,11 @@ def h10_fact_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_rows(spark, sf_dir).select("seq", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "seq").limit(100)
 
 
-@query(
-    f"""WITH {FACTS_SQL}, s AS (SELECT seq, CASE WHEN material = 'Brand#11' THEN 12 ELSE 0 END + CASE WHEN regime = 'R' THEN 12 ELSE 0 END + CASE WHEN property = (SELECT min(p_type) FROM part) THEN 12 ELSE 0 END
-    + 10 + CASE WHEN effect = 'increase' THEN 8 ELSE 0 END - CASE WHEN value < 3 THEN 16 ELSE 0 END AS score FROM facts), t AS (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS place FROM s)
-    SELECT seq, score::BIGINT AS score, CASE WHEN place <= 5 THEN 'primary' ELSE 'supporting' END AS tier FROM t WHERE place <= 25"""
-)
-def h12_answer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five primary and twenty supporting facts."""
-    wanted = load(spark, sf_dir, "part").agg(F.min("p_type").alias("t"))
-    on = lambda c, n: F.when(c, n).otherwise(0)
-    score = on(F.col("material") == "Brand#11", 12) + on(F.col("regime") == "R", 12) + on(F.col("property") == F.col("t"), 12) + 10 + on(F.col("effect") == "increase", 8) - on(F.col("value") < 3, 16)
-    best = fact_rows(spark, sf_dir).crossJoin(F.broadcast(wanted)).select("seq", score.cast("bigint").alias("score")).orderBy(F.desc("score"), "seq").limit(25)
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "seq"))
-    return best.select("seq", "score", F.when(place <= 5, "primary").otherwise("supporting").alias("tier"))
-
-
-@query(
-    f"""WITH {FACTS_SQL}, f AS (SELECT property, count(*) AS n, count(*) FILTER (value > 40) AS rejected FROM facts GROUP BY 1)
-    SELECT property, n AS candidates, n - rejected AS accepted, round((n - rejected) / n, 6) AS acceptance_rate FROM f"""
-)
-def g14_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fact_rows(spark, sf_dir).groupBy("property").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("value") <= 40).alias("accepted"))
-    return rows.withColumn("acceptance_rate", F.round(F.col("accepted") / F.col("candidates"), 6))
-
-
 @query(f"WITH {FACTS_SQL}, c AS (SELECT laboratory, count(*) AS n FROM facts GROUP BY 1) SELECT laboratory, n FROM c ORDER BY n DESC, laboratory LIMIT 10")
 def h16_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_rows(spark, sf_dir).groupBy("laboratory").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "laboratory").limit(10)
 
 
-@query(
-    f"""WITH {FACTS_SQL} SELECT seq, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.15 + 0.25 + 0.20 + CASE WHEN property <> '' THEN 0.20 ELSE 0 END + CASE WHEN value > 10 AND unit <> '' THEN 0.15 ELSE 0 END
-    + CASE WHEN laboratory < 'M' THEN 0.10 ELSE 0 END + CASE WHEN effect <> 'unknown' THEN 0.10 ELSE 0 END - CASE WHEN value < 2 THEN 0.20 ELSE 0 END)), 6)::DOUBLE AS confidence FROM facts"""
-)
-def e14_experiment_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points for what an experiment states, less for ambiguity (here: values below 2), between 0 and 1."""
-    on = lambda c, n: F.when(c, n).otherwise(0.0)
-    score = F.lit(0.60) + on(F.col("property") != "", 0.20) + on((F.col("value") > 10) & (F.col("unit") != ""), 0.15)
-    score = score + on(F.col("laboratory") < "M", 0.10) + on(F.col("effect") != "unknown", 0.10) - on(F.col("value") < 2, 0.20)
-    return fact_rows(spark, sf_dir).select("seq", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6).alias("confidence"))
-
-
 @query(
     f"""WITH {FACTS_SQL}, r AS (SELECT property, CASE WHEN tax < 0.02 THEN 'low_confidence' WHEN value > 45 THEN 'unit_out_of_range' WHEN effect = 'unknown' AND unit = 'ksi' THEN 'missing_marker' END AS reason FROM facts)
     SELECT property, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason, property LIMIT 10"""

@@ -148,8 +148,8 @@ KINDS = [
 TARGETS = {"exact_fact": "MechanicalPropertyFact", "gap_analysis": "DataGapFact", "equipment_usage": "TechnologySolutionFact", "team_activity": "ExpertiseFact", "entity_overview": "ExperimentResultFact", "decision_history": "PublicationClaimFact", "unknown": ""}
 
 
-def plan(texts: DataFrame) -> DataFrame:
-    """(order_id, line, with_forms()) -> names asked for, geographies, number of numeric constraints, kind, whether an exact fact is asked, kind of facts."""
+def plan(texts: DataFrame, *more: str) -> DataFrame:
+    """(order_id, line, with_forms()) -> more columns (plain), names asked for, geographies, number of numeric constraints, kind, whether an exact fact is asked, kind of facts."""
     named = with_matches(texts).select(*KEY, "plain", *(asked_names(d).alias(d) for d in _DOMAINS), V.geographies(F.col("plain")).alias("geographies"), F.size(numeric_asks(F.col("plain"))).alias("n_numeric"))
     one = (F.size("material") == 1) & (F.size("regime") == 1) & (F.size("property") == 1)
     plain = F.col("plain")
@@ -161,7 +161,7 @@ def plan(texts: DataFrame) -> DataFrame:
         kind = kind.when(conditions[name] if name in conditions else _any(plain, marks), name)
     rows = named.withColumn("kind", kind.otherwise("unknown")).withColumn("exact", exact)
     targets = F.create_map(*(F.lit(v) for kv in TARGETS.items() for v in kv))
-    return rows.select(*KEY, *_DOMAINS, "geographies", "n_numeric", "kind", (F.col("exact") & (F.col("kind") == "exact_fact")).alias("exact"), F.element_at(targets, F.col("kind")).alias("target"))
+    return rows.select(*KEY, *more, *_DOMAINS, "geographies", "n_numeric", "kind", (F.col("exact") & (F.col("kind") == "exact_fact")).alias("exact"), F.element_at(targets, F.col("kind")).alias("target"))
 
 
 def _any(text: Column, marks: list[str]) -> Column:

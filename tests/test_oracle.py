@@ -12,6 +12,7 @@ import factloom.operators.graph
 import factloom.operators.guards
 import factloom.operators.index
 import factloom.operators.profile
+import factloom.operators.quality
 import factloom.operators.relations
 import factloom.operators.reports
 import factloom.operators.retrieval
@@ -21,6 +22,7 @@ import factloom.plans.ask
 import factloom.plans.cascade
 import factloom.plans.planner
 import factloom.plans.questions
+import factloom.plans.routing
 import factloom.sources.snapshots  # noqa: F401
 from factloom.registry import ORACLE_SQL, QUERIES
 
