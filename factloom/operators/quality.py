@@ -40,7 +40,9 @@ def experiments(texts: DataFrame) -> DataFrame:
     measurement is its own, unless the experiment was ruled out before its measurements; an accepted measurement of an experiment that isn't has the experiment's.
     """
     plain = F.col("plain")
-    rows = texts.select(*KEY, "text", "plain", *(V.all_names(d).alias(d) for d in ("material", "regime", "equipment")), measurements(plain).alias("m"))
+    names = {d: V.all_names(d).alias(d) for d in ("material", "regime", "equipment")}
+    # One row out of one: what is looked up in a text is computed before the filter and not once more after it.
+    rows = texts.select(*KEY, "text", "plain", F.inline_outer(F.array(F.struct(*names.values(), measurements(plain).alias("m")))))
     rows = rows.where((F.size("material") > 0) | (F.size("m") > 0)).withColumn("found", F.transform("m", lambda m: F.struct(m.alias("m"), measurement_reason(m, plain).alias("own"))))
     ids = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(EXPERIMENT), F.lit(1)), lambda x: F.ltrim(x, F.lit(" ("))))
     has = {
@@ -147,15 +149,15 @@ def fact_score(has: dict[str, Column]) -> Column:
 
 
 def answer_tiers(facts: DataFrame, by: str, ties: list[Column]) -> DataFrame:
-    """facts (by, score, exact: boolean, ...) with tier and place: of each `by` the five best exact facts are primary and the next twenty supporting (H12).
+    """facts (by, score, exact: boolean, ...) with tier and place, which replace columns of these names: of each `by` (null is one too) the five best exact facts are primary and the next twenty supporting (H12).
 
-    Each partition keeps 25 rows of a group before the shuffle, so a hot group costs no more than another.
+    Each partition keeps 25 rows of a group before the shuffle, so a hot group costs no more than another.  A null `exact` is none, a null score comes last.
     """
     best = [F.desc("score"), *ties]
-    near = facts.withColumn("n", F.row_number().over(Window.partitionBy(by, "exact").orderBy(*best))).where(F.col("n") <= PRIMARY + SUPPORTING)
-    tiered = near.withColumn("tier", F.when(F.col("exact") & (F.col("n") <= PRIMARY), "primary").otherwise("supporting"))
+    near = facts.withColumn("_among", F.row_number().over(Window.partitionBy(by, "exact").orderBy(*best))).where(F.col("_among") <= PRIMARY + SUPPORTING)
+    tiered = near.withColumn("tier", F.when(F.col("exact") & (F.col("_among") <= PRIMARY), "primary").otherwise("supporting"))
     placed = tiered.withColumn("place", F.row_number().over(Window.partitionBy(by, "tier").orderBy(*best)))
-    return placed.where((F.col("tier") == "primary") | (F.col("place") <= SUPPORTING)).drop("n")
+    return placed.where((F.col("tier") == "primary") | (F.col("place") <= SUPPORTING)).drop("_among")
 
 
 _STATED_SQL = f"regexp_matches(text, '{EXPERIMENT}')"
@@ -175,13 +177,14 @@ def h12_answer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, stated = F.lower("text"), F.col("text").rlike(EXPERIMENT)
     rows = experiments(prose(spark, sf_dir)).select(
         *KEY,
-        F.explode("material").alias("material"),
+        F.explode_outer("material").alias("material"),
         F.coalesce(F.get("regime", F.lit(0)), F.lit("")).alias("regime"),
         (~stated).alias("made"),
         any_of(low, TABLE_SIGNS).alias("from_table"),
         F.filter("found", lambda m: m["reason"].isNull()).alias("found"),
     )
-    facts = rows.select("*", F.explode("found").alias("m")).select(*KEY, "material", "regime", "made", "from_table", "m.property", "m.value", "m.unit", "m.effect").distinct()
+    # Outer explodes: those of the other kind are filtered by the size of their arrays first, for which all of a text's rules would be tried twice.
+    facts = rows.select("*", F.explode_outer("found").alias("m")).where("material IS NOT NULL AND m IS NOT NULL").select(*KEY, "material", "regime", "made", "from_table", "m.property", "m.value", "m.unit", "m.effect").distinct()
     full = lambda c: F.col(c) != ""
     moved = F.col("effect") != "unknown"
     has = {"material": full("material"), "regime": full("regime"), "property": full("property"), "value": F.col("value").isNotNull(), "unit": full("unit"), "effect": moved, "evidence": F.lit(True), "table": F.col("from_table"), "made_id": F.col("made"), "no_effect": ~moved, "no_regime": ~full("regime")}
