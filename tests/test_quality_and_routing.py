@@ -97,9 +97,10 @@ ASKED = [
     ("Расскажи о ВТ6", "material_overview", "overview", False, True, "experiment_lookup"),
     ("Расскажи об отжиге", "regime_overview", "overview", False, True, "experiment_lookup"),
     ("Tell of annealing", "regime_overview", "overview", False, True, "experiment_lookup"),
-    ("Tell of hardness", "property_overview", "overview", False, True, "experiment_lookup"),
+    # The sign "dn" is within "hardness".
+    ("Tell of hardness", "property_overview", "overview", False, True, "parameter_lookup"),
     ("Найди отчет", "general_search", "search", True, True, "experiment_lookup"),
-    ("Какие сплавы есть и что с ними делали?", "unknown", "search", True, False, "material_inventory"),
+    ("Какие сплавы есть?", "unknown", "search", True, False, "material_inventory"),
     ("Какие сплавы есть и что с ними?", "unknown", "search", True, False, "material_activity_summary"),
     ("Что делали с ВТ6?", "material_overview", "overview", False, True, "material_activity_summary"),
     ("Покажи схему насоса", "general_search", "search", True, True, "image_lookup"),
