@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,15 +52,28 @@ LEAST_BYTES = 2 << 20
 
 #: Where a text can't simply be cut at every space and line feed: other white space, and white space beside white space or an end.
 _HARD = "[\\x00\\x09\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+#: A letter or digit before punctuation: where the letters or digits end, so does what the pre-tokeniser takes.
+_STEM_END = "([A-Za-z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}])([!-/:-@\\[-`{-~])"
+#: Stems that are encoded as one text.
+JOINED = 5000
+
+
+def _runs(flat: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[begin[k]:begin[k + 1]] for k of at, one after another, and where each begins, and the end."""
+    start, length = begin[at], begin[at + 1] - begin[at]
+    ends = np.concatenate([[0], np.cumsum(length)])
+    return flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)], ends
 
 
 class Encoder:
-    """The ids of whole texts, with the ids of each distinct piece of a batch computed once, and of frequent ones kept.
+    """The ids of whole texts, with the ids of each distinct stem of a batch computed once, and of frequent ones kept.
 
     The byte-level pre-tokeniser always breaks before a single space that stands between two characters
     that aren't white space (the space opens the next token), and around such a line feed; so encoding the
-    pieces one by one gives the ids of the whole text.  Other white space doesn't divide pieces.  A tokenizer with
-    another pre-tokeniser, or with a normaliser, encodes whole texts.
+    pieces one by one gives the ids of the whole text.  It also breaks where letters or digits are followed by
+    punctuation, so a piece is one or more stems, and a word is encoded once whatever stands after it; a piece that
+    holds an added token is one stem.  Other white space doesn't divide pieces.  A tokenizer with another pre-tokeniser,
+    with a normaliser or with added tokens that hold or take white space, encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,10 +87,14 @@ class Encoder:
         self.octets = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # of each id's text: a byte-level token has a character for each byte
         for token, k in self.tokenizer.get_vocab().items():
             self.octets[k] = len(token)
-        self.of: dict[str, int] = {}
+        added = self.tokenizer.get_added_tokens_decoder()  # found in a text before it is divided otherwise
+        for k, token in added.items():
+            self.octets[k] = len(token.content.encode())
+        self.divides = self.divides and not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in added.values())
+        self.added = "|".join(re.escape(t.content) for t in added.values()) or r"\z."
+        self.kept = pa.array([], pa.string())
         self.chars = 0
-        self.extra: dict[str, int] = {}  # of the batch at hand
-        self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.begin = np.empty(0, np.uint32), np.zeros(1, np.int64)  # the ids of what is kept
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -91,86 +109,77 @@ class Encoder:
         out.append(held)
         return out
 
-    def learn(self, pieces: list[str], alone: bool) -> None:
-        """Add the ids of new pieces.  Unless each is to be encoded alone, those that a space opens are encoded as one text and cut at their ends."""
-        plain = [] if alone else [p for p in pieces if p[0] == " "]
-        others = pieces if alone else [p for p in pieces if p[0] != " "]
-        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
-        sizes = [*map(len, found)]
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            owner = np.searchsorted(np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in part]), np.cumsum(self.octets[ids]))
-            found.append(ids)
-            sizes += np.bincount(owner, minlength=len(part)).tolist()
-        self.extra.update(zip(others + plain, range(len(self.begin) - 1, len(self.begin) - 1 + len(pieces)), strict=True))
-        self.flat = np.concatenate([self.flat, *found])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.array(sizes, np.int64))])
-
-    def keep(self, pieces: list[str], times: np.ndarray) -> None:
-        """Keep the ids of this batch's new pieces, the most frequent first, while there is room; drop the others."""
-        wanted = []
-        if len(self.of) < CACHE_PIECES and self.chars < CACHE_CHARS:
-            for k in np.argsort(-times, kind="stable").tolist():
-                if len(self.of) + len(wanted) == CACHE_PIECES or self.chars >= CACHE_CHARS:
-                    break
-                if pieces[k] in self.extra:
-                    wanted.append(pieces[k])
-                    self.chars += len(pieces[k])
-        at = np.array([self.extra[p] for p in wanted], np.int64)
-        ids = self.gather(at, np.arange(len(at) + 1))
-        n = len(self.of)
-        self.flat = np.concatenate([self.flat[: self.begin[n]], *ids])
-        self.begin = np.concatenate([self.begin[: n + 1], self.begin[n] + np.cumsum(np.array([*map(len, ids)], np.int64))])
-        self.of.update(zip(wanted, range(n, n + len(wanted)), strict=True))
-        self.extra = {}
-
-    def places(self, pieces: list[str], alone: bool) -> np.ndarray:
-        """The place of each piece's ids; new ones are learnt."""
-        at = list(map(self.of.get, pieces))
-        if None in at:
-            gaps = [i for i, k in enumerate(at) if k is None]
-            new = dict.fromkeys(pieces[i] for i in gaps)
-            if new := [p for p in new if p not in self.extra]:
-                self.learn(new, alone)
-            for i in gaps:
-                at[i] = self.extra[pieces[i]]
-        return np.array(at, np.int64)
-
-    def gather(self, at: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-        """The ids of the pieces at[cuts[i]:cuts[i + 1]], for each i."""
-        begin, length = self.begin[at], self.begin[at + 1] - self.begin[at]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], length)]
-        edges = ends[cuts]
-        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    def learn(self, stems: pa.Array, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the stems one after another, number of each).  Unless each is to be encoded alone, those that a space opens are encoded as joined texts and cut at their ends."""
+        joins = np.zeros(len(stems), bool) if alone else np.asarray(pc.starts_with(stems, " "))
+        others = self.tokenizer.encode_batch_fast(stems.filter(pa.array(~joins)).to_pylist(), add_special_tokens=False)
+        plain = stems.filter(pa.array(joins))
+        edges = np.append(np.arange(0, len(plain), JOINED), len(plain))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), plain), "").to_pylist()
+        joined = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.concatenate([np.empty(0, np.uint32), *joined])
+        owner = np.searchsorted(np.cumsum(pc.binary_length(plain).to_numpy(), dtype=np.int64), np.cumsum(self.octets[flat]))
+        sizes = np.concatenate([np.bincount(owner, minlength=len(plain)), np.array([len(x.ids) for x in others], np.int64)])
+        flat = np.concatenate([flat, *(np.array(x.ids, np.uint32) for x in others)])
+        at = np.empty(len(stems), np.int64)
+        at[np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])] = np.arange(len(stems))
+        ids, begin = _runs(flat, np.concatenate([[0], np.cumsum(sizes)]), at)
+        return ids, np.diff(begin)
+
+    def ids_of(self, stems: pa.Array, times: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of distinct stems one after another, where each begins, and the end).  Of new ones the most frequent are kept while there is room."""
+        known = pc.index_in(stems, value_set=self.kept)
+        fresh = np.asarray(known.is_null())
+        at = pc.fill_null(known, 0).to_numpy().astype(np.int64)
+        flat, begin = self.flat, self.begin
+        if fresh.any():
+            new = stems.filter(pa.array(fresh))
+            ids, sizes = self.learn(new, alone)
+            at[fresh] = len(self.kept) + np.arange(len(new))
+            flat, begin = np.concatenate([flat, ids]), np.concatenate([begin, begin[-1] + np.cumsum(sizes)])
+            if not alone and len(self.kept) < CACHE_PIECES and self.chars < CACHE_CHARS:
+                wanted = np.argsort(-times[fresh], kind="stable")[: CACHE_PIECES - len(self.kept)]
+                size = pc.utf8_length(new).to_numpy()[wanted]
+                wanted = wanted[self.chars + np.cumsum(size) - size < CACHE_CHARS]
+                more, ends = _runs(flat, begin, len(self.kept) + wanted)
+                self.flat, self.begin = np.concatenate([self.flat, more]), np.concatenate([self.begin, self.begin[-1] + ends[1:]])
+                self.kept = pa.concat_arrays([self.kept, new.take(pa.array(wanted))])
+                self.chars += int(size[: len(wanted)].sum())
+        return _runs(flat, begin, at)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         if not self.divides:
             return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        hard = pc.or_(pc.match_substring_regex(texts, _HARD), pc.equal(texts, ""))
+        hard = np.asarray(pc.or_(pc.match_substring_regex(texts, _HARD), pc.equal(texts, "")))
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        easy = texts.filter(pc.invert(hard))
-        pieces: list[str] = []
-        times = np.empty(0, np.int64)
-        if len(easy):
+        if not hard.all():
+            easy = texts.filter(pa.array(~hard))
             marked = pc.replace_substring(pc.replace_substring(easy, "\n", "\0\n\0"), " ", "\0 ")
             split = pc.split_pattern(marked, "\0")
-            codes = split.flatten().dictionary_encode()
-            cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
-            pieces, which = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-            times = np.bincount(which, minlength=len(pieces))
-            parts = self.gather(self.places(pieces, False)[which], cuts)
-            for k, ids in zip(np.flatnonzero(~np.asarray(hard)), parts, strict=True):
-                out[k] = ids
-        for k in np.flatnonzero(np.asarray(hard)):
-            if text := texts[k].as_py():
-                at = self.places(self.pieces(text), True)
-                out[k] = self.gather(at, np.array([0, len(at)]))[0]
-        self.keep(pieces, times)
+            pieces = split.flatten().dictionary_encode()
+            which = pieces.indices.to_numpy()
+            whole = pc.match_substring_regex(pieces.dictionary, self.added)
+            parts = pc.split_pattern(pc.if_else(whole, pieces.dictionary, pc.replace_substring_regex(pieces.dictionary, _STEM_END, "\\1\0\\2")), "\0")
+            stems = parts.flatten().dictionary_encode()
+            of_piece, cuts = stems.indices.to_numpy(), parts.offsets.to_numpy()
+            times = np.bincount(of_piece, np.repeat(np.bincount(which, minlength=len(parts)), np.diff(cuts)), len(stems.dictionary))
+            ids, ends = _runs(*self.ids_of(stems.dictionary, times, False), of_piece)
+            ids, ends = _runs(ids, ends[cuts], which)
+            self.deal(out, np.flatnonzero(~hard), ids, ends[split.offsets.to_numpy()])
+        if hard.any():
+            split = [self.pieces(text) if text else [] for text in texts.filter(pa.array(hard)).to_pylist()]
+            stems = pa.array([piece for pieces in split for piece in pieces], pa.string()).dictionary_encode()
+            ids, ends = _runs(*self.ids_of(stems.dictionary, np.empty(0), True), stems.indices.to_numpy())
+            self.deal(out, np.flatnonzero(hard), ids, ends[np.cumsum([0, *map(len, split)])])
         return out
 
+    @staticmethod
+    def deal(out: list[np.ndarray], which: np.ndarray, ids: np.ndarray, edges: np.ndarray) -> None:
+        """Put the ids between edges to the places of their texts."""
+        for k, a, b in zip(which.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            out[k] = ids[a:b]
+
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of a block, empty where all bits are zero."""

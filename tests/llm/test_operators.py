@@ -98,6 +98,37 @@ def test_planes(request, which):
     assert Counter(rows_of(planes.token_table(frame, queries.tokenizer_path(), 2), "doc_id", "start", "n_tokens", "ids_crc32")) == want
 
 
+def test_encoder_equals_whole_texts(monkeypatch):
+    """Also with stems of earlier batches kept, and with room for a few of them."""
+    rng = np.random.default_rng(4)
+    parts = [" ", " ", " ", "\n", "  ", "\t", "\0", "\u3000", "'", "'s", "don't", "it's.'s", ",", ".", "...", "(", "x", "word", "Ñandú", "ÿ", "ž9", "日本", "e\u0301", "\u02b0", "7", "1,000.5", "a,b;c", "<|endoftext|>", "_", "×", "÷"]
+    batches = [pa.array(["".join(rng.choice(parts, int(rng.integers(0, 30)))) for _ in range(400)] + [None, ""]) for _ in range(4)]
+    for room in (planes.CACHE_PIECES, 7):
+        monkeypatch.setattr(planes, "CACHE_PIECES", room)
+        encoder = planes.Encoder(queries.tokenizer_path())
+        for texts in batches:
+            want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+            assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert 0 < len(encoder.kept) <= room and len(encoder.begin) == len(encoder.kept) + 1
+
+
+def test_a_word_is_encoded_once_whatever_stands_after_it():
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.chars = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.chars += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    encoder = planes.Encoder(queries.tokenizer_path())
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    words = [f"stem{chr(97 + i % 26)}{i}" for i in range(200)]
+    for end in ("", ",", ".", ";", ")", "?!"):
+        encoder.encode(pa.array(["x " + " ".join(w + end for w in words) + " x"]))
+    assert counting.chars < 1.2 * sum(len(w) + 1 for w in words)
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_plane_files_hold_the_ids(spark, odd, kind):
     path = new_path(spark, "test")
