@@ -69,6 +69,28 @@ def _unpack(blob: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with each text compressed, as texts travel: Spark's own blocks of them are half as large again."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = [squeeze(x.as_buffer()) if x.is_valid else None for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], batch.schema.names)
+
+
+def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with the texts of their second column as they were, about CHUNK of text at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        upto = np.cumsum([zstandard.frame_content_size(x.as_buffer()) if x.is_valid else 0 for x in batch.column(1)])
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK, "right")))
+            part = batch.slice(i, j - i)
+            texts = pa.array([expand(x.as_buffer()) if x.is_valid else None for x in part.column(1)], pa.binary()).cast(pa.string(), safe=False)
+            yield pa.RecordBatch.from_arrays([part.column(0), texts, *part.columns[2:]], part.schema.names)
+            i = j
+
+
 def _by_slot(docs: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
     """Rows (slot, packed positions): those of 1 << SLOT neighbouring doc_ids together."""
     slots = docs >> SLOT
@@ -238,7 +260,7 @@ def _collected(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, starts of windows that also start earlier, as 32-bit integers), and the (doc_id, text, ...) that can have any."""
+    """(doc_id, starts of windows that also start earlier, as 32-bit integers), and the (doc_id, compressed text, ...) that can have any."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     levels = next(k for k in itertools.count(1) if FANOUT**k >= buckets)
@@ -260,11 +282,12 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         yield from sender.send()
 
     sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(anchors, _ENTRY)
-    candidates = stage(docs.select("doc_id", "text").join(_collected(_repeated(sent, by_anchor)), "doc_id"), "candidates")
+    squeezed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_squeezed, "doc_id bigint, text binary")
+    candidates = stage(squeezed.join(_collected(_repeated(sent, by_anchor)), "doc_id"), "candidates")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sender = _Sender(by_window, 1)
-        for batch in batches:
+        for batch in _expanded(batches):
             ids, starts = batch.column(0).to_numpy(), batch.column(2)
             for i, j, words in hashing.chunks(batch.column(1)):
                 n = len(words.hashes)
@@ -331,7 +354,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.string()), pa.array(n, pa.int64()), pa.array(left, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], names)
 
     repeats, candidates = repeated_windows(docs)
-    changed = candidates.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(digest, kind).dropDuplicates(["doc_id", "own_sha256"])
+    changed = candidates.select("doc_id", "text").join(repeats, "doc_id").mapInArrow(lambda batches: digest(_expanded(batches)), kind).dropDuplicates(["doc_id", "own_sha256"])
     changed = changed.select(F.col("doc_id").alias("changed_id"), F.col("own_sha256").alias("changed_sha"), *(F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_sha256", "kept_text")))
     whole = docs.select("doc_id", "text").mapInArrow(digest, kind)
     columns = ["doc_id", "n_words", *(F.coalesce(f"new_{c}", c).alias(c) for c in ("n_removed", "kept_sha256", *(["kept_text"] if with_text else [])))]

@@ -693,6 +693,27 @@ def test_repeats(request, which, chunk, fanout, monkeypatch):
     assert Counter(rows_of(substring.remove_repeats(frame), "doc_id", "n_words", "n_removed", "kept_sha256")) == brute_repeats(frame)
 
 
+def test_texts_travel_compressed(docs, monkeypatch):
+    """What is joined with positions holds every text of its documents, in half its bytes."""
+    text = dict(texts(docs))
+    _, candidates = substring.repeated_windows(docs)
+    batch = candidates.select("doc_id", "text").toArrow().combine_chunks().to_batches()[0]
+    monkeypatch.setattr(substring, "CHUNK", 10_000)
+    parts = list(substring._expanded([batch]))
+    got = [(d, t) for part in parts for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+    assert len(parts) > 5 and [d for d, _ in got] == batch.column(0).to_pylist() and all(text[d] == t for d, t in got)
+    assert sum(map(len, batch.column(1).to_pylist())) < 0.55 * sum(len(t.encode()) for _, t in got)
+
+
+def test_compressed_texts_are_read_a_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK", 1000)
+    data = ["a" * 300, None, "", "é" * 200, "b" * 5000, "", None, "c"]
+    sent = list(substring._squeezed([pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(data)], ["doc_id", "text"])]))
+    back = list(substring._expanded(sent))
+    assert [t for part in back for t in part.column(1).to_pylist()] == data and [part.num_rows for part in back] == [4, 1, 3]
+    assert sum(len(x or b"") for x in sent[0].column(1).to_pylist()) < 200
+
+
 def test_difference_cover():
     assert all(any((i + s) % substring.PERIOD in substring.COVER and (j + s) % substring.PERIOD in substring.COVER for s in range(substring.PERIOD)) for i in range(13) for j in range(13))
 
