@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import hashing
-from factloom.llm.common import scratch, stage
+from factloom.llm.common import arrow_batches, released, scratch, stage
 from factloom.llm.components import connected_components
 
 SHINGLE = 5
@@ -104,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "set_a", "set_b", "bins"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bins binary")
+    return docs.select("doc_id", "text").mapInArrow(released(sign), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bins binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
@@ -137,7 +137,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     # Both sides grow with the corpus: the plan is the same at every size.
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a bigint, b bigint, linked boolean")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(released(compare), "a bigint, b bigint, linked boolean")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -206,7 +206,7 @@ def searched(members: DataFrame, blocks: Column, columns: list[str], within: Cal
         if held:
             yield _edges(pair(pa.Table.from_batches(held)))
 
-    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(search, "src bigint, dst bigint")
+    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(released(search), "src bigint, dst bigint")
 
 
 def family_links(members: DataFrame, threshold: int) -> DataFrame:
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     latter's component is null and they are kept.  Rows that share a doc_id are one document, with the text of
     any of them.  Other columns are ignored.  No rows give no rows.
     """
-    with scratch(docs.sparkSession) as keep:
+    with scratch(docs.sparkSession) as keep, arrow_batches(docs.sparkSession):
         signed = stage(signatures(docs), "signed")
         key = ["set_a", "set_b", "n_shingles"]
         named = F.col("doc_id").isNotNull()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.llm.common import new_path, stage
+from factloom.llm.common import BATCH_BYTES, arrow_batches, new_path, released, stage
 
 MAGIC = b"FLPLANE1"
 FOOTER = struct.Struct("<QQQ")  # 1: byte planes, 8: bit planes; bytes of the index; bytes of the stripe without MAGIC
@@ -42,8 +42,6 @@ BLOCK_IDS = 1 << 16
 STRIPE_IDS = 1 << 20
 #: Pieces of text whose ids a task keeps, and their characters, at most.
 CACHE_PIECES, CACHE_CHARS = 300_000, 4 << 20
-#: Text that is encoded at once.
-BATCH_BYTES = 6 << 20
 #: Text of a file, on average: at least the first while there are FILES files or fewer, at most the second.
 FILE_BYTES, FILES = (24 << 20, 128 << 20), 1024
 #: A small table is divided among all cores, but not into files of less text than this.
@@ -291,8 +289,9 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
 
     order = ["doc_id", "tie"]
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("tie")).repartitionByRange(files, *order).sortWithinPartitions(*order)
-    stripes = rows.select("doc_id", "text").mapInArrow(encode, "stripe binary").select(F.col("stripe").cast("string").alias("value"))
-    stripes.write.option("lineSep", MAGIC.decode()).text(path)
+    stripes = rows.select("doc_id", "text").mapInArrow(released(encode), "stripe binary").select(F.col("stripe").cast("string").alias("value"))
+    with arrow_batches(docs.sparkSession):
+        stripes.write.option("lineSep", MAGIC.decode()).text(path)
 
 
 def read_planes(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -323,7 +322,7 @@ def read_planes(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     schema = "file bigint, row bigint, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
-    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint").alias("file"), "content").mapInArrow(read, schema)
+    return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("bigint").alias("file"), "content").mapInArrow(released(read), schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "byte") -> DataFrame:
@@ -335,7 +334,8 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "byte"
     spark = docs.sparkSession
     path = new_path(spark, "planes")
     write_planes(docs, path, tokenizer, end_id, kind)
-    rows = stage(read_planes(spark, path), "digests")
+    with arrow_batches(spark):
+        rows = stage(read_planes(spark, path), "digests")
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

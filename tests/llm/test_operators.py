@@ -11,10 +11,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from factloom.llm import decontam, hashing, licenses, minhash, mixing, planes, pq, queries, ring, substring, toxicity, warc
-from factloom.llm.common import new_path, table
+from factloom.llm.common import BATCH_BYTES, arrow_batches, new_path, released, stage, table
 from factloom.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -129,6 +130,31 @@ def test_a_word_is_encoded_once_whatever_stands_after_it():
     assert counting.chars < 1.2 * sum(len(w) + 1 for w in words)
 
 
+def test_python_gets_bounded_batches(spark, odd, monkeypatch):
+    """Batches are bounded while plane files are written and read and near-duplicates are sought, not after."""
+    key, found = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    for module in (planes, minhash):
+        monkeypatch.setattr(module, "stage", lambda df, label: found.append(spark.conf.get(key, None)) or stage(df, label))
+    text = DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda self, path: found.append(spark.conf.get(key, None)) or text(self, path))
+    planes.token_table(odd, queries.tokenizer_path(), 2)
+    assert found == [f"{BATCH_BYTES}b"] * 2
+    minhash.near_duplicates(odd)
+    assert set(found) == {f"{BATCH_BYTES}b"} and len(found) > 2
+    assert spark.conf.get(key, None) is None
+
+    sizes = spark.range(2000).selectExpr("repeat('x', 1000) AS text").coalesce(1)
+    with arrow_batches(spark, 100_000):
+        rows = sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n bigint").collect()
+    assert sum(r["n"] for r in rows) == 2000 and max(r["n"] for r in rows) <= 101
+
+
+def test_workers_give_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: freed.append(1)})())
+    assert list(released(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and freed == [1]
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_plane_files_hold_the_ids(spark, odd, kind):
     path = new_path(spark, "test")
