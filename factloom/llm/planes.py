@@ -18,11 +18,13 @@ file system that Spark knows.  Files are written in ascending order of doc_id, a
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,15 +54,22 @@ LEAST_BYTES = 2 << 20
 _HARD = "[\\x00\\x09\\x0b-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
 #: A letter or digit before punctuation: where the letters or digits end, so does what the pre-tokeniser takes.
 _STEM_END = "([A-Za-z0-9\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}])([!-/:-@\\[-`{-~])"
+#: Stems that the pre-tokeniser takes whole: letters only or digits only, after a space or not.
+_WHOLE = "\\A ?(?:[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]+|[0-9]+)\\z"
+#: The characters by which byte-level models know octets: those that aren't printable in Latin-1 are moved.
+_OCTETS = np.arange(256, dtype="<u2")
+_OCTETS[[*range(33), *range(127, 161), 173]] = range(256, 324)
 #: Stems that are encoded as one text.
 JOINED = 5000
 
 
 def _runs(flat: np.ndarray, begin: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs flat[begin[k]:begin[k + 1]] for k of at, one after another, and where each begins, and the end."""
-    start, length = begin[at], begin[at + 1] - begin[at]
-    ends = np.concatenate([[0], np.cumsum(length)])
-    return flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)], ends
+    """The runs flat[begin[k]:begin[k + 1]] for k of at, one after another, and where each begins, and the end.  Arrow copies them as binary values of four octets an id."""
+    if not len(at):
+        return np.empty(0, np.uint32), np.zeros(1, np.int64)
+    runs = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin * 4), pa.py_buffer(flat)]).take(pa.array(at))
+    ends = np.frombuffer(runs.buffers()[1], np.int64, len(at) + 1) // 4
+    return np.frombuffer(runs.buffers()[2], np.uint32, ends[-1]) if ends[-1] else np.empty(0, np.uint32), ends
 
 
 class Encoder:
@@ -70,7 +79,8 @@ class Encoder:
     that aren't white space (the space opens the next token), and around such a line feed; so encoding the
     pieces one by one gives the ids of the whole text.  It also breaks where letters or digits are followed by
     punctuation, so a piece is one or more stems, and a word is encoded once whatever stands after it; a piece that
-    holds an added token is one stem.  Other white space doesn't divide pieces.  A tokenizer with another pre-tokeniser,
+    holds an added token is one stem.  A stem of letters only or digits only is what the pre-tokeniser takes at once, so
+    the tokenizer's model gets it without pre-tokenising.  Other white space doesn't divide pieces.  A tokenizer with another pre-tokeniser,
     with a normaliser or with added tokens that hold or take white space, encodes whole texts.
     """
 
@@ -79,6 +89,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         parts = json.loads(self.tokenizer.to_str())
         how = parts["pre_tokenizer"] or {}
         self.divides = how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space") and not parts["normalizer"]
@@ -108,22 +119,33 @@ class Encoder:
         return out
 
     def learn(self, stems: pa.Array, alone: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the stems one after another, number of each).  Unless each is to be encoded alone, those that a space opens are encoded as joined texts and cut at their ends."""
-        joins = np.zeros(len(stems), bool) if alone else np.asarray(pc.starts_with(stems, " "))
-        others = self.tokenizer.encode_batch_fast(stems.filter(pa.array(~joins)).to_pylist(), add_special_tokens=False)
+        """(ids of the stems one after another, number of each).  What the model doesn't get as it is, unless each is to be encoded alone, and a space opens is encoded as joined texts and cut at their ends."""
+        whole = np.asarray(pc.and_not(pc.match_substring_regex(stems, _WHOLE), pc.match_substring_regex(stems, self.added)))
+        flat, sizes = self.of_model(stems.filter(pa.array(whole)))
+        joins = np.zeros(len(stems), bool) if alone else ~whole & np.asarray(pc.starts_with(stems, " "))
         plain = stems.filter(pa.array(joins))
         edges = np.append(np.arange(0, len(plain), JOINED), len(plain))
         texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), plain), "").to_pylist()
-        joined = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        flat = np.concatenate([np.empty(0, np.uint32), *joined])
-        owner = np.searchsorted(np.cumsum(pc.binary_length(plain).to_numpy(), dtype=np.int64), np.cumsum(self.octets[flat]))
-        sizes = np.concatenate([np.bincount(owner, minlength=len(plain)), np.array([len(x.ids) for x in others], np.int64)])
-        flat = np.concatenate([flat, *(np.array(x.ids, np.uint32) for x in others)])
+        joined = np.concatenate([np.empty(0, np.uint32), *(np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
+        owner = np.searchsorted(np.cumsum(pc.binary_length(plain).to_numpy(), dtype=np.int64), np.cumsum(self.octets[joined]))
+        others = self.tokenizer.encode_batch_fast(stems.filter(pa.array(~whole & ~joins)).to_pylist(), add_special_tokens=False)
+        sizes = np.concatenate([sizes, np.bincount(owner, minlength=len(plain)), np.array([len(x.ids) for x in others], np.int64)])
+        flat = np.concatenate([flat, joined, *(np.array(x.ids, np.uint32) for x in others)])
         at = np.empty(len(stems), np.int64)
-        at[np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])] = np.arange(len(stems))
+        at[np.concatenate([np.flatnonzero(whole), np.flatnonzero(joins), np.flatnonzero(~whole & ~joins)])] = np.arange(len(stems))
         ids, begin = _runs(flat, np.concatenate([[0], np.cumsum(sizes)]), at)
         return ids, np.diff(begin)
 
+    def of_model(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of stems that are one token to the pre-tokeniser, number of each)."""
+        ids, sizes, tokenize = array("I"), array("q"), self.model.tokenize
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(stems)], pa.int32()), stems), "\n")[0].as_buffer()
+        for stem in _OCTETS[np.frombuffer(lines, np.uint8)].tobytes().decode("utf-16-le").split(chr(_OCTETS[10])) if len(stems) else ():
+            found = tokenize(stem)
+            ids.extend([x.id for x in found])
+            sizes.append(len(found))
+        return np.array(ids, np.uint32), np.array(sizes, np.int64)
+
     def ids_of(self, stems: pa.Array, times: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
         """(ids of distinct stems one after another, where each begins, and the end).  Of new ones the most frequent are kept while there is room."""
         known = pc.index_in(stems, value_set=self.kept)
@@ -179,6 +201,12 @@ class Encoder:
             out[k] = ids[a:b]
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; what it keeps is bounded, and stays for the tasks that the worker gets later."""
+    return Encoder(path)
+
+
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
     """The planes of a block, empty where all bits are zero."""
     octets = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -263,7 +291,7 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str, end_id: int, kind:
     files = max(1, min(total // FILE_BYTES[0], FILES), total // FILE_BYTES[1], min(cores, total // LEAST_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)  # given back with the task
+        encoder = encoder_of(tokenizer)
         held: list[int | None] = []
         parts: list[np.ndarray] = []
         size = 0
