@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import units as U
 from factloom.functions import vocab as V
+from factloom.functions.text import holds_any, let
 from factloom.operators.extract import TEXT_SQL, number, prose
 from factloom.registry import query
 from factloom.sources.domain import KEY
@@ -47,6 +48,8 @@ _NUMBER = r"\d+(?:[.,]\d+)?"
 _BOUND = "|".join(sorted(BOUNDS, key=len, reverse=True)).replace("$", r"\$")
 #: A bound, a number or two, and a unit; and the words before, up to a mark that ends them.
 ASKED = rf"({_BOUND})?\s*({_NUMBER})(?:\s*(?:[-–—]|до)\s*({_NUMBER}))?\s*({_UNITS})(?:[^\p{{L}}\p{{N}}]|$)"
+#: How every match of ASKED ends.
+_ENDS = rf"\d\s*(?:{_UNITS})(?:[^\p{{L}}\p{{N}}]|$)"
 CONTEXT = r"[\p{L}\p{N}₂²³/ ._—–-]{0,80}$"
 #: What a number can be asked of: properties and materials.
 PARAMETERS = sorted({**V.ALIASES["material"], **V.ALIASES["property"]}.items(), key=lambda kv: (-len(kv[0]), kv[0]))
@@ -58,15 +61,16 @@ def _parameter(back: Column) -> Column:
     back: the words before, between spaces and reversed.
     """
     rows = F.from_json(F.lit(json.dumps([{"r": f" {a[::-1]} " if len(a) <= V.SHORT else a[::-1], "n": len(a) + (len(a) <= V.SHORT), "l": -len(a), "name": c} for a, c in PARAMETERS])), "array<struct<r:string,n:int,l:int,name:string>>")
-    placed = F.filter(F.transform(rows, lambda x: F.struct(F.instr(back, x["r"]).alias("at"), x["n"].alias("n"), x["l"].alias("l"), x["name"].alias("name"))), lambda p: p["at"] > 0)
-    return F.array_min(F.transform(placed, lambda p: F.struct((p["at"] + p["n"]).alias("start"), p["l"].alias("l"), p["name"].alias("name"))))["name"]
+    held = F.filter(rows, lambda x: F.contains(back, x["r"]))
+    return F.array_min(F.transform(held, lambda x: F.struct((F.instr(back, x["r"]) + x["n"]).alias("start"), x["l"].alias("l"), x["name"].alias("name"))))["name"]
 
 
 def numeric_asks(plain: Column) -> Column:
     """array of (parameter, operator, value, value_min, value_max, unit): numbers with a unit and something that they are asked of; equal ones are one."""
-    all_of = lambda g: F.regexp_extract_all(plain, F.lit(ASKED), F.lit(g))
-    # The pieces between the numbers are the words before them.
-    found = F.arrays_zip(F.slice(F.split(plain, ASKED), 1, F.regexp_count(plain, F.lit(ASKED))).alias("ctx"), *(all_of(g).alias(n) for n, g in (("op", 1), ("lo", 2), ("hi", 3), ("u", 4))))
+    # The pieces between the numbers are the words before them; what a match is made of is read from the match.
+    parts = lambda ms: F.transform(ms, lambda m: F.struct(*(F.regexp_extract(m, ASKED, g).alias(n) for n, g in (("op", 1), ("lo", 2), ("hi", 3), ("u", 4)))))
+    cut = lambda ms: F.zip_with(F.slice(F.split(plain, ASKED), 1, F.size(ms)), parts(ms), lambda c, p: F.struct(c.alias("ctx"), p["op"].alias("op"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["u"].alias("u")))
+    found = let(F.regexp_extract_all(plain, F.lit(ASKED), F.lit(0)), cut)
     bounds = F.create_map(*(F.lit(v) for kv in BOUNDS.items() for v in kv))
     # Step by step, so that what several columns need is computed once for each number.
     turned = F.transform(found, lambda m: F.struct(m.alias("m"), F.reverse(F.concat(F.lit(" "), F.regexp_extract(m["ctx"], CONTEXT, 0), F.lit(" "))).alias("back")))
@@ -84,7 +88,8 @@ def numeric_asks(plain: Column) -> Column:
             unit.alias("unit"),
         )
 
-    return F.array_distinct(F.transform(named, ask))
+    asks = F.array_distinct(F.transform(named, ask))
+    return F.when(plain.rlike(_ENDS), asks).otherwise(F.slice(asks, 1, 0))
 
 
 _PARAMETERS_SQL = "[" + ", ".join(f"{{'r': '{a[::-1]}', 'n': {len(a)}, 's': {int(len(a) <= V.SHORT)}, 'name': '{c}'}}" for a, c in PARAMETERS) + "]"
@@ -165,7 +170,7 @@ def plan(texts: DataFrame, *more: str) -> DataFrame:
 
 
 def _any(text: Column, marks: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(text, m))
+    return holds_any(text, marks)
 
 
 def _any_sql(marks: list[str]) -> str:

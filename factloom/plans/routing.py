@@ -17,7 +17,7 @@ from factloom.operators.extract import TEXT_SQL, any_of, any_sql
 from factloom.plans.questions import _PLAN_SQL, plan
 from factloom.registry import query
 from factloom.sources.domain import KEY, MATERIALS, REGIMES
-from factloom.sources.tables import load
+from factloom.sources.tables import load, spread
 
 
 class Rule(NamedTuple):
@@ -134,7 +134,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fills = {"{m}": pick(MATERIALS, F.col("l_partkey")), "{r}": pick(REGIMES, F.col("l_suppkey")), "{v}": F.col("l_quantity").cast("int").cast("string"), "{n}": F.col("l_orderkey").cast("string")}
     form = pick(QUESTIONS, F.col("l_orderkey") * 5 + F.col("l_linenumber"))
     text = reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), kv[1]), fills.items(), form)
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("bigint").alias("line"), text.alias("text"))
+    read = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return spread(read, "l_orderkey", "l_linenumber").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").cast("bigint").alias("line"), text.alias("text"))
 
 
 def _questions_sql() -> str:
