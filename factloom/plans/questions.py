@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import units as U
 from factloom.functions import vocab as V
-from factloom.functions.text import holds_any, let
+from factloom.functions.text import holds_any, let, trie
 from factloom.operators.extract import TEXT_SQL, number, prose
 from factloom.registry import query
 from factloom.sources.domain import KEY
@@ -50,31 +50,49 @@ _BOUND = "|".join(sorted(BOUNDS, key=len, reverse=True)).replace("$", r"\$")
 ASKED = rf"({_BOUND})?\s*({_NUMBER})(?:\s*(?:[-–—]|до)\s*({_NUMBER}))?\s*({_UNITS})(?:[^\p{{L}}\p{{N}}]|$)"
 #: How every match of ASKED ends.
 _ENDS = rf"\d\s*(?:{_UNITS})(?:[^\p{{L}}\p{{N}}]|$)"
+#: ASKED as the same matches are found sooner: a place where none can begin is left at once, and bounds and units share their beginnings.
+_SOONER = rf"(?=[\s0-9{''.join(sorted({b[0] for b in BOUNDS}))}])({trie(BOUNDS)})?\s*({_NUMBER})(?:\s*(?:[-–—]|до)\s*({_NUMBER}))?\s*({trie(_UNITS.replace(chr(92), '').split('|'))})(?:[^\p{{L}}\p{{N}}]|$)"
 CONTEXT = r"[\p{L}\p{N}₂²³/ ._—–-]{0,80}$"
 #: What a number can be asked of: properties and materials.
 PARAMETERS = sorted({**V.ALIASES["material"], **V.ALIASES["property"]}.items(), key=lambda kv: (-len(kv[0]), kv[0]))
 
 
-def _parameter(back: Column) -> Column:
+_ROW = "struct<r:string,n:int,l:int,name:string>"
+
+
+def _rows(aliases: list[tuple[str, str]]) -> Column:
+    return F.from_json(F.lit(json.dumps([{"r": f" {a[::-1]} " if len(a) <= V.SHORT else a[::-1], "n": len(a) + (len(a) <= V.SHORT), "l": -len(a), "name": c} for a, c in aliases])), f"array<{_ROW}>")
+
+
+def _parameter(back: Column, met: Column | None) -> Column:
     """The name whose spelling stands last before the number, the longest of those that end alike; short ones as whole words; null if there is none.
 
-    back: the words before, between spaces and reversed.
+    back: the words before, between spaces and reversed.  met: as in with_forms(); long spellings that the text doesn't hold needn't be looked for.
     """
-    rows = F.from_json(F.lit(json.dumps([{"r": f" {a[::-1]} " if len(a) <= V.SHORT else a[::-1], "n": len(a) + (len(a) <= V.SHORT), "l": -len(a), "name": c} for a, c in PARAMETERS])), "array<struct<r:string,n:int,l:int,name:string>>")
+    rows = _rows(PARAMETERS)
+    if met is not None:
+        places = [p for d in ("material", "property") for p in V.PLACES[d]]
+        named = dict(PARAMETERS)
+        long = _rows([(a, named.get(a, "")) for _, a, _ in V.SPELLINGS])
+        asked = F.filter(met, lambda i: i.isin(*(p for p in places if len(V.SPELLINGS[p][1]) > V.SHORT)))
+        rows = F.concat(_rows([kv for kv in PARAMETERS if len(kv[0]) <= V.SHORT]), F.transform(asked, lambda i: F.get(long, i)))
     held = F.filter(rows, lambda x: F.contains(back, x["r"]))
     return F.array_min(F.transform(held, lambda x: F.struct((F.instr(back, x["r"]) + x["n"]).alias("start"), x["l"].alias("l"), x["name"].alias("name"))))["name"]
 
 
-def numeric_asks(plain: Column) -> Column:
+_ASKS = "array<struct<parameter:string,operator:string,value:double,value_min:double,value_max:double,unit:string>>"
+
+
+def numeric_asks(plain: Column, met: Column | None = None) -> Column:
     """array of (parameter, operator, value, value_min, value_max, unit): numbers with a unit and something that they are asked of; equal ones are one."""
     # The pieces between the numbers are the words before them; what a match is made of is read from the match.
-    parts = lambda ms: F.transform(ms, lambda m: F.struct(*(F.regexp_extract(m, ASKED, g).alias(n) for n, g in (("op", 1), ("lo", 2), ("hi", 3), ("u", 4)))))
-    cut = lambda ms: F.zip_with(F.slice(F.split(plain, ASKED), 1, F.size(ms)), parts(ms), lambda c, p: F.struct(c.alias("ctx"), p["op"].alias("op"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["u"].alias("u")))
-    found = let(F.regexp_extract_all(plain, F.lit(ASKED), F.lit(0)), cut)
+    parts = lambda ms: F.transform(ms, lambda m: F.struct(*(F.regexp_extract(m, _SOONER, g).alias(n) for n, g in (("op", 1), ("lo", 2), ("hi", 3), ("u", 4)))))
+    cut = lambda ms: F.zip_with(F.slice(F.split(plain, _SOONER), 1, F.size(ms)), parts(ms), lambda c, p: F.struct(c.alias("ctx"), p["op"].alias("op"), p["lo"].alias("lo"), p["hi"].alias("hi"), p["u"].alias("u")))
+    found = let(F.regexp_extract_all(plain, F.lit(_SOONER), F.lit(0)), cut)
     bounds = F.create_map(*(F.lit(v) for kv in BOUNDS.items() for v in kv))
     # Step by step, so that what several columns need is computed once for each number.
     turned = F.transform(found, lambda m: F.struct(m.alias("m"), F.reverse(F.concat(F.lit(" "), F.regexp_extract(m["ctx"], CONTEXT, 0), F.lit(" "))).alias("back")))
-    named = F.filter(F.transform(turned, lambda t: F.struct(t["m"].alias("m"), _parameter(t["back"]).alias("name"), U.unit_label(t["m"]["u"]).alias("unit"))), lambda n: n["name"].isNotNull())
+    named = F.filter(F.transform(turned, lambda t: F.struct(t["m"].alias("m"), _parameter(t["back"], met).alias("name"), U.unit_label(t["m"]["u"]).alias("unit"))), lambda n: n["name"].isNotNull())
 
     def ask(n: Column) -> Column:
         m, name, unit = n["m"], n["name"], n["unit"]
@@ -89,7 +107,7 @@ def numeric_asks(plain: Column) -> Column:
         )
 
     asks = F.array_distinct(F.transform(named, ask))
-    return F.when(plain.rlike(_ENDS), asks).otherwise(F.slice(asks, 1, 0))
+    return F.when(plain.rlike(_ENDS), asks.cast(_ASKS)).otherwise(F.array().cast(_ASKS))
 
 
 _PARAMETERS_SQL = "[" + ", ".join(f"{{'r': '{a[::-1]}', 'n': {len(a)}, 's': {int(len(a) <= V.SHORT)}, 'name': '{c}'}}" for a, c in PARAMETERS) + "]"
@@ -108,7 +126,7 @@ _ASKS_SQL = rf"""{TEXT_SQL}, m AS (SELECT order_id, line, {_FOUND_SQL} FROM t),
 
 @query(f"WITH {_ASKS_SQL} SELECT * FROM a")
 def d8_numeric_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose(spark, sf_dir).select(*KEY, F.explode(numeric_asks(F.col("plain"))).alias("a")).select(*KEY, "a.*").distinct()
+    return prose(spark, sf_dir).select(*KEY, F.explode(numeric_asks(F.col("plain"), F.col("met"))).alias("a")).select(*KEY, "a.*").distinct()
 
 
 #: 'the last n years', and years.
@@ -155,7 +173,7 @@ TARGETS = {"exact_fact": "MechanicalPropertyFact", "gap_analysis": "DataGapFact"
 
 def plan(texts: DataFrame, *more: str) -> DataFrame:
     """(order_id, line, with_forms()) -> more columns (plain), names asked for, geographies, number of numeric constraints, kind, whether an exact fact is asked, kind of facts."""
-    named = with_matches(texts).select(*KEY, "plain", *(asked_names(d).alias(d) for d in _DOMAINS), V.geographies(F.col("plain")).alias("geographies"), F.size(numeric_asks(F.col("plain"))).alias("n_numeric"))
+    named = with_matches(texts).select(*KEY, "plain", *(asked_names(d).alias(d) for d in _DOMAINS), V.geographies(F.col("plain")).alias("geographies"), F.size(numeric_asks(F.col("plain"), F.col("met"))).alias("n_numeric"))
     one = (F.size("material") == 1) & (F.size("regime") == 1) & (F.size("property") == 1)
     plain = F.col("plain")
     exact = one & (F.col("n_numeric") == 0) & (F.size("geographies") == 0) & ~_any(plain, BROAD)
